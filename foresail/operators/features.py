@@ -172,31 +172,41 @@ def lead_exact(df: DataFrame, keys, date: str, m: str, days: Sequence[int]) -> D
 # A sliding frame is re-aggregated for every row, which for 360-row frames costs
 # hundreds of updates per row and column. Instead, short frames (2, 3 and 7 rows)
 # are aggregated once and longer ones are put together from shifted copies of
-# them: 14 and 28 from blocks of 7, 30 from 28 and 2, the rest from blocks of 30.
-# Blocks are only ever added, never subtracted, so a run of zeros stays exactly
-# zero, and deviations merge by count, mean and squared deviation.
-# Window length -> (block length, number of blocks, tail block).
-BLOCKS = {14: (7, 2, None), 28: (7, 4, None), 30: (7, 4, 2)}
-LONG_BLOCKS = {60: (30, 2, None), 90: (30, 3, None), 180: (30, 6, None), 270: (30, 9, None), 360: (30, 12, None)}
+# them. Blocks are only ever added, never subtracted, so a run of zeros stays
+# exactly zero, and deviations merge by count, mean and squared deviation.
+# Fixed values, one dict per step: window -> (block, number of blocks, tail).
+BLOCK_STEPS = (
+    {14: (7, 2, None), 28: (7, 4, None), 30: (7, 4, 2)},
+    {60: (30, 2, None), 90: (30, 3, None)},
+    {180: (90, 2, None), 270: (90, 3, None), 360: (90, 4, None)},
+)
+BASE_BLOCKS = (1, 2, 3, 7)
 
 
 def _merged(parts: Sequence[Column], spread: bool) -> Column:
     """One (count, sum, squared deviation) state from adjacent blocks' states."""
-    counts = [F.coalesce(p["n"], F.lit(0)) for p in parts]
-    sums = [F.coalesce(p["s"], F.lit(0.0)) for p in parts]
-    n, total = sum(counts[1:], counts[0]), sum(sums[1:], sums[0])
+    n = sum((p["n"] for p in parts[1:]), parts[0]["n"])
+    total = sum((p["s"] for p in parts[1:]), parts[0]["s"])
     fields = [n.alias("n"), total.alias("s")]
     if spread:
-        mean = total / F.nullif(n, F.lit(0))
-        within = [F.coalesce(p["m2"], F.lit(0.0)) for p in parts]
+        mean = F.try_divide(total, n)
         between = [
-            F.when(c > 0, c * F.pow(x / F.nullif(c, F.lit(0)) - mean, 2)).otherwise(0.0)
-            for c, x in zip(counts, sums)
+            F.coalesce(p["n"] * F.pow(F.try_divide(p["s"], p["n"]) - mean, 2), F.lit(0.0)) for p in parts
         ]
-        fields.append(sum(within[1:] + between, within[0]).alias("m2"))
+        fields.append(sum([p["m2"] for p in parts[1:]] + between, parts[0]["m2"]).alias("m2"))
     return F.struct(*fields)
 
 
+def _blocks_for(ns: Sequence[int]) -> set[int]:
+    """Every window length that has to exist to build the lengths ``ns``."""
+    wanted = set(ns)
+    for step in reversed(BLOCK_STEPS):
+        for n in [n for n in step if n in wanted]:
+            block, _, tail = step[n]
+            wanted |= {block} | ({tail} if tail else set())
+    return wanted
+
+
 def window_states(
     df: DataFrame,
     f: Frames,
@@ -207,43 +217,41 @@ def window_states(
 ) -> DataFrame:
     """Add a state column per (column, n): the last ``n`` rows including the
     current one, or with ``forward`` the next ``n`` rows after it."""
-    shift = F.lead if forward else F.lag
-    tag = "next" if forward else "last"
+    shift, tag = ("lead", "next") if forward else ("lag", "last")
+    empty = "named_struct('n', 0D, 's', 0D" + (", 'm2', 0D)" if spread else ")")
+    wanted = _blocks_for(ns)
 
     def name(c: str, n: int) -> str:
         return f"_{tag}_{c}_{n}"
 
     def state(c: str, n: int) -> Column:
         w = f.rows(1, n) if forward else f.last(n)
-        fields = [F.count(c).over(w).alias("n"), F.sum(c).over(w).cast("double").alias("s")]
+        count = F.count(c).over(w).cast("double")
+        fields = [count.alias("n"), F.coalesce(F.sum(c).over(w).cast("double"), F.lit(0.0)).alias("s")]
         if spread:
-            fields.append((F.var_pop(c).over(w) * F.count(c).over(w)).alias("m2"))
+            fields.append((F.coalesce(F.var_pop(c).over(w), F.lit(0.0)) * count).alias("m2"))
         return F.struct(*fields)
 
-    longs = [n for n in ns if n in LONG_BLOCKS]
-    mids = [n for n in BLOCKS if n in ns or (n == 30 and longs)]
-    bases = [n for n in (1, 2, 3, 7) if n in ns or (n == 7 and mids) or (n == 2 and 30 in mids)]
-    out = df.withColumns({name(c, n): state(c, n) for c in columns for n in bases})
-    for plan, wanted in ((BLOCKS, mids), (LONG_BLOCKS, longs)):
-        if not wanted:
-            continue
-        block = plan[wanted[0]][0]
-        most = max(plan[n][1] for n in wanted)
-        tails = {plan[n][1] * block: plan[n][2] for n in wanted if plan[n][2]}
-        shifted = {}
-        for c in columns:
-            for k in range(1, most):
-                shifted[f"_at{k}_{c}"] = shift(name(c, block), k * block).over(f.ordered)
-            for offset, tail in tails.items():
-                shifted[f"_tail_{c}"] = shift(name(c, tail), offset).over(f.ordered)
-        out = out.withColumns(shifted)
-        merged = {}
+    def shifted(c: str, n: int, rows: int) -> Column:
+        return F.expr(f"{shift}({name(c, n)}, {rows}, {empty})").over(f.ordered)
+
+    out = df.withColumns({name(c, n): state(c, n) for c in columns for n in BASE_BLOCKS if n in wanted})
+    for step in BLOCK_STEPS:
+        made = {n: plan for n, plan in step.items() if n in wanted}
+        moves: dict[str, Column] = {}
+        merged: dict[str, Column] = {}
         for c in columns:
-            for n in wanted:
-                _, blocks, tail = plan[n]
-                parts = [F.col(name(c, block)), *[F.col(f"_at{k}_{c}") for k in range(1, blocks)]]
-                merged[name(c, n)] = _merged(parts + ([F.col(f"_tail_{c}")] if tail else []), spread)
-        out = out.withColumns(merged).drop(*shifted)
+            for n, (block, count, tail) in made.items():
+                parts = [name(c, block)]
+                for k in range(1, count):
+                    parts.append(f"_{c}_{block}_at{k * block}")
+                    moves[parts[-1]] = shifted(c, block, k * block)
+                if tail:
+                    parts.append(f"_{c}_{tail}_at{count * block}")
+                    moves[parts[-1]] = shifted(c, tail, count * block)
+                merged[name(c, n)] = _merged([F.col(x) for x in parts], spread)
+        if made:
+            out = out.withColumns(moves).withColumns(merged).drop(*moves)
     return out
 
 
@@ -256,12 +264,12 @@ def _sum_of(state: str) -> Column:
 
 
 def _avg_of(state: str) -> Column:
-    return F.col(state)["s"] / F.nullif(F.col(state)["n"], F.lit(0))
+    return F.try_divide(F.col(state)["s"], F.col(state)["n"])
 
 
 def _stddev_of(state: str) -> Column:
     n = F.col(state)["n"]
-    return F.when(n > 1, F.sqrt(F.col(state)["m2"] / F.nullif(n - 1, F.lit(0))))
+    return F.when(n > 1, F.sqrt(F.try_divide(F.col(state)["m2"], n - 1)))
 
 
 def lead_row_columns(m: str, ns: Sequence[int]) -> dict[str, Column]:

@@ -9,6 +9,7 @@ from foresail.plans.registry import QUERIES, Source, oracle, present
 MODULES = (
     "staging_queries",
     "feature_queries",
+    "backtest_queries",
 )
 
 for _module in MODULES:

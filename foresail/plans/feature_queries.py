@@ -72,7 +72,8 @@ class FeatureSql:
         return out + [self.add(f"{m}_l{n}d", f"sum({m}) {self.last(n)}") for n in fe.SUM_DAYS]
 
     def averages(self, c: str):
-        return [self.add(f"avg_{c}_l{n}d", f"avg({c}) {self.last(n)}") for n in fe.AVG_DAYS]
+        kind = "f9" if c.startswith("pct_") else "f"
+        return [self.add(f"avg_{c}_l{n}d", f"avg({c}) {self.last(n)}", kind) for n in fe.AVG_DAYS]
 
     def deviations(self, c: str):
         return [self.add(f"stddev_{c}_l{n}d", f"stddev_samp({c}) {self.last(n)}", "f4") for n in fe.AVG_DAYS]

@@ -163,3 +163,19 @@ class Source:
         from foresail.operators import staging
 
         return staging.sales_fact(self.train, self.test)
+
+    @cached_property
+    def train_end(self):
+        return self.rel("cutoff").first()["train_end"]
+
+    @cached_property
+    def panel(self) -> DataFrame:
+        """Dense store panel: zero where nothing sold, NULL once withheld."""
+        lo, hi = self.rel("store_day").agg(F.min("date"), F.max("date")).first()
+        days = F.sequence(F.lit(lo), F.lit(hi), F.expr("interval 1 day"))
+        grid = self.rel("raw_stores").select(
+            "store_nbr", F.col("state").alias("region"), F.explode(days).alias("date")
+        )
+        sold = self.rel("store_day").select("date", "store_nbr", "sales")
+        known = F.when(F.col("date") <= F.lit(self.train_end), F.coalesce("sales", F.lit(0.0)))
+        return grid.join(sold, ["date", "store_nbr"], "left").withColumn("sales", known)

@@ -111,3 +111,124 @@ CALENDAR_SPEC = (
     "day_of_month:i day_of_week:i iso_week_of_year:i month:i quarter:i year:i week_of_month:i "
     "iso_year:i iso_week:i day_name month_name"
 )
+
+# --- forecast ledgers ------------------------------------------------------------
+# One contract per region; a run per contract and origin; an output per store and
+# target day, whose median is the store's previous sales.
+SHARED["outputs_raw"] = """
+select region, city, store_nbr, date as target_date, sales as actual,
+       cast(extract(day from date) % 7 + 1 as int) as horizon,
+       date - cast(extract(day from date) % 7 + 1 as int) as origin,
+       coalesce(lag(sales) over (partition by store_nbr order by date), 10.0) as p50
+from store_day"""
+SHARED["outputs"] = """
+select md5(region || '|' || cast(origin as string) || '|' || cast(store_nbr as string) || '|' || cast(target_date as string)) as forecast_output_id,
+       md5(region || '|' || cast(origin as string)) as forecast_run_id,
+       'demand_' || lower(region) as forecast_contract_name,
+       md5('contract-' || region) as forecast_contract_hash,
+       case when store_nbr % 10 = 9 then null else true end as contract_enforced,
+       cast(origin as timestamp) as forecast_origin, target_date, horizon, 'store-day' as grain,
+       '{"store_nbr":' || cast(store_nbr as string) || '}' as entity_key_json,
+       case when p50 = 13 then null else p50 * 0.5 end as prediction_p10, p50 as prediction_p50,
+       p50 * 1.5 as prediction_p90,
+       case store_nbr % 5 when 0 then 'low' when 1 then 'medium' else 'high' end as confidence_flag,
+       'global_model' as forecast_strategy, p50 as statistical_forecast,
+       cast(null as double) as planner_override, cast(null as double) as published_forecast,
+       case extract(day from origin) % 6 when 0 then 'failed' when 1 then 'approved' when 2 then 'published'
+            else 'draft' end as forecast_status,
+       'model-' || region as model_run_id, 'gbt-' || region as model_id,
+       'store_h' || cast(horizon as string) || '_gbt' as config_name, 'gbt' as model_family,
+       'v1' as feature_version, 'code-' || cast(extract(year from origin) as string) as code_sha,
+       cast(origin as timestamp) as data_cutoff, 'split_conformal' as calibration_method,
+       md5('cal' || region) as calibration_run_id, 'none' as reconciliation_method
+from outputs_raw"""
+SHARED["runs"] = """
+select forecast_run_id, forecast_contract_name,
+       case when extract(year from max(forecast_origin)) = 2001 then md5('retired' || forecast_contract_name)
+            else max(forecast_contract_hash) end as forecast_contract_hash,
+       max(forecast_origin) as forecast_origin,
+       case extract(doy from max(forecast_origin)) % 8 when 0 then 'failed' when 1 then 'approved'
+            when 2 then 'published' when 3 then 'succeeded' else 'draft' end as run_status,
+       case when extract(doy from max(forecast_origin)) % 8 = 0 then 'boom' end as error_message,
+       max(forecast_origin) + interval 6 hours as started_at,
+       max(forecast_origin) + interval 7 hours as finished_at,
+       count(*) + (case when extract(day from max(forecast_origin)) % 10 = 0 then 1 else 0 end) as row_count,
+       case when extract(doy from max(forecast_origin)) % 9 = 0 then null
+            else md5('snap' || forecast_run_id) end as eligibility_snapshot_id,
+       count(*) + 1 as candidate_count, count(*) as eligible_count, 1 as excluded_count,
+       case when extract(day from max(forecast_origin)) % 3 = 0 then null else 1 end as exception_count,
+       'feat-' || max(model_run_id) as feature_availability_hash,
+       max(config_name) as config_name, max(model_id) as model_id
+from outputs group by forecast_run_id, forecast_contract_name"""
+SHARED["contracts"] = """
+select distinct forecast_contract_name, forecast_contract_hash from outputs"""
+SHARED["decision_ledger"] = """
+select forecast_run_id, md5('snap' || forecast_run_id) as eligibility_snapshot_id, true as is_eligible,
+       cast(null as string) as ineligibility_reason, false as has_exception from outputs
+union all
+select forecast_run_id, md5('snap' || forecast_run_id), false,
+       case when row_count % 2 = 0 then ' ' else 'insufficient_history' end, true from runs"""
+SHARED["stage_names"] = """
+select 1 as stage_position, 'score' as stage_name union all select 2, 'route' union all select 3, 'calibrate'
+union all select 4, 'reconcile' union all select 5, 'validate'"""
+SHARED["stage_runs"] = """
+select forecast_run_id, stage_name, stage_position,
+       case when run_status = 'succeeded' and stage_position = 4 then 'failed' else 'completed' end as stage_status
+from runs cross join stage_names"""
+SHARED["check_runs"] = """
+select forecast_run_id, 'gate_' || stage_name as check_name,
+       case when stage_position = 5 then 'warning' else 'blocking' end as severity,
+       not (run_status = 'draft' and extract(day from forecast_origin) % 7 = 0 and stage_position = 2) as passed,
+       started_at as checked_at
+from runs cross join stage_names"""
+SHARED["overrides"] = """
+select md5('ov' || forecast_output_id) as override_id, 'key-' || forecast_run_id as idempotency_key,
+       forecast_output_id, forecast_run_id, prediction_p50 * 1.1 as override_value,
+       case when horizon > 3 then 'promotion' else 'local_event' end as reason_code, 'seen' as comment,
+       forecast_origin + interval 8 hours as overridden_at, 'planner_' || confidence_flag as overridden_by
+from outputs where confidence_flag = 'low'"""
+SHARED["approvals"] = """
+select md5('ap' || o.forecast_output_id) as approval_id, 'key-' || o.forecast_run_id as idempotency_key,
+       o.forecast_output_id, o.forecast_run_id, v.override_id, 'approved' as decision,
+       coalesce(v.override_value, o.prediction_p50) as approved_value, 'weekly' as reason_code, 'ok' as comment,
+       o.forecast_origin + interval 9 hours as decided_at, 'planner_' || cast(o.horizon as string) as decided_by
+from outputs o left join overrides v on o.forecast_output_id = v.forecast_output_id
+where o.forecast_status in ('approved', 'published')"""
+SHARED["publications"] = """
+select md5('pub1' || a.approval_id) as publication_id, a.idempotency_key, a.forecast_output_id, a.forecast_run_id,
+       a.approval_id, 1 as publication_version, a.approved_value as published_value, 'warehouse' as destination,
+       case when o.horizon = 3 then 'pending' else 'delivered' end as delivery_status,
+       cast(null as string) as delivery_reference, o.forecast_origin + interval 10 hours as published_at,
+       a.decided_by as published_by
+from approvals a join outputs o on a.forecast_output_id = o.forecast_output_id
+where o.forecast_status = 'published'
+union all
+select md5('pub2' || a.approval_id), a.idempotency_key || '-2', a.forecast_output_id, a.forecast_run_id, a.approval_id,
+       2, a.approved_value + 1, 'warehouse', 'delivered', cast(null as string),
+       o.forecast_origin + interval 12 hours, a.decided_by
+from approvals a join outputs o on a.forecast_output_id = o.forecast_output_id
+where o.forecast_status = 'published' and extract(month from o.forecast_origin) % 2 = 0"""
+SHARED["revisions"] = """
+select md5('rev' || approval_id) as revision_id, md5('pub1' || approval_id) as prior_publication_id,
+       publication_id as replacement_publication_id, 'supersede' as revision_type, 'correction' as reason_code,
+       published_at as revised_at, published_by as revised_by
+from publications where publication_version = 2"""
+SHARED["delivery_events"] = """
+select md5('de1' || forecast_run_id || cast(publication_version as string)) as delivery_event_id, forecast_run_id,
+       publication_version, destination, 'pending' as delivery_status, 1 as delivery_attempt,
+       cast(null as string) as delivery_reference, cast(null as string) as error_code,
+       cast(null as string) as error_message, max(published_at) + interval 1 hours as occurred_at,
+       'job' as occurred_by
+from publications group by forecast_run_id, publication_version, destination having max(published_value) > 20
+union all
+select md5('de2' || forecast_run_id || cast(publication_version as string)), forecast_run_id, publication_version,
+       destination, case when min(published_value) < 5 then 'failed' else 'delivered' end, 1,
+       'ref-' || forecast_run_id, case when min(published_value) < 5 then 'timeout' end,
+       case when min(published_value) < 5 then 'no answer' end, max(published_at) + interval 2 hours, 'job'
+from publications group by forecast_run_id, publication_version, destination having max(published_value) > 30"""
+SHARED["status_history"] = """
+select md5('s0' || forecast_output_id) as status_event_id, forecast_output_id, cast(null as string) as previous_status,
+       'draft' as new_status from outputs
+union all
+select md5('s1' || forecast_output_id), forecast_output_id, 'draft',
+       case when forecast_status = 'draft' then 'published' else forecast_status end from outputs"""
