@@ -11,7 +11,12 @@ _SPLITS = [i / 64 for i in range(1, 64)]
 
 
 def kth_values(
-    values: DataFrame, ranks: DataFrame, groups: Sequence[str], value: str, out: str = "kth_value"
+    values: DataFrame,
+    ranks: DataFrame,
+    groups: Sequence[str],
+    value: str,
+    out: str = "kth_value",
+    weight: str | None = None,
 ) -> DataFrame:
     """The ``rank``-th smallest ``value`` (1-based) for each row of ``ranks``.
 
@@ -19,14 +24,15 @@ def kth_values(
     counted together first, so a value held by a third of a group is one row.
     A mergeable quantile sketch then proposes bucket edges per group; counting
     rows per bucket finds which bucket holds the rank, and only that bucket is
-    ordered. The edges need not be accurate for the answer to be exact.
+    ordered. The edges need not be accurate for the answer to be exact. With
+    ``weight`` a row stands for that many equal values.
     """
     groups = list(groups)
     by_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     counted = (
         values.filter(F.col(value).isNotNull())
         .groupBy(*groups, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
     )
     edges = counted.groupBy(*groups).agg(F.percentile_approx("_v", _SPLITS, 1000).alias("_edges"))
     joined = counted.join(edges, groups) if groups else counted.join(edges, F.lit(True))

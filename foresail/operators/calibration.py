@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foresail.functions.expr import require
 from foresail.functions.ranks import kth_values
+from foresail.session import checkpointed
 
 DEFAULT_QUANTILES = (0.1, 0.5, 0.9)
 
@@ -60,11 +61,16 @@ def residuals(calibration: DataFrame, groups: Sequence[str], y="actual", yhat="p
 
 
 def conformal_radius(
-    abs_residuals: DataFrame, ps: Sequence[float], groups: Sequence[str] = (), min_n: int = 1
+    abs_residuals: DataFrame,
+    ps: Sequence[float],
+    groups: Sequence[str] = (),
+    min_n: int = 1,
+    weight: str | None = None,
 ) -> DataFrame:
     """Radius per group and coverage level, for groups of ``min_n`` or more."""
     groups = list(groups)
-    sizes = abs_residuals.groupBy(*groups).agg(F.count("abs_residual").alias("residual_count"))
+    size = F.sum(weight) if weight else F.count("abs_residual")
+    sizes = abs_residuals.groupBy(*groups).agg(size.alias("residual_count"))
     wanted = sizes.filter(F.col("residual_count") >= min_n).select(
         *groups,
         "residual_count",
@@ -77,7 +83,17 @@ def conformal_radius(
             )
         ),
     )
-    return kth_values(abs_residuals, wanted, groups, "abs_residual", "radius").drop("rank")
+    return kth_values(abs_residuals, wanted, groups, "abs_residual", "radius", weight).drop("rank")
+
+
+def counted_residuals(abs_residuals: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """Residuals with multiplicity, written once to the checkpoint folder.
+
+    Ranks read this table several times; without the cut each read would score
+    the whole backtest again.
+    """
+    counted = abs_residuals.groupBy(*groups, "abs_residual").agg(F.count(F.lit(1)).alias("n"))
+    return checkpointed(counted)
 
 
 def radius_columns(radii: DataFrame, groups: Sequence[str], ps: Sequence[float], prefix: str) -> DataFrame:
@@ -116,7 +132,8 @@ def calibrate(
     """
     qs = validate_quantiles(quantiles)
     ps = sorted({coverage_of(q) for q in qs if q != 0.5})
-    count = abs_residuals.count()
+    counted = counted_residuals(abs_residuals)
+    count = counted.agg(F.sum("n")).first()[0] or 0
     if count < min_n:
         raise ValueError(f"conformal calibration requires {min_n} residuals; received {count}")
     require(
@@ -124,7 +141,8 @@ def calibrate(
         {"point prediction is not finite": _not_finite(prediction)},
         "calibration",
     )
-    pooled = radius_columns(conformal_radius(abs_residuals, ps), [], ps, "_pool_").drop("_pool_n")
+    radii = conformal_radius(counted, ps, weight="n")
+    pooled = radius_columns(radii, [], ps, "_pool_").drop("_pool_n")
     value = lambda q: F.col(f"_pool_{ps.index(coverage_of(q))}")
     return (
         points.join(F.broadcast(pooled), F.lit(True))
@@ -143,15 +161,14 @@ def fit_by_horizon(
     ps: Sequence[float],
     min_n: int = 20,
     horizon: str = "horizon",
-    check: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Radii per horizon with enough residuals, and the pooled radii."""
-    errors = residuals(calibration, [horizon])
-    if check:
-        count = errors.count()
-        if count < min_n:
-            raise ValueError(f"conformal calibration requires {min_n} residuals; received {count}")
-    return conformal_radius(errors, ps, [horizon], min_n), conformal_radius(errors, ps, [], min_n)
+    counted = counted_residuals(residuals(calibration, [horizon]), [horizon])
+    count = counted.agg(F.sum("n")).first()[0] or 0
+    if count < min_n:
+        raise ValueError(f"conformal calibration requires {min_n} residuals; received {count}")
+    own = conformal_radius(counted, ps, [horizon], min_n, "n")
+    return own, conformal_radius(counted, ps, [], min_n, "n")
 
 
 def calibrate_by_horizon(
@@ -173,7 +190,7 @@ def calibrate_by_horizon(
     ps = sorted({coverage_of(q) for q in qs if q != 0.5})
     if check:
         require(points, {"prediction without a horizon": F.col(horizon).isNull()}, "calibration")
-    own, pooled = fit_by_horizon(calibration, ps, min_n, check=check)
+    own, pooled = fit_by_horizon(calibration, ps, min_n)
     by_horizon = radius_columns(own, ["horizon"], ps, "_own_").withColumnRenamed("horizon", horizon)
     everyone = radius_columns(pooled, [], ps, "_pool_")
 

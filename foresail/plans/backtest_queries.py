@@ -473,7 +473,7 @@ from (select store_nbr, product_id, count(*) as history_length,
       from (select store_nbr, product_id, coalesce(sales, 0) as demand from sales_fact) group by 1, 2)"""
 CL_SPEC = (
     "entity_key_json history_length:i nonzero_observation_count:i average_demand_interval:f "
-    "coefficient_of_variation_squared:f is_intermittent:b is_cold_start:b"
+    "coefficient_of_variation_squared:f9 is_intermittent:b is_cold_start:b"
 )
 POLICY = RoutingPolicy(minimum_history=6, minimum_nonzero_observations=2)
 

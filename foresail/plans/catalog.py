@@ -10,6 +10,7 @@ MODULES = (
     "staging_queries",
     "feature_queries",
     "backtest_queries",
+    "hierarchy_queries",
 )
 
 for _module in MODULES:
