@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from foresail.contracts import HierarchySpec
 from foresail.functions.expr import (
+    any_of,
     canonical_json,
     fingerprint,
     require,
     require_columns,
     stable_id,
 )
+from foresail.session import checkpointed
 
 GROUPS = ("forecast_origin", "target_date", "horizon")
 VALUES = ("prediction_p10", "prediction_p50", "prediction_p90")
@@ -295,55 +297,56 @@ def _mint(fc, nodes, edges, groups, values, variances) -> DataFrame:
         work = fc.join(variances.select("node_id", F.col("variance").alias("_var0")), "node_id", "left")
         spread = F.greatest(F.coalesce(F.col("_var0"), F.lit(1.0)), F.lit(VARIANCE_FLOOR))
     work = work.select(*groups, "node_id", *values, spread.alias("_var")).join(rank, "node_id")
-    # upward: combined value and variance per node, leaves first
-    done = None
+    # Upward, leaves first. Each level is written to the checkpoint folder: it is
+    # read again on the way down, and would otherwise be recomputed every time.
+    ups: dict[int, DataFrame] = {}
+    nothing = F.lit(None).cast("double")
     for level in range(depth, -1, -1):
         here = work.filter(F.col("_depth") == level)
-        own = [F.col(v).alias(f"_up_{v}") for v in values]
-        if done is None:
-            current = here.select(*groups, "node_id", *own, F.col("_var").alias("_up_var"), "_depth",
-                                  F.lit(None).cast("double").alias("_child_var"),
-                                  *[F.lit(None).cast("double").alias(f"_child_{v}") for v in values])
+        if level == depth:
+            blended = {f"_up_{v}": F.col(v) for v in values} | {"_up_var": F.col("_var"), "_child_var": nothing}
+            current = here.withColumns(blended | {f"_child_{v}": nothing for v in values})
         else:
-            below = done.filter(F.col("_depth") == level + 1)
             summed = (
-                below.join(links, below["node_id"] == links["child_node_id"])
-                .groupBy(*groups, F.col("parent_node_id").alias("node_id"))
+                ups[level + 1]
+                .join(links, F.col("node_id") == F.col("child_node_id"))
+                .groupBy(*groups, F.col("parent_node_id").alias("_parent"))
                 .agg(
                     F.sum("_up_var").alias("_child_var"),
                     *[F.sum(f"_up_{v}").alias(f"_child_{v}") for v in values],
                 )
+                .withColumnRenamed("_parent", "node_id")
             )
-            joined = here.join(summed, [*groups, "node_id"], "left")
             gain = F.col("_child_var") / (F.col("_var") + F.col("_child_var"))
-            blended = [
-                F.coalesce(F.col(f"_child_{v}") + gain * (F.col(v) - F.col(f"_child_{v}")), F.col(v)).alias(f"_up_{v}")
+            blended = {
+                f"_up_{v}": F.coalesce(
+                    F.col(f"_child_{v}") + gain * (F.col(v) - F.col(f"_child_{v}")), F.col(v)
+                )
                 for v in values
-            ]
-            new_var = F.coalesce(F.col("_var") * gain, F.col("_var"))
-            current = joined.select(*groups, "node_id", *blended, new_var.alias("_up_var"), "_depth",
-                                    "_child_var", *[f"_child_{v}" for v in values])
-        done = current if done is None else done.unionByName(current)
-    # downward: pass the parent's correction on by share of variance
-    settled = done.filter(F.col("_depth") == 0).withColumns({f"_new_{v}": F.col(f"_up_{v}") for v in values})
-    out = settled
+            }
+            blended["_up_var"] = F.coalesce(F.col("_var") * gain, F.col("_var"))
+            current = here.join(summed, [*groups, "node_id"], "left").withColumns(blended)
+        kept = [f"{p}{x}" for p in ("_up_", "_child_") for x in ("var", *values)]
+        ups[level] = checkpointed(current.select(*groups, "node_id", *kept))
+    # Downward: the parent's correction, shared out by variance.
+    settled = ups[0].withColumns({f"_new_{v}": F.col(f"_up_{v}") for v in values})
+    out, above = settled, settled
     for level in range(1, depth + 1):
-        parent = out.filter(F.col("_depth") == level - 1).select(
+        parent = above.select(
             *groups,
             F.col("node_id").alias("parent_node_id"),
             F.col("_child_var").alias("_total_var"),
             *[(F.col(f"_new_{v}") - F.col(f"_child_{v}")).alias(f"_gap_{v}") for v in values],
         )
-        child = done.filter(F.col("_depth") == level).join(
-            links, F.col("node_id") == F.col("child_node_id")
-        ).drop("child_node_id")
+        child = ups[level].join(links, F.col("node_id") == F.col("child_node_id")).drop("child_node_id")
         moved = child.join(parent, [*groups, "parent_node_id"]).withColumns(
             {
                 f"_new_{v}": F.col(f"_up_{v}") + F.col(f"_gap_{v}") * F.col("_up_var") / F.col("_total_var")
                 for v in values
             }
         )
-        out = out.unionByName(moved.select(*out.columns))
+        above = moved.select(*settled.columns)
+        out = out.unionByName(above)
     return out.select(*groups, "node_id", *[f"_new_{v}" for v in values])
 
 
@@ -382,10 +385,10 @@ def reconcile(
     joined = base.join(new, [*groups, "node_id"]).withColumnsRenamed({f"_new_{v}": v for v in values})
     if check and len(values) > 1:
         falls = [F.col(b) < F.col(a) for a, b in zip(values, values[1:])]
-        crossed = falls[0]
-        for f in falls[1:]:
-            crossed = crossed | f
-        require(joined, {"reconciliation produced crossed quantiles": crossed}, "reconciliation")
+        crossed = F.coalesce(any_of(falls), F.lit(False))
+        # checked inside the plan: a bad row fails the job before it commits
+        stop = F.raise_error(F.lit("reconciliation produced crossed quantiles"))
+        joined = joined.withColumns({v: F.when(crossed, stop).otherwise(F.col(v)) for v in values})
     return joined.withColumn("reconciliation_method", F.lit(method))
 
 
@@ -393,10 +396,14 @@ def _require_complete(fc: DataFrame, nodes: DataFrame, groups: Sequence[str]) ->
     known = fc.join(nodes.select("node_id"), "node_id", "left_semi")
     expected = nodes.count()
     sizes = known.groupBy(*groups).agg(F.count("node_id").alias("n"), F.count_distinct("node_id").alias("d"))
-    if not sizes.filter("n <> d").isEmpty():
-        raise ValueError("forecast groups must contain one row per hierarchy node")
-    if not sizes.filter(F.col("d") < expected).isEmpty():
-        raise ValueError("base forecasts are missing hierarchy nodes")
+    require(
+        sizes,
+        {
+            "forecast groups must contain one row per hierarchy node": F.col("n") != F.col("d"),
+            "base forecasts are missing hierarchy nodes": F.col("d") < expected,
+        },
+        "reconciliation",
+    )
 
 
 def coherence_violations(

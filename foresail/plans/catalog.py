@@ -11,6 +11,7 @@ MODULES = (
     "feature_queries",
     "backtest_queries",
     "hierarchy_queries",
+    "ledger_queries",
 )
 
 for _module in MODULES:

@@ -232,3 +232,140 @@ select md5('s0' || forecast_output_id) as status_event_id, forecast_output_id, c
 union all
 select md5('s1' || forecast_output_id), forecast_output_id, 'draft',
        case when forecast_status = 'draft' then 'published' else forecast_status end from outputs"""
+
+# --- models, costs and ingestion ---------------------------------------------------
+SHARED["bt_long"] = """
+select region, store_nbr, date, sales as actual, 'seasonal_naive_7d' as baseline_name,
+       lag(sales, 2) over (partition by store_nbr order by date) as prediction from store_day
+union all
+select region, store_nbr, date, sales, 'last_observation',
+       lag(sales) over (partition by store_nbr order by date) from store_day
+union all
+select region, store_nbr, date, sales, 'gbt_store',
+       avg(sales) over (partition by store_nbr order by date rows between 3 preceding and 1 preceding) from store_day"""
+SHARED["bt_pred_ledger"] = """
+select md5(region || baseline_name || cast(store_nbr as string) || cast(date as string)) as prediction_id,
+       md5('bt' || region) as backtest_run_id, 'backtest_' || lower(region) as backtest_contract_name,
+       md5('btc' || region) as backtest_contract_hash,
+       date - cast(extract(day from date) as int) as forecast_origin, date as target_date,
+       cast(extract(day from date) % 3 * 7 + 7 as int) as horizon, store_nbr, region, baseline_name, actual, prediction,
+       prediction * 0.6 as prediction_p10, prediction as prediction_p50, prediction * 1.5 as prediction_p90,
+       case when baseline_name = 'gbt_store' then 'feat-' || region end as feature_availability_hash
+from bt_long"""
+SHARED["bt_metric_ledger"] = """
+select md5(backtest_run_id || baseline_name || cast(forecast_origin as string) || cast(horizon as string)) as metric_id,
+       backtest_run_id, backtest_contract_name, backtest_contract_hash, forecast_origin, horizon, baseline_name,
+       '{}' as segment_key_json, count(actual) as eligible_count, count(prediction) as prediction_count,
+       sum(abs(prediction - actual)) / sum(abs(actual)) as wape, avg(abs(prediction - actual)) as mae,
+       case when horizon = 7 then null else avg(abs(prediction - actual)) / 10.0 end as mase,
+       sqrt(avg((prediction - actual) * (prediction - actual))) / 10.0 as rmsse,
+       avg(prediction - actual) as bias, cast(count(prediction) as double) / count(actual) as prediction_completeness,
+       avg(case when actual between prediction_p10 and prediction_p90 then 1.0 else 0.0 end) as interval_coverage,
+       cast(max(target_date) as timestamp) as created_at
+from bt_pred_ledger
+group by backtest_run_id, backtest_contract_name, backtest_contract_hash, forecast_origin, horizon, baseline_name"""
+SHARED["bt_run_ledger"] = """
+select backtest_run_id, backtest_contract_name, backtest_contract_hash, 'gbt_store' as model_config_name,
+       'store_daily' as model_family, 'gbt' as model_type, 'demand_units' as target, 'store-day' as grain,
+       case when max(region) = 'ASIA' then cast(null as string)
+            else '{"evaluation_protocol":"rolling_origin","primary_metric":"wape"}' end as metric_policy_json,
+       min(forecast_origin) as origin_start, max(forecast_origin) as origin_end, count(*) as prediction_count,
+       case when max(region) = 'EUROPE' then 'failed' else 'completed' end as status,
+       cast(min(target_date) as timestamp) as created_at
+from bt_pred_ledger group by backtest_run_id, backtest_contract_name, backtest_contract_hash"""
+SHARED["performance"] = """
+select 'run-' || p_brand || '-' || p_type as model_run_id,
+       case when p_type = 'ECONOMY' then 'sales_n' || cast(max(p_size) as string) || 'd_model'
+            when p_type = 'LARGE' then 'plain_model' else 'store_h' || cast(min(p_size) as string) || '_gbt' end as config_name,
+       case when p_type in ('PROMO', 'SMALL') then 'store_daily' else lower(p_type) end as model_family, 'gbt' as model_type,
+       case when p_type = 'MEDIUM' then 'train' else 'test' end as metric_set,
+       timestamp '2024-01-01 00:00:00' + interval 1 hours as run_at,
+       max(p_retailprice) / 100.0 as mae, max(p_retailprice) / 50.0 as rmse, 0.5 as r2,
+       min(p_retailprice) / 30.0 as wape, cast(count(*) as double) - 20.0 as bias
+from part group by p_brand, p_type"""
+SHARED["live_pred"] = """
+select 'store_h' || cast(horizon as string) || '_' || region as config_name, 'store_daily' as model_family,
+       'gbt' as model_type, 'model-' || region as model_run_id, target_date as forecast_date, store_nbr,
+       case when actual = 7 then null else actual end as actual, p50 as prediction
+from outputs_raw"""
+SHARED["live_perf"] = """
+select 'model-' || region as model_run_id, 'test' as metric_set, avg(sales) as mae, 0.2 + 0.1 * count(distinct city) as wape
+from store_day group by region"""
+SHARED["candidate_ledger"] = """
+select distinct 'cand-' || cast(user_id as string) as candidate_id,
+       '{"target":"demand","grain":"g' || cast(user_id % 10 as string) || '"}' as model_scope_json,
+       'cfg-' || cast(user_id as string) as model_config_name, 'candidate' as initial_state
+from events"""
+SHARED["lifecycle_events"] = """
+select 'ev-' || cast(event_id as string) as lifecycle_event_id, 'cand-' || cast(user_id as string) as candidate_id,
+       case event_type when 'purchase' then 'promoted' when 'signup' then 'rolled_back' else 'evaluated' end as event_type,
+       case when event_type in ('purchase', 'signup') then 'champion' when event_type = 'error' then 'rejected'
+            else 'candidate' end as to_state,
+       case when event_type = 'purchase' and value > 50 then 'cand-' || cast(cast(floor(value) as bigint) % 40 as string) end
+         as replaces_candidate_id,
+       'r-' || event_type as reason, 'actor' as actor, ts as occurred_at
+from events"""
+SHARED["cost_runs"] = """
+select 'run-' || cast(user_id as string) as forecast_run_id, 'contract-' || cast(user_id % 7 as string) as forecast_contract_name,
+       min(ts) as started_at, count(*) * 40 as row_count
+from events group by user_id"""
+SHARED["cost_raw"] = """
+select cast(event_id as string) as cost_event_id,
+       case when event_id % 97 = 0 then ' ' else 'run-' || cast(user_id as string) end as forecast_run_id,
+       case when event_id % 89 = 0 then null else 'contract-' || cast(user_id % 7 as string) end as forecast_contract_name,
+       'model-' || cast(user_id as string) as model_run_id, case when user_id % 11 = 0 then null else event_type end as stage_name,
+       'prod' as environment, case event_type when 'click' then 'BigQuery' when 'view' then 'Vertex AI' else 'Storage' end
+         as service_name, 'usage' as cost_type, cast(value as decimal(18, 2)) as amount_usd,
+       cast(floor(value * 100) as bigint) as bytes_processed, cast(case when event_type = 'view' then 5 end as bigint) as slot_ms,
+       ts as usage_start_at
+from events"""
+SHARED["ingestion"] = """
+select 'ing-' || cast(event_id as string) as ingestion_run_id, 'source-' || cast(user_id as string) as source_name,
+       case event_type when 'error' then 'failed' when 'click' then 'partial' else 'succeeded' end as status,
+       case when user_id % 3 = 0 then 'static_demo' else 'continuous' end as data_mode, ts as finished_at,
+       24 as expected_interval_hours, 6 as allowed_lateness_hours
+from events"""
+
+MIRRORS["pbr"] = """
+select p.publication_id, p.publication_version, p.destination, p.delivery_status, p.published_value, p.published_at,
+       p.published_by, r.feature_availability_hash, o.* exclude (published_forecast)
+from publications p join outputs o using (forecast_output_id, forecast_run_id) join runs r using (forecast_run_id)"""
+MIRRORS["delivery_now"] = """
+select p.*, e.delivery_event_id, coalesce(e.delivery_status, 'pending') as delivery_status,
+       coalesce(e.delivery_attempt, 1) as delivery_attempt, e.error_code,
+       coalesce(e.occurred_at, p.published_at) as delivery_status_at,
+       case when e.delivery_event_id is null then 'publication_default' else 'delivery_event' end as status_source
+from (select forecast_run_id, forecast_contract_name, forecast_contract_hash, publication_version, destination,
+             count(*) as publication_row_count, min(published_at) as published_at from pbr group by 1, 2, 3, 4, 5) p
+left join (select * from delivery_events qualify row_number() over (
+             partition by forecast_run_id, publication_version, destination
+             order by occurred_at desc, delivery_event_id desc) = 1) e
+  using (forecast_run_id, publication_version, destination)"""
+MIRRORS["staged_metrics"] = """
+select m.*, r.model_config_name, r.model_family, r.model_type, r.target, r.grain, r.metric_policy_json,
+       json_extract_string(r.metric_policy_json, '$.primary_metric') as primary_metric
+from bt_metric_ledger m join (select * from bt_run_ledger where metric_policy_json is not null) r
+  using (backtest_run_id, backtest_contract_name, backtest_contract_hash)"""
+MIRRORS["latest_run"] = """
+select * from runs qualify row_number() over (partition by forecast_contract_name
+  order by started_at desc, forecast_run_id desc) = 1"""
+MIRRORS["fva_ops"] = """
+select *, actual_count / forecast_count as actual_coverage,
+  case when actual_count = 0 then 'awaiting_actuals' when actual_count <> forecast_count then 'incomplete_actuals'
+       when statistical_wape is null or planner_adjusted_wape is null or published_wape is null then 'undefined_metric'
+       else 'comparable' end as comparison_status,
+  case when actual_count = forecast_count then statistical_wape - planner_adjusted_wape end as planner_wape_fva_points,
+  case when actual_count = forecast_count then planner_adjusted_wape - published_wape end as publication_wape_fva_points,
+  case when actual_count = forecast_count then statistical_wape - published_wape end as total_wape_fva_points
+from (select p.forecast_run_id, o.forecast_contract_name, p.publication_version, p.destination, o.grain, o.horizon,
+        a.decided_by as planner, coalesce(v.reason_code, 'no_override') as reason_code, count(*) as forecast_count,
+        count(d.observed_sales_units) as actual_count,
+        sum(abs(d.observed_sales_units - o.prediction_p50)) / nullif(sum(abs(d.observed_sales_units)), 0) as statistical_wape,
+        sum(abs(d.observed_sales_units - coalesce(v.override_value, o.prediction_p50)))
+          / nullif(sum(abs(d.observed_sales_units)), 0) as planner_adjusted_wape,
+        sum(abs(d.observed_sales_units - p.published_value)) / nullif(sum(abs(d.observed_sales_units)), 0) as published_wape
+      from publications p join outputs o using (forecast_output_id, forecast_run_id)
+      join approvals a using (approval_id, forecast_output_id, forecast_run_id)
+      left join overrides v on v.override_id = a.override_id
+      left join demand_day d on d.date = o.target_date
+        and '{"store_nbr":' || d.store_nbr || '}' = o.entity_key_json group by 1, 2, 3, 4, 5, 6, 7, 8)"""
