@@ -12,6 +12,7 @@ MODULES = (
     "backtest_queries",
     "hierarchy_queries",
     "ledger_queries",
+    "monitoring_queries",
 )
 
 for _module in MODULES:
