@@ -13,6 +13,7 @@ MODULES = (
     "hierarchy_queries",
     "ledger_queries",
     "monitoring_queries",
+    "model_queries",
 )
 
 for _module in MODULES:

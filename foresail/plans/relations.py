@@ -260,7 +260,7 @@ select md5(backtest_run_id || baseline_name || cast(forecast_origin as string) |
        case when horizon = 7 then null else avg(abs(prediction - actual)) / 10.0 end as mase,
        sqrt(avg((prediction - actual) * (prediction - actual))) / 10.0 as rmsse,
        avg(prediction - actual) as bias, cast(count(prediction) as double) / count(actual) as prediction_completeness,
-       avg(case when actual between prediction_p10 and prediction_p90 then 1.0 else 0.0 end) as interval_coverage,
+       avg(cast(case when actual between prediction_p10 and prediction_p90 then 1 else 0 end as double)) as interval_coverage,
        cast(max(target_date) as timestamp) as created_at
 from bt_pred_ledger
 group by backtest_run_id, backtest_contract_name, backtest_contract_hash, forecast_origin, horizon, baseline_name"""
