@@ -144,11 +144,23 @@ def daily_agg(fact: DataFrame, grain: str) -> DataFrame:
     )
 
 
+DAY = "_day_number"
+
+
+def dated(df: DataFrame, date: str) -> DataFrame:
+    """Add the day number all frames order by.
+
+    It is a column of its own: ordering by the expression would give every
+    Window node a new attribute, and Spark would sort again for each.
+    """
+    return df if DAY in df.columns else df.withColumn(DAY, day_number(F.col(date)))
+
+
 class Frames:
     """Row and calendar frames of one series, all in day-number order."""
 
-    def __init__(self, keys: Sequence[str], date: str):
-        self.ordered = Window.partitionBy(*keys).orderBy(day_number(F.col(date)))
+    def __init__(self, keys: Sequence[str]):
+        self.ordered = Window.partitionBy(*keys).orderBy(DAY)
 
     def rows(self, start: int, end: int):
         return self.ordered.rowsBetween(start, end)
@@ -166,7 +178,7 @@ def exact_lead_columns(f: Frames, m: str, days: Sequence[int]) -> dict[str, Colu
 
 def lead_exact(df: DataFrame, keys, date: str, m: str, days: Sequence[int]) -> DataFrame:
     """Value exactly ``d`` calendar days ahead, NULL at a gap."""
-    return df.withColumns(exact_lead_columns(Frames(keys, date), m, days))
+    return _tidy(dated(df, date).withColumns(exact_lead_columns(Frames(keys), m, days)), df)
 
 
 # A sliding frame is re-aggregated for every row, which for 360-row frames costs
@@ -259,6 +271,12 @@ def _without_states(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith(("_last_", "_next_"))])
 
 
+def _tidy(out: DataFrame, source: DataFrame) -> DataFrame:
+    """Drop the working columns an operator added to its source."""
+    clean = _without_states(out)
+    return clean if DAY in source.columns else clean.drop(DAY)
+
+
 def _sum_of(state: str) -> Column:
     return F.when(F.col(state)["n"] > 0, F.col(state)["s"])
 
@@ -278,8 +296,8 @@ def lead_row_columns(m: str, ns: Sequence[int]) -> dict[str, Column]:
 
 def lead_rows(df: DataFrame, keys, date: str, m: str, ns: Sequence[int]) -> DataFrame:
     """Sum over the next ``n`` rows of the series."""
-    states = window_states(df, Frames(keys, date), [m], ns, forward=True)
-    return _without_states(states.withColumns(lead_row_columns(m, ns)))
+    states = window_states(dated(df, date), Frames(keys), [m], ns, forward=True)
+    return _tidy(states.withColumns(lead_row_columns(m, ns)), df)
 
 
 def last_sum_columns(m: str, ns: Sequence[int]) -> dict[str, Column]:
@@ -287,8 +305,8 @@ def last_sum_columns(m: str, ns: Sequence[int]) -> dict[str, Column]:
 
 
 def last_sum(df: DataFrame, keys, date: str, m: str, ns: Sequence[int] = SUM_DAYS) -> DataFrame:
-    states = window_states(df, Frames(keys, date), [m], ns)
-    return _without_states(states.withColumns(last_sum_columns(m, ns)))
+    states = window_states(dated(df, date), Frames(keys), [m], ns)
+    return _tidy(states.withColumns(last_sum_columns(m, ns)), df)
 
 
 def last_avg_columns(m: str, ns: Sequence[int]) -> dict[str, Column]:
@@ -296,8 +314,8 @@ def last_avg_columns(m: str, ns: Sequence[int]) -> dict[str, Column]:
 
 
 def last_avg(df: DataFrame, keys, date: str, m: str, ns: Sequence[int] = AVG_DAYS) -> DataFrame:
-    states = window_states(df, Frames(keys, date), [m], ns)
-    return _without_states(states.withColumns(last_avg_columns(m, ns)))
+    states = window_states(dated(df, date), Frames(keys), [m], ns)
+    return _tidy(states.withColumns(last_avg_columns(m, ns)), df)
 
 
 def last_stddev_columns(m: str, ns: Sequence[int]) -> dict[str, Column]:
@@ -306,8 +324,8 @@ def last_stddev_columns(m: str, ns: Sequence[int]) -> dict[str, Column]:
 
 def last_stddev(df: DataFrame, keys, date: str, m: str, ns: Sequence[int] = AVG_DAYS) -> DataFrame:
     """Sample standard deviation; NULL for a single value."""
-    states = window_states(df, Frames(keys, date), [m], ns, spread=True)
-    return _without_states(states.withColumns(last_stddev_columns(m, ns)))
+    states = window_states(dated(df, date), Frames(keys), [m], ns, spread=True)
+    return _tidy(states.withColumns(last_stddev_columns(m, ns)), df)
 
 
 def prior_sum_columns(f: Frames, m: str, ns: Sequence[int]) -> dict[str, Column]:
@@ -320,8 +338,9 @@ def prior_sum_columns(f: Frames, m: str, ns: Sequence[int]) -> dict[str, Column]
 def prior_sum(df: DataFrame, keys, date: str, m: str, ns: Sequence[int] = SUM_DAYS) -> DataFrame:
     """Sum over the block of ``n`` rows just before the last ``n``."""
     made = [f"{m}_l{n}d" for n in (1, *ns) if f"{m}_l{n}d" not in df.columns]
-    sums = last_sum(df, keys, date, m, ns) if made else df
-    return sums.withColumns(prior_sum_columns(Frames(keys, date), m, ns)).drop(*made)
+    base = dated(df, date)
+    sums = last_sum(base, keys, date, m, ns) if made else base
+    return _tidy(sums.withColumns(prior_sum_columns(Frames(keys), m, ns)).drop(*made), df)
 
 
 def promo_share(df: DataFrame, num: str, den: str) -> DataFrame:
@@ -330,19 +349,17 @@ def promo_share(df: DataFrame, num: str, den: str) -> DataFrame:
 
 def rolling_share(df: DataFrame, keys, date: str, cols: Sequence[str], ns=AVG_DAYS) -> DataFrame:
     """Rolling mean and deviation of promotion shares."""
-    states = window_states(df, Frames(keys, date), cols, ns, spread=True)
+    states = window_states(dated(df, date), Frames(keys), cols, ns, spread=True)
     columns: dict[str, Column] = {}
     for c in cols:
         columns |= last_avg_columns(c, ns) | last_stddev_columns(c, ns)
-    return _without_states(states.withColumns(columns))
+    return _tidy(states.withColumns(columns), df)
 
 
 def dow_avg(df: DataFrame, keys, date: str, m: str, ns: Sequence[int] = DOW_ROWS) -> DataFrame:
     """Mean of the last ``n`` rows with the same weekday (weeks, not days)."""
-    states = window_states(df, Frames([*keys, "day_of_week"], date), [m], ns)
-    return _without_states(
-        states.withColumns({f"avg_{m}_dow_l{n}d": _avg_of(f"_last_{m}_{n}") for n in ns})
-    )
+    states = window_states(dated(df, date), Frames([*keys, "day_of_week"]), [m], ns)
+    return _tidy(states.withColumns({f"avg_{m}_dow_l{n}d": _avg_of(f"_last_{m}_{n}") for n in ns}), df)
 
 
 def short_long(df: DataFrame, m: str, pairs=SHORT_LONG) -> DataFrame:
@@ -378,8 +395,8 @@ def dow_ratios(df: DataFrame, m: str, pairs=DOW_PAIRS) -> DataFrame:
 def rolling_features(df: DataFrame, spec: FeatureSpec, date: str = "date") -> DataFrame:
     """The whole feature table of one grain from its daily aggregate."""
     m, keys = spec.metric, list(spec.keys)
-    f = Frames(keys, date)
-    out = calendar_parts(df, date)
+    f = Frames(keys)
+    out = dated(calendar_parts(df, date), date)
     for num, den in spec.shares:
         out = promo_share(out, num, den)
     exact = exact_lead_columns(f, m, spec.exact_leads)
@@ -400,7 +417,7 @@ def rolling_features(df: DataFrame, spec: FeatureSpec, date: str = "date") -> Da
     out = out.withColumns(prior_sum_columns(f, m, SUM_DAYS))
     if spec.weekday_averages:
         out = dow_avg(out, keys, date, m)
-    out = period_over_period(short_long(out, m), m)
+    out = period_over_period(short_long(out.drop(DAY), m), m)
     return dow_ratios(out, m) if spec.weekday_averages else out
 
 

@@ -376,8 +376,8 @@ def _per_series(df, keys, date, y, horizon, test, min_obs, fit) -> DataFrame:
     schema = _series_schema(df, keys, date)
     names = [f.split()[0].strip("`") for f in schema.split(", ")]
 
-    def run(ids, pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({n: [] for n in names})
+    def run(ids: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({n: pd.Series(dtype=object) for n in names})
         pdf = pdf.dropna(subset=[y]).sort_values(date)
         n, cut = len(pdf), _split_point(len(pdf), test)
         if cut < min_obs or cut <= 0 or cut >= n:

@@ -20,10 +20,15 @@ RUN_ID = re.compile(r"[0-9a-f]{64}")
 
 
 def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
+    """The relation at ``path``, or None where nothing was written yet."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return None
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
+        if "UNABLE_TO_INFER_SCHEMA" in str(error):
             return None
         raise
 
