@@ -36,7 +36,6 @@ class BacktestContract:
     train_window_days: int = 90
     moving_average_window: int = 7
     baselines: tuple[str, ...] = BASELINES
-    max_entities: int | None = None
     target: str = "demand_units"
     grain: str = "store-day"
     primary_metric: str = "wape"
@@ -135,9 +134,8 @@ class HierarchySpec:
 
 @dataclass(frozen=True)
 class FeatureRule:
-    """One registry entry: an exact name or a pattern, and when it is known."""
+    """One registry entry: a feature's name and when it is known."""
 
     availability: str
-    name: str | None = None
-    pattern: str | None = None
+    name: str
     metadata_columns: tuple[str, ...] = field(default=())

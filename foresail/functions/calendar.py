@@ -18,6 +18,7 @@ CALENDAR_COLUMNS = [
     "day_name",
     "month_name",
 ]
+CALENDAR_NUMBERS = [c for c in CALENDAR_COLUMNS if not c.endswith("_name")]
 
 
 def calendar_columns(date: Column) -> dict[str, Column]:

@@ -96,8 +96,6 @@ def entity_grid(plan: DataFrame, panel: DataFrame, c: BacktestContract) -> DataF
     keys = list(c.entity_columns)
     segments = [F.min_by(s, c.date_column).alias(s) for s in c.segment_columns]
     entities = panel.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *segments).drop("_n")
-    if c.max_entities is not None:
-        entities = entities.orderBy(*keys).limit(c.max_entities)
     steps = F.array(
         *[
             F.struct(F.lit(o).alias("forecast_origin"), F.lit(h).alias("horizon"))

@@ -16,7 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foresail.functions.calendar import calendar_parts, day_number
+from foresail.contracts import FeatureRule
+from foresail.functions.calendar import CALENDAR_NUMBERS, calendar_parts, day_number
 from foresail.functions.expr import safe_divide
 
 # Window lengths in rows.
@@ -423,3 +424,58 @@ def rolling_features(df: DataFrame, spec: FeatureSpec, date: str = "date") -> Da
 
 def feature_table(fact: DataFrame, grain: str) -> DataFrame:
     return rolling_features(daily_agg(fact, grain), SPECS[grain])
+
+
+# --- when a feature is known ---------------------------------------------------------
+def _lagged_names(spec: FeatureSpec) -> list[str]:
+    """What ``rolling_features`` adds from the row's own day and days before it."""
+    m = spec.metric
+    names = [f"pct_{num}" for num, _ in spec.shares] + [f"{m}_l{n}d" for n in (1, *SUM_DAYS)]
+    for c in (m, *spec.rolled_shares):
+        names += [f"{stat}_{c}_l{n}d" for stat in ("avg", "stddev") for n in AVG_DAYS]
+    names += [f"{m}_p{n}d" for n in (1, *SUM_DAYS)]
+    names += [f"avg_{m}_{short}_l{n}d_pct_diff" for short, longs in SHORT_LONG for n in longs]
+    names += [f"{m}_l{n}d_p{n}d_pct_diff" for n in (1, *SUM_DAYS)]
+    if spec.weekday_averages:
+        names += [f"avg_{m}_dow_l{n}d" for n in DOW_ROWS]
+        names += [f"avg_{m}_dow_l{n}d_pct_diff" for n in (14, 28, 60, 90)]
+        names += [f"avg_{m}_dow_l{a}d_l{b}d_diff" for a, b in DOW_PAIRS]
+    return names
+
+
+def _lead_names(spec: FeatureSpec) -> list[str]:
+    """Labels: what ``rolling_features`` adds from days after the row's own."""
+    m = spec.metric
+    names = [f"{m}_n{n}d" for n in (*spec.exact_leads, *spec.lead_rows)]
+    names += [f"{m}_n{spec.exact_lead_sum}d_cum"] if spec.exact_lead_sum else []
+    return names + ([f"{m}_n7d_same_dow"] if spec.same_weekday_lead else [])
+
+
+def declared_features() -> dict[str, FeatureRule]:
+    """Every feature of the tables built here, by name, with when it is known.
+
+    The day's own measures and everything behind it count as observed before the
+    forecast starts, the calendar as known for ever, the plans for promotions and
+    holidays as known from the moment their metadata column gives.
+    """
+    measures = {
+        "company": [],
+        "store": ["products_store", "product_families_store"],
+        "store_product": [],
+        "store_family": ["products_store_family"],
+    }
+    known = {
+        "promotion": FeatureRule("known_future", "promotion", ("promotion_plan_updated_at",)),
+        "holiday": FeatureRule("known_future", "holiday", ("calendar_version_loaded_at",)),
+    }
+
+    def add(availability: str, names: Sequence[str]) -> None:
+        known.update({n: FeatureRule(availability, n) for n in names})
+
+    add("observed_after_period", ["sales", "transactions"])
+    add("static_master_data", CALENDAR_NUMBERS)
+    for grain, spec in SPECS.items():
+        own = [spec.metric, *measures[grain], *[num for num, _ in spec.shares]]
+        add("observed_lagged", own + _lagged_names(spec))
+        add("observed_after_period", _lead_names(spec))
+    return known

@@ -27,7 +27,6 @@ from foresail.session import checkpointed
 GROUPS = ("forecast_origin", "target_date", "horizon")
 VALUES = ("prediction_p10", "prediction_p50", "prediction_p90")
 VARIANCE_FLOOR = 1e-12
-MAX_DEPTH = 32
 
 
 def build_hierarchy(
@@ -127,7 +126,7 @@ def _steps(nodes: DataFrame, edges: DataFrame, depth: int | None) -> int:
         lo, hi = nodes.agg(F.min("level_position"), F.max("level_position")).first()
         return 0 if lo is None else hi - lo
     count = nodes.select("level_name").distinct().count()
-    return min(count - 1, MAX_DEPTH)
+    return count - 1
 
 
 def reachable(nodes: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:

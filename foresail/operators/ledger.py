@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from foresail.contracts import ForecastContract, RunPins, _hash
 from foresail.functions.expr import (
@@ -663,34 +664,20 @@ LEDGER_IDS = {
     "predictions": "prediction_id",
     "backtest_predictions": "prediction_id",
 }
-# Column name pattern -> type, first match wins.
-LEDGER_TYPES = (
-    (r"_(at|cutoff|origin|watermark)$", "timestamp"),
-    (r"(^|_)date$|_(from|to|start|end)$", "date"),
-    (r"^(is|has)_|^passed$|_enforced$", "boolean"),
-    (r"_usd$|^usage_amount$", "decimal(38,9)"),
-    (r"_(count|version|position|attempt|hours|ms|processed)$|^horizon$", "long"),
-    (r"(_value|prediction|_p\d+|_lower|_upper|forecast|actual|mae|wape|rmse|bias|r2)$", "double"),
-    (r".", "string"),
-)
-
-
-def ledger_type(column: str) -> str:
-    import re
-
-    return next(kind for pattern, kind in LEDGER_TYPES if re.search(pattern, column))
-
-
-def typed(df: DataFrame) -> DataFrame:
-    """Cast a ledger's columns to the types their names declare."""
-    casts = [F.expr(f"try_cast(`{c}` as {ledger_type(c)})").alias(c) for c in df.columns]
-    return df.select(*casts)
+def typed(df: DataFrame, schema: StructType | str) -> DataFrame:
+    """Cast a ledger's columns to a declared schema; a bad value fails the read."""
+    kinds = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    require_columns(df, kinds.fieldNames(), "ledger")
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds])
 
 
-def ledger(spark: SparkSession, path: str, name: str, partition_filter: Column | None = None) -> DataFrame:
-    """A ledger relation, typed; the identity column must be there."""
+def ledger(spark: SparkSession, path: str, name: str, partition_filter: Column | None = None,
+           schema: StructType | str | None = None) -> DataFrame:
+    """A ledger relation; the identity column must be there. Types are those stored,
+    or those of ``schema`` where a ledger came in as text."""
     if name not in LEDGER_IDS:
         raise ValueError(f"unknown ledger {name!r}")
     df = spark.read.parquet(f"{path}/{name}")
     require_columns(df, [LEDGER_IDS[name]], f"ledger {name}")
-    return typed(df if partition_filter is None else df.filter(partition_filter))
+    kept = df if partition_filter is None else df.filter(partition_filter)
+    return kept if schema is None else typed(kept, schema)

@@ -35,8 +35,9 @@ RF_DEFAULTS = {"numTrees": 200, "maxDepth": 12, "seed": 42}
 
 
 def _fit(estimator, df: DataFrame, features: Sequence[str], label: str) -> PipelineModel:
-    rows = df.filter(F.col(label).isNotNull()).withColumn("label", F.col(label).cast("double"))
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    """Fit on the rows that have the label and every feature; scoring keeps all rows."""
+    rows = df.dropna(subset=[label, *features]).withColumn("label", F.col(label).cast("double"))
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     return Pipeline(stages=[assembler, estimator]).fit(rows)
 
 
@@ -89,12 +90,22 @@ def train_direct(
 
 
 def score(models: PipelineModel | Mapping[int, PipelineModel], df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Predictions of one model, or of every horizon's model in one relation."""
+    """Predictions of one model, or of every horizon's model in one relation.
+
+    Every row comes back; one that lacks a feature has a NULL prediction.
+    """
+
+    def predicted(model: PipelineModel) -> DataFrame:
+        features = model.stages[0].getInputCols()
+        whole = ~F.greatest(*[F.col(c).isNull() for c in features], F.lit(False))
+        scored = model.transform(df)
+        return scored.withColumn("prediction", F.when(whole, F.col("prediction")))
+
     if not isinstance(models, Mapping):
-        return models.transform(df).select(*keep, "prediction")
+        return predicted(models).select(*keep, "prediction")
     out = None
     for horizon, model in sorted(models.items()):
-        rows = model.transform(df).select(*keep, F.lit(horizon).alias("forecast_horizon"), "prediction")
+        rows = predicted(model).select(*keep, F.lit(horizon).alias("forecast_horizon"), "prediction")
         out = rows if out is None else out.unionByName(rows)
     return out
 

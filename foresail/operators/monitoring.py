@@ -690,16 +690,18 @@ def fva_backtest(metrics: DataFrame, benchmarks: Mapping[str, str]) -> DataFrame
         .otherwise("comparable")
     )
     same = F.col("comparison_status") == "comparable"
+    # the verdict follows from the points that are published
+    points = F.round(b("wape") - c("wape"), 12)
     return joined.withColumn("comparison_status", status).drop("_benchmark_id").withColumns(
         {
             "is_ml_candidate": F.col("candidate_name") == F.col("model_config_name"),
-            "wape_fva_points": F.when(same, F.round(b("wape") - c("wape"), 12)),
+            "wape_fva_points": F.when(same, points),
             "wape_fva_ratio": F.when(same, F.round(safe_divide(b("wape") - c("wape"), b("wape")), 12)),
             "mae_fva": F.when(same, F.round(b("mae") - c("mae"), 12)),
             "fva_status": F.when(
                 same,
-                F.when(c("wape") < b("wape"), "value_added")
-                .when(c("wape") > b("wape"), "value_destroyed")
+                F.when(points > 0, "value_added")
+                .when(points < 0, "value_destroyed")
                 .otherwise("neutral"),
             ),
         }

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from foresail.functions.expr import all_of, safe_divide
 from foresail.operators.ledger import STATUS_TRANSITIONS, latest_by
 
-SAMPLE_PER_RUN = 20
 COMPLETED = ("completed", "succeeded", "success")
 
 
@@ -28,16 +27,16 @@ def operations_snapshot(
     delivery: DataFrame,
     fva: DataFrame,
     destination: str = "warehouse",
-    newest: int = 100,
+    newest: int | None = None,
 ) -> DataFrame:
-    """Newest runs that have outputs, with counts from every ledger.
-
-    The newest runs are picked first, so each ledger is cut to a hundred runs
-    before it is aggregated.
+    """Runs that have outputs, with counts from every ledger; all of them, or the
+    ``newest`` ones, which are then picked before the ledgers are aggregated.
     """
     run = "forecast_run_id"
     with_outputs = runs.join(outputs.select(run), run, "left_semi")
-    chosen = with_outputs.orderBy(F.desc("forecast_origin"), F.desc(run)).limit(newest)
+    chosen = with_outputs
+    if newest is not None:
+        chosen = chosen.orderBy(F.desc("forecast_origin"), F.desc(run)).limit(newest)
     ids = chosen.select(run)
     per = lambda df: df.join(ids, run, "left_semi").groupBy(run)
     o = per(outputs).agg(
@@ -87,8 +86,8 @@ def operations_snapshot(
     )
 
 
-def worst_outputs(outputs: DataFrame, runs: DataFrame, n: int = SAMPLE_PER_RUN) -> DataFrame:
-    """The ``n`` outputs per run that need attention most (a limited rank)."""
+def worst_outputs(outputs: DataFrame, runs: DataFrame, n: int | None = None) -> DataFrame:
+    """Outputs ranked per run by how much they need attention; the first ``n`` if given."""
     state = exception_state()
     order = F.when(state == "blocked", 1).when(state == "watch", 2).otherwise(3)
     rank = Window.partitionBy("forecast_run_id").orderBy(order, "target_date", "forecast_output_id")
@@ -104,7 +103,7 @@ def worst_outputs(outputs: DataFrame, runs: DataFrame, n: int = SAMPLE_PER_RUN)
             state.alias("exception_state"),
         )
         .withColumn("position", F.row_number().over(rank))
-        .filter(F.col("position") <= n)
+        .filter(F.lit(True) if n is None else F.col("position") <= n)
         .drop("confidence_flag")
     )
 
@@ -373,14 +372,16 @@ def paired_bootstrap(rows: DataFrame, n: int = 2000, seed: int = 17) -> DataFram
     )
 
 
-def pipeline_runs(health: DataFrame, stages: DataFrame, checks: DataFrame, newest: int = 25) -> DataFrame:
-    """Newest health rows with their ordered stages and checks.
+def pipeline_runs(health: DataFrame, stages: DataFrame, checks: DataFrame, newest: int | None = None) -> DataFrame:
+    """Health rows with their ordered stages and checks; the ``newest`` ones if given.
 
     A run has a handful of stages and checks, so the lists are short; only the
     chosen runs' rows are read into them.
     """
     run = "forecast_run_id"
-    chosen = health.orderBy(F.desc("started_at"), F.desc(run)).limit(newest)
+    chosen = health
+    if newest is not None:
+        chosen = chosen.orderBy(F.desc("started_at"), F.desc(run)).limit(newest)
     ids = chosen.select(run)
     s = stages.join(ids, run, "left_semi").groupBy(run).agg(
         F.array_sort(F.collect_list(F.struct("stage_position", "stage_name", "stage_status"))).alias("stages")

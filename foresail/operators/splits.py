@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from foresail.contracts import FeatureRule
 from foresail.functions.expr import require_columns
 from foresail.functions.ranks import kth_values
+from foresail.operators.features import declared_features
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
@@ -141,41 +142,11 @@ def entity_split(df: DataFrame, keys: Sequence[str], date: str, test: float) ->
 
 
 # --- point in time ------------------------------------------------------------------------
-_GRAINS = "(company|store|store_product|store_family)"
-_SHARES = "pct_(sales|products|product_families)"
-# When a feature is known, by name or pattern, first match wins.
-FEATURE_RULES = (
-    FeatureRule("known_future", name="promotion", metadata_columns=("promotion_plan_updated_at",)),
-    FeatureRule("known_future", name="holiday", metadata_columns=("calendar_version_loaded_at",)),
-    FeatureRule("observed_after_period", name="sales"),
-    FeatureRule("observed_after_period", name="transactions"),
-    FeatureRule(
-        "static_master_data",
-        pattern="^(day_of_month|day_of_week|iso_week_of_year|month|quarter|year|week_of_month|iso_year|iso_week)$",
-    ),
-    FeatureRule("observed_lagged", pattern=f"^(sales|products|product_families)_{_GRAINS}$"),
-    FeatureRule(
-        "observed_lagged",
-        pattern=rf"^(sales|avg_sales|stddev_sales|pct_sales|(avg_|stddev_)?{_SHARES})_{_GRAINS}.*_(l|p)\d+d.*$",
-    ),
-    FeatureRule("observed_lagged", pattern=rf"^avg_sales_{_GRAINS}_dow_l\d+d$"),
-    FeatureRule("observed_lagged", pattern=r"^.*_(l\d+d|p\d+d)_.*_(pct_diff|abs_diff)$"),
-    FeatureRule("observed_lagged", pattern="^.*_on_promotion.*$"),
-    FeatureRule("observed_after_period", pattern=rf"^sales_{_GRAINS}_n\d+d(_cum)?$"),
-)
-
-
-def match_rule(feature: str, registry: Sequence[FeatureRule] = FEATURE_RULES) -> FeatureRule | None:
-    for rule in registry:
-        if rule.name == feature:
-            return rule
-    for rule in registry:
-        if rule.pattern and re.match(rule.pattern, feature):
-            return rule
-    return None
-
-
-def validate_features(features: Sequence[str], registry: Sequence[FeatureRule] = FEATURE_RULES) -> list[FeatureRule]:
+def match_rule(feature: str, registry: Mapping[str, FeatureRule] | None = None) -> FeatureRule | None:
+    return (declared_features() if registry is None else registry).get(feature)
+
+
+def validate_features(features: Sequence[str], registry: Mapping[str, FeatureRule] | None = None) -> list[FeatureRule]:
     """Every feature registered and known at the forecast cutoff."""
     matched = {f: match_rule(f, registry) for f in sorted(set(features))}
     unknown = [f for f, r in matched.items() if r is None]
@@ -214,7 +185,7 @@ def check_cutoffs(
     df: DataFrame,
     features: Sequence[str],
     cutoff: Column,
-    registry: Sequence[FeatureRule] = FEATURE_RULES,
+    registry: Mapping[str, FeatureRule] | None = None,
     date: str | None = None,
 ) -> dict[str, object]:
     """Reject a frame with any source value later than its row's cutoff."""

@@ -4,8 +4,9 @@ bounded reads, writers (IO) and streams (SS)."""
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
+import uuid
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from foresail.contracts import BacktestContract, ForecastContract, RunPins
@@ -15,6 +16,7 @@ from foresail.operators import splits as sp
 from foresail.plans.backtest_queries import contract, residual_rows
 from foresail.plans.registry import Source, query
 from foresail.plans.relations import MIRRORS, SHARED
+from foresail.session import work_root
 from foresail.sources import history, tables, writers
 from foresail.streaming import events as se
 
@@ -35,7 +37,9 @@ def rows(s: Source):
 
 
 def scratch(name: str) -> str:
-    return tempfile.mkdtemp(prefix=f"foresail-{name}-") + "/table"
+    """A path of its own in the session's work folder."""
+    root = work_root(SparkSession.getActiveSession())
+    return f"{root}/foresail-{name}-{uuid.uuid4().hex}/table"
 
 
 SCORED = "store_nbr:i date:d prediction:f"
@@ -313,15 +317,12 @@ HISTORY = "store_nbr:i region date:d sales:f"
 
 
 def _short(s: Source) -> BacktestContract:
-    return BacktestContract(**{**contract(s).__dict__, "max_entities": 20, "train_window_days": 60})
+    return BacktestContract(**{**contract(s).__dict__, "train_window_days": 60})
 
 
 @query("io3_bounded_history", HISTORY, """
     select store_nbr, region, date, sales from store_day
-    where date between (select min(forecast_origin) - 366 from bt_plan) and (select max(forecast_origin) + 14 from bt_plan)
-      and store_nbr in (select distinct store_nbr from store_day
-        where date between (select min(forecast_origin) - 366 from bt_plan) and (select max(forecast_origin) + 14 from bt_plan)
-        order by 1 limit 20)""")
+    where date between (select min(forecast_origin) - 366 from bt_plan) and (select max(forecast_origin) + 14 from bt_plan)""")
 def bounded(s: Source):
     return history.bounded_history(s.rel("store_day"), _short(s))
 
@@ -432,10 +433,20 @@ def event_stream(s: Source):
 @query("ss1_stream_insert_once", "event_id:i user_id:i event_type value:f", """
     select event_id, user_id, event_type, value from events""")
 def stream_append(s: Source):
-    path, folder = scratch("stream"), scratch("offsets")
+    path, folder, source = scratch("stream"), scratch("offsets"), scratch("arrivals")
+    events = s.table("events")
+    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    # three batches, the newest events first: all of the later ones are late and new
+    step = (hi - lo) / 3
+    cuts = [lo, lo + step, lo + 2 * step, None]
+    for after, before in reversed(list(zip(cuts, cuts[1:], strict=False))):
+        part = events.where(F.col("ts") >= F.lit(after))
+        part = part if before is None else part.where(F.col("ts") < F.lit(before))
+        part.coalesce(1).write.mode("append").parquet(source)
+    arriving = s.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
     # every event arrives twice
-    doubled = event_stream(s).withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
-    se.stream_insert_once(doubled, path, "event_id", "ts", "1 hour", folder).awaitTermination()
+    doubled = arriving.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+    se.stream_insert_once(doubled, path, "event_id", folder).awaitTermination()
     return s.spark.read.parquet(path)
 
 

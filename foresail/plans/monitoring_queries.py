@@ -318,14 +318,14 @@ def cost_events(s: Source):
 
 @query(
     "mo12_fva_backtest",
-    "backtest_run_id forecast_origin:d horizon:i candidate_name benchmark_name comparison_status wape_fva_points:f9 "
-    "mae_fva:f9 fva_status is_ml_candidate:b",
+    "backtest_run_id forecast_origin:d horizon:i candidate_name benchmark_name comparison_status wape_fva_points:f "
+    "mae_fva:f fva_status is_ml_candidate:b",
     """select c.backtest_run_id, c.forecast_origin, c.horizon, c.baseline_name as candidate_name,
          b.baseline_name as benchmark_name, c.baseline_name = c.model_config_name as is_ml_candidate, st as comparison_status,
          case when st = 'comparable' then b.wape - c.wape end as wape_fva_points,
          case when st = 'comparable' then b.mae - c.mae end as mae_fva,
-         case when st = 'comparable' then case when c.wape < b.wape then 'value_added' when c.wape > b.wape
-              then 'value_destroyed' else 'neutral' end end as fva_status
+         case when st = 'comparable' then case sign(round(b.wape - c.wape, 12)) when 1 then 'value_added'
+              when -1 then 'value_destroyed' else 'neutral' end end as fva_status
        from staged_metrics c left join (select * from staged_metrics where baseline_name = 'seasonal_naive_7d') b
          on b.backtest_run_id = c.backtest_run_id and b.forecast_origin = c.forecast_origin and b.horizon = c.horizon
        cross join lateral (select case when b.metric_id is null then 'missing_benchmark'
@@ -433,8 +433,7 @@ def alerts(s: Source):
          on d.forecast_run_id = r.forecast_run_id and d.publication_version = p.v
        left join (select * from fva_ops qualify row_number() over (partition by forecast_run_id
                     order by publication_version desc, horizon desc, planner desc, reason_code desc) = 1) f
-         on f.forecast_run_id = r.forecast_run_id
-       order by r.forecast_origin desc, r.forecast_run_id desc limit 100""",
+         on f.forecast_run_id = r.forecast_run_id""",
 )
 def snapshot(s: Source):
     return rm.operations_snapshot(
@@ -449,7 +448,7 @@ def snapshot(s: Source):
          case confidence_flag when 'low' then 'blocked' when 'medium' then 'watch' else 'clear' end as exception_state
        from (select *, row_number() over (partition by forecast_run_id order by
                case confidence_flag when 'low' then 1 when 'medium' then 2 else 3 end, target_date, forecast_output_id)
-               as position from outputs) where position <= 20""",
+               as position from outputs)""",
 )
 def worst(s: Source):
     return rm.worst_outputs(s.rel("outputs"), s.rel("runs"))
@@ -590,7 +589,7 @@ def bootstrap(s: Source):
     """select h.forecast_run_id, h.health_status, 5 as n_stages, 5 as n_checks, 'score' as first_stage,
          (select passed from check_runs c where c.forecast_run_id = h.forecast_run_id and c.check_name = 'gate_validate')
            as last_check_passed
-       from health_month h order by h.started_at desc, h.forecast_run_id desc limit 25""",
+       from health_month h""",
 )
 def recent_runs(s: Source):
     shown = rm.pipeline_runs(health(s, True), s.rel("stage_runs"), s.rel("check_runs"))

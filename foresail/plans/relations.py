@@ -256,8 +256,10 @@ SHARED["bt_metric_ledger"] = """
 select md5(backtest_run_id || baseline_name || cast(forecast_origin as string) || cast(horizon as string)) as metric_id,
        backtest_run_id, backtest_contract_name, backtest_contract_hash, forecast_origin, horizon, baseline_name,
        '{}' as segment_key_json, count(actual) as eligible_count, count(prediction) as prediction_count,
-       sum(abs(prediction - actual)) / sum(abs(actual)) as wape, avg(abs(prediction - actual)) as mae,
-       case when horizon = 7 then null else avg(abs(prediction - actual)) / 10.0 end as mase,
+       cast(sum(cast(abs(prediction - actual) as decimal(30,9))) as double) / nullif(cast(sum(cast(abs(actual) as decimal(30,9))) as double), 0) as wape,
+       cast(sum(cast(abs(prediction - actual) as decimal(30,9))) as double) / count(prediction - actual) as mae,
+       case when horizon = 7 then null
+            else cast(sum(cast(abs(prediction - actual) as decimal(30,9))) as double) / count(prediction - actual) / 10.0 end as mase,
        sqrt(avg((prediction - actual) * (prediction - actual))) / 10.0 as rmsse,
        avg(prediction - actual) as bias, cast(count(prediction) as double) / count(actual) as prediction_completeness,
        avg(cast(case when actual between prediction_p10 and prediction_p90 then 1 else 0 end as double)) as interval_coverage,

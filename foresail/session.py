@@ -36,14 +36,25 @@ def local_session(app: str, cores: str | int = "*", shuffle_partitions: int = 8)
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where neither it nor the context has one (a test) is a scratch folder set.
+def work_root(spark: SparkSession) -> str:
+    """The folder for intermediate data: the one in ``spark.checkpoint.dir``, which all
+    executors share. A local master may do without and gets a scratch folder; a cluster
+    may not, since its executors could not see one another's files.
     """
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="foresail-work-")
+    spark.sparkContext.setCheckpointDir(made)
+    return made
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder."""
     context = df.sparkSession.sparkContext
+    root = work_root(df.sparkSession)
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="foresail-ckpt-"))
+        context.setCheckpointDir(root)
     return df.checkpoint(eager=True)

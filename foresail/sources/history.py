@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,18 +18,9 @@ def _bounds(c: BacktestContract, lookback: int) -> tuple[dt.date, dt.date]:
     return first, max(c.origins) + dt.timedelta(days=max(c.horizons))
 
 
-def first_entities(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """Keep the first ``n`` entities in key order (a left-semi join)."""
-    chosen = df.select(*keys).distinct().orderBy(*keys).limit(n)
-    return df.join(chosen, list(keys), "left_semi")
-
-
 def _bounded(df: DataFrame, c: BacktestContract, lookback: int) -> DataFrame:
     lo, hi = _bounds(c, lookback)
-    bounded = df.filter(F.col(c.date_column).between(F.lit(lo), F.lit(hi)))
-    if c.max_entities is not None:
-        bounded = first_entities(bounded, c.entity_columns, c.max_entities)
-    return bounded
+    return df.filter(F.col(c.date_column).between(F.lit(lo), F.lit(hi)))
 
 
 def bounded_history(df: DataFrame, c: BacktestContract) -> DataFrame:

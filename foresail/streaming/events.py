@@ -15,25 +15,22 @@ def stream_insert_once(
     stream: DataFrame,
     path: str,
     id_column: str,
-    ts: str,
-    delay: str,
     checkpoint: str,
     partition: str | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Append each event once, across batches, restarts and late repeats.
 
-    The watermark bounds the state that drops repeats within ``delay``; the
-    anti-join of ``insert_once`` covers repeats beyond it and a batch that is
-    replayed after a failure.
+    No state and no watermark: an event that arrives late for the first time is
+    stored, however late it is. Repeats within a batch are dropped there; the
+    anti-join of ``insert_once`` covers those of earlier batches and a batch
+    that is replayed after a failure.
     """
-    unique = stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([id_column])
 
     def append(batch: DataFrame, _: int) -> None:
-        # a batch may still repeat an id that arrived around the watermark
         insert_once(batch.dropDuplicates([id_column]), path, id_column, partition)
 
-    writer = unique.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

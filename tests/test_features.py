@@ -130,6 +130,17 @@ def test_feature_registry():
         sp.validate_features(["weather"])
 
 
+def test_every_built_feature_declares_when_it_is_known(spark):
+    fact = spark.createDataFrame(
+        [(FIRST, 1, 1, "f", "train", 1.0, 1)],
+        "date date, store_nbr int, product_id int, product_family string, data_split_source string, sales double, on_promotion int",
+    )
+    labels = {"date", "store_nbr", "product_id", "product_family", "data_split_source", "day_name", "month_name"}
+    for grain in fe.SPECS:
+        built = set(fe.feature_table(fact, grain).columns) - labels
+        assert built <= set(fe.declared_features())
+
+
 def test_cutoffs_reject_late_sources(spark):
     rows = [(dt.date(2020, 1, 2), dt.datetime(2020, 1, 1)), (dt.date(2020, 1, 3), dt.datetime(2020, 1, 2))]
     df = spark.createDataFrame(rows, "date date, promotion_plan_updated_at timestamp")
