@@ -356,14 +356,19 @@ def _spans(run: list, tags: list[int]) -> list[tuple[int, int]]:
 
 
 def learn(docs: DataFrame) -> Field | None:
-    """Train on at most SAMPLE texts that have a base span and SAMPLE others."""
+    """Train on at most SAMPLE texts that have a base span and SAMPLE others.
+
+    Texts are dealt to SAMPLE slots by a hash; the least hash of each slot comes from an
+    aggregation without the texts, which are then read for the chosen ones alone.
+    """
     short = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select(
-        "text", F.xxhash64("doc_id", "text").alias("pick"), F.col("text").rlike(ANY_BASE).alias("has")
+        "text", F.xxhash64("doc_id", "text").alias("pick")
     )
-    rows = []
-    for has in (True, False):
-        rows += short.where(F.col("has") == has).orderBy("pick").limit(SAMPLE).collect()
-    return train([r["text"] for r in rows])
+    has = F.col("text").rlike(ANY_BASE)
+    slots = short.groupBy(has.alias("has"), F.pmod("pick", F.lit(SAMPLE)).alias("slot"))
+    chosen = slots.agg(F.min("pick").alias("pick")).select("pick")
+    rows = short.join(F.broadcast(chosen), "pick").select("text", "pick").collect()
+    return train([t for t, _ in sorted({(r["text"], r["pick"]) for r in rows}, key=lambda x: x[1])])
 
 
 def scan(docs: DataFrame, model: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

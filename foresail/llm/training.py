@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+SPREAD = 8
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, max_bytes: int) -> list:
     """Rows (doc_id, text, label) of at most ``per_label`` documents of every label, in
     order of doc_id, for the driver to learn from.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and label; null labels and ids are
-    left out. The choice is by a hash of the id, so it is the same at every run. Texts
-    over ``max_bytes`` are not learned from, so that the sample's size is bounded; with
-    the limit on labels that each caller states, it is per_label * labels * max_bytes.
+    left out. Ids are dealt to SPREAD * per_label slots a label by a hash; the least of
+    each slot is found by aggregation, so a task passes on a bounded number of rows and
+    no sort sees more than the slots. Of these the least ``per_label`` hashes are taken,
+    the same at every run. Texts over ``max_bytes`` are not learned from, which bounds
+    the sample by per_label * labels * max_bytes; callers limit the labels.
     """
-    known = labels.where("doc_id is not null and label is not null").distinct()
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
-    chosen = known.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_label)
-    rows = docs.where(F.octet_length("text") <= max_bytes).join(
-        F.broadcast(chosen.select("doc_id", "label")), "doc_id"
-    )
+    known = labels.where("doc_id is not null and label is not null")
+    pick = F.xxhash64("doc_id", F.lit(7))
+    slots = known.groupBy("label", F.pmod(pick, F.lit(SPREAD * per_label)).alias("slot"))
+    slots = slots.agg(F.min(F.struct(pick.alias("pick"), "doc_id")).alias("least"))
+    order = Window.partitionBy("label").orderBy("least.pick", "least.doc_id")
+    chosen = slots.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_label)
+    chosen = chosen.select(F.col("least.doc_id").alias("doc_id"), "label")
+    rows = docs.where(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id")
     return sorted(rows.select("doc_id", "text", "label").collect(), key=lambda r: (r[0], r[1], r[2]))
