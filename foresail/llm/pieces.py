@@ -37,7 +37,7 @@ from foresail.llm.common import bounded_batches
 MARK = "▁"
 ZIPF = 10.0
 UNKNOWN = 10.0
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_200_000  # about 250 MB a worker
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
