@@ -85,6 +85,7 @@ class Node:
     text: str = ""
     hints: frozenset = frozenset()
     mark: bool = False
+    blank: bool = False  # white space stood before it, after the node before
     children: list = field(default_factory=list)
     size: int = 0
     linked: int = 0
@@ -105,13 +106,23 @@ def hints_of(attributes: str) -> tuple[frozenset, bool]:
 
 
 def tree(page: str) -> list[Node]:
-    """Nodes in page order; node 0 is the root. Only visible parts are in it."""
+    """Nodes in page order; node 0 is the root. Only visible parts are in it. A text of
+    white space only is no node but marks the next one."""
     nodes, at, open_ = [Node("html", -1)], 0, [0]
+    blank = False
+
+    def add(node: Node) -> None:
+        nonlocal blank
+        node.blank, blank = blank, False
+        nodes[node.parent].children.append(len(nodes))
+        nodes.append(node)
 
     def add_text(raw: str) -> None:
+        nonlocal blank
         if raw.strip():
-            nodes[open_[-1]].children.append(len(nodes))
-            nodes.append(Node("", open_[-1], html.unescape(raw)))
+            add(Node("", open_[-1], html.unescape(raw)))
+        elif raw:
+            blank = True
 
     size = len(page)
     while at < size:
@@ -147,8 +158,7 @@ def tree(page: str) -> list[Node]:
             if other in SCOPES:
                 break
         hints, mark = hints_of(found[3])
-        nodes[open_[-1]].children.append(len(nodes))
-        nodes.append(Node(tag, open_[-1], "", hints, mark))
+        add(Node(tag, open_[-1], "", hints, mark))
         if tag not in VOID and not found[3].endswith("/"):
             open_.append(len(nodes) - 1)
     for i in range(len(nodes) - 1, -1, -1):
@@ -360,9 +370,13 @@ def extract(page: str, model: Model) -> str:
     while stack:
         i, leaving = stack.pop()
         n = nodes[i]
+        if n.blank and not leaving:
+            blocks[-1].append(" ")
         if not n.tag:
             if plain or chance[i] >= 0.5:
                 blocks[-1].append(n.text)
+            elif n.text != n.text.strip():
+                blocks[-1].append(" ")
             continue
         if n.tag == "br":
             blocks[-1].append(" ")

@@ -264,6 +264,19 @@ def test_pages(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_white_space_between_inline_elements():
+    for page, want in [
+        ("<p><b>Breaking</b> <i>news</i></p>", "Breaking news"),
+        ("<a>x</a>\n<a>y</a>", "x y"),
+        ("<p><b>x </b><!-- c --> <i><u>y</u> </i>\t<u>z</u>w</p> \n<p>v</p>", "x y zw\nv"),
+        ("<p><b>un</b><i>cut</i></p>", "uncut"),
+    ]:
+        assert html_text.extract(page, html_text.Model()) == want  # no weights: all texts stay
+    words = "Some text of a paragraph, which is long enough to be kept."
+    page = f"<article><h1>Big <i>t</i> <b>u</b></h1><p>{words} <b>Breaking</b>\n<i>news</i></p></article>"
+    assert html_text.extract(page, html_text.trained()) == f"Big t u\n{words} Breaking news"
+
+
 def test_given_pages_match_their_articles(spark):
     got = {r["page_id"]: r["text"] for r in queries.op10_html_extraction(spark, SF).collect()}
     for page, source in duckdb.sql(f"select page_id, html from '{SF}/pages.parquet'").fetchall():
