@@ -288,7 +288,7 @@ def _rest(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, node (the digest
-    of the document's set; null for an empty one)."""
+    of the document's set; null for an empty one), text_key (the hash of its text)."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -331,15 +331,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
         "node",
+        "text_key",
     )
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns: one document of each component stays."""
     gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept"))
-    did = fresh(docs, "gone_id")
-    gone = gone.select(F.col("doc_id").alias(did)).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(did)), "left_anti")
+    did, key = fresh(docs, "gone_id"), fresh(docs, "gone_key")
+    gone = gone.select(F.col("doc_id").alias(did), F.col("text_key").alias(key)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(did)) & (F.xxhash64(F.col(text_col)) == F.col(key))
+    return docs.join(gone, same, "left_anti")
 
 
 SQL = r"""

@@ -82,6 +82,24 @@ def test_near_dedup_matches_brute_force(docs):
     assert got == brute_components(ROWS)
 
 
+def test_drop_near_takes_only_the_near_copies(spark):
+    """Of two rows without an id, and of two texts under one id, one each is a near copy."""
+    text = " ".join(f"v{i}" for i in range(200))
+    near = [text.replace(f"v{i} ", f"u{i} ") for i in (20, 90, 160)]
+    rows = [
+        (1, near[0], "x"),
+        (None, near[1], "gone"),
+        (None, "a clean text without an id", "x"),
+        (None, None, "x"),
+        (2, near[2], "gone"),
+        (2, "a clean second text of the same id", "x"),
+        (3, text, "gone"),
+        (3, text, "gone"),
+    ]
+    left = near_dedup.drop_near(spark.createDataFrame(rows, SCHEMA))
+    assert by_row(left, "doc_id", "text", "kept") == sorted((r for r in rows if r[2] == "x"), key=str)
+
+
 def test_chained_edits_form_one_component(spark):
     """Copies linked only through others, and a crowd of texts that share a passage."""
     rng = np.random.default_rng(3)
