@@ -6,7 +6,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from foresail.contracts import BacktestContract, ForecastContract, RunPins
@@ -28,8 +28,8 @@ select date, store_nbr, region, sales,
        lead(sales) over w as sales_store_n1d, lead(sales, 2) over w as sales_store_n2d
 from store_day window w as (partition by store_nbr order by date)"""
 FEATURES = ["sales_store_l1d", "avg_sales_store_l7d", "month"]
-LIGHT = {"maxIter": 5, "maxDepth": 3}
-FOREST = {"numTrees": 5, "maxDepth": 4}
+HORIZONS = range(1, 8)
+TRIALS = 50
 
 
 def rows(s: Source):
@@ -48,24 +48,34 @@ METRICS = "mae:f rmse:f wape:f r2:f bias:f median_ae:f metric_set"
 
 @query("ml1_gbt_before_cutoff", SCORED)
 def gbt(s: Source):
-    model = ml.train_before(rows(s), FEATURES, "sales_store_n1d", s.train_end, LIGHT)
+    model = ml.train_before(rows(s), FEATURES, "sales_store_n1d", s.train_end)
     return ml.score(model, rows(s).filter(F.col("date") > F.lit(s.train_end)), ["store_nbr", "date"])
 
 
 @query("ml2_gbt_holdout", METRICS)
 def gbt_holdout(s: Source):
-    return ml.train_with_holdout(rows(s), FEATURES, "sales_store_n1d", ["store_nbr"], ml.train_gbt, LIGHT, purge_days=7)[1]
+    return ml.train_with_holdout(rows(s), FEATURES, "sales_store_n1d", ["store_nbr"], purge_days=7)[1]
 
 
 @query("ml3_random_forest_holdout", METRICS)
 def forest_holdout(s: Source):
-    return ml.train_with_holdout(rows(s), FEATURES, "sales_store_n1d", ["store_nbr"], ml.train_rf, FOREST)[1]
+    return ml.train_with_holdout(rows(s), FEATURES, "sales_store_n1d", ["store_nbr"], ml.train_rf)[1]
+
+
+def direct_models(s: Source):
+    """Boosted trees for every horizon."""
+    w = Window.partitionBy("store_nbr").orderBy("date")
+    targets = {h: f"sales_store_n{h}d" for h in HORIZONS}
+    ahead = s.rel("model_rows").withColumns({name: F.lead("sales", h).over(w) for h, name in targets.items()})
+    train = ahead.dropna(subset=["sales_store_l1d", "avg_sales_store_l7d"]).persist()
+    try:
+        return ml.train_direct(train, targets, FEATURES)
+    finally:
+        train.unpersist()
 
 
 def direct(s: Source):
-    targets = {1: "sales_store_n1d", 2: "sales_store_n2d"}
-    models = ml.train_direct(rows(s), targets, FEATURES, {}, ml.train_linear)
-    return ml.score(models, rows(s), ["store_nbr", "date", "sales"])
+    return ml.score(direct_models(s), rows(s), ["store_nbr", "date", "sales"])
 
 
 @query("ml4_direct_horizons", "store_nbr:i date:d forecast_horizon:i prediction:f")
@@ -88,9 +98,8 @@ def incomplete(s: Source):
 
 @query("ml6_batch_score", "store_nbr:i date:d forecast_horizon:i prediction:f")
 def batch_score(s: Source):
-    model = ml.train_linear(rows(s), FEATURES, "sales_store_n1d")
     recent = rows(s).filter(F.col("date") > F.lit(s.train_end - dt.timedelta(days=14)))
-    return ml.score({1: model}, recent, ["store_nbr", "date"])
+    return ml.score(direct_models(s), recent, ["store_nbr", "date"])
 
 
 META = {
@@ -170,9 +179,9 @@ def seasonal(s: Source):
 @query("ml13_random_search", "optimize_run_id config_name trial_number:i objective_metric objective_value:f parameters")
 def search(s: Source):
     train, held = sp.chrono_split(rows(s).dropna(subset=["sales_store_n1d"]), 0.2, "date", ["store_nbr"])
-    space = {"maxIter": [2, 4], "maxDepth": (2, 3), "stepSize": (0.05, 0.3)}
+    space = {"maxIter": (50, 500), "maxDepth": (2, 10), "stepSize": (0.01, 0.3), "subsamplingRate": (0.5, 1.0)}
     at = dt.datetime(2001, 12, 1)
-    return ml.random_search(train, held, FEATURES, "sales_store_n1d", space, 2, 7, "gbt_store", "run1", at)
+    return ml.random_search(train, held, FEATURES, "sales_store_n1d", space, TRIALS, 7, "gbt_store", "run1", at)
 
 
 SHARED["trial_ledger"] = """
@@ -197,16 +206,14 @@ def best(s: Source):
 @query("bt14_score_model", "store_nbr:i forecast_origin:d horizon:i baseline_name prediction:f")
 def model_backtest(s: Source):
     c = contract(s)
-    named = BacktestContract(**{**c.__dict__, "model_config_name": "linear_store", "train_window_days": 365})
-    return ml.score_model(rows(s), named, FEATURES, "sales_store_n1d", 1, ml.train_linear, {})
+    named = BacktestContract(**{**c.__dict__, "model_config_name": "gbt_store", "train_window_days": 365})
+    return ml.score_model(rows(s), named, FEATURES, "sales_store_n1d", 1)
 
 
 @query("bt20_walk_forward", "store_nbr:i date:d as_of:d actual:f prediction:f")
 def walk_forward(s: Source):
     end = s.train_end
-    return ml.walk_forward(
-        rows(s), end - dt.timedelta(days=14), end, 7, 180, FEATURES, "sales_store_n1d", ml.train_linear, {}
-    )
+    return ml.walk_forward(rows(s), end - dt.timedelta(days=14), end, 7, 180, FEATURES, "sales_store_n1d")
 
 
 # --- a staged batch ---------------------------------------------------------------------------
