@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 
-from foresail.llm import html_text, language, pieces, quality, queries, secrets, token_counts, toxicity
+from foresail.llm import html_text, language, pieces, quality, queries, secrets, token_counts, toxicity, training
 
 SF = "/root/testdata/sf0.01"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -191,6 +191,14 @@ def test_language_sums_do_not_depend_on_batches(monkeypatch):
     assert np.allclose(language.predictions(model, column)[1], whole)
 
 
+def test_sample_is_filled_from_short_texts(spark):
+    """Labels of long texts and of ids without a document take no place in the sample."""
+    docs = spark.range(300).selectExpr("id as doc_id", "if(id < 290, repeat('x', 200), 'short') as text")
+    labels = spark.range(600).selectExpr("id as doc_id", "1 as label")
+    got = training.labelled_sample(docs, labels, 10, 100)
+    assert len(got) >= 9 and {r[1] for r in got} == {"short"}  # two of the ten ids may share a slot
+
+
 def test_toxicity_on_held_out_rows(spark, awkward, empty):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     out = queries.op7_toxicity(spark, SF).collect()
