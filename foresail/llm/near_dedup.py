@@ -15,7 +15,7 @@ to components.
   nearest to the first. What is left is compared node by node, but only across
   components, never a pair twice, and only where the sizes, the triangle inequality of
   the Jaccard distance and a sketch of 2048 bits leave a link possible; the first two
-  are exact, the sketch passes over a link of similarity 0.75 with a chance of 4e-6.
+  are exact, the sketch passes over a link of similarity 0.75 with a chance of 1e-9.
 * Links are confirmed on the full sets of hashed shingles; components come from
   alternating large-star and small-star steps over tables.
 
@@ -46,8 +46,8 @@ LIKE = 75  # percent
 SEED = 4
 SKETCH = 1024  # permutations of a node's sketch: one bit of each minimum and maximum
 # Bits of two sketches that may differ: at the least similarity of a link an eighth is
-# expected; 4.5 standard deviations more are passed by all but 4 of a million.
-SKETCH_OFF = int(2 * SKETCH / 8 + 4.5 * (2 * SKETCH * 7 / 64) ** 0.5)
+# expected; 6.3 standard deviations more are passed by all but 1 of a thousand million.
+SKETCH_OFF = int(2 * SKETCH / 8 + 6.3 * (2 * SKETCH * 7 / 64) ** 0.5)
 
 SEPARATOR = textnum.table(" \t\n\x0b\x0c\r")
 FOLDED = textnum.lower_ascii()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -115,6 +116,13 @@ def test_chained_edits_form_one_component(spark):
     assert got == brute_components(rows)
 
 
+def test_sketch_passes_over_fewer_links_than_the_bands():
+    """Chance that more bits than SKETCH_OFF differ in a pair at the limit, one of eight expected."""
+    n = 2 * near_dedup.SKETCH
+    lost = sum(math.comb(n, k) * 7 ** (n - k) for k in range(near_dedup.SKETCH_OFF + 1, n + 1))
+    assert lost * 10**9 <= 8**n
+
+
 def test_min_max_estimate_is_close():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
