@@ -449,11 +449,11 @@ def stream_append(s: Source):
     for after, before in reversed(list(zip(cuts, cuts[1:], strict=False))):
         part = events.where(F.col("ts") >= F.lit(after))
         part = part if before is None else part.where(F.col("ts") < F.lit(before))
-        part.coalesce(1).write.mode("append").parquet(source)
-    arriving = s.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    # every event arrives twice
-    doubled = arriving.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
-    se.stream_insert_once(doubled, path, "event_id", folder).awaitTermination()
+        part.write.mode("append").parquet(source)
+        arriving = s.spark.readStream.schema(events.schema).parquet(source)
+        # every event arrives twice
+        doubled = arriving.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+        se.stream_insert_once(doubled, path, "event_id", folder).awaitTermination()
     return s.spark.read.parquet(path)
 
 

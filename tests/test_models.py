@@ -6,6 +6,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 
 import __spark_entry__ as entry
 from foresail.operators import models as ml
+from foresail.streaming import events as se
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +48,19 @@ def test_model_queries_use_full_models(spark, monkeypatch):
             assert {r[0] for r in out.select("forecast_horizon").distinct().collect()} == set(range(1, 8))
     [(space, n)] = trials
     assert n == 50 and space["maxIter"] == (50, 500) and space["maxDepth"] == (2, 10)
+
+
+def test_stream_reads_each_part_as_a_whole(spark, monkeypatch):
+    """One run per part over all of its files, none held to one file a batch."""
+    run, batches = se.stream_insert_once, []
+
+    def counted(*args):
+        out = run(*args)
+        out.awaitTermination()
+        batches.append(len([p for p in out.recentProgress if p["numInputRows"]]))
+        return out
+
+    monkeypatch.setattr(se, "stream_insert_once", counted)
+    got = entry.queries()["ss1_stream_insert_once"](spark, SF)
+    assert batches == [1, 1, 1]
+    assert got.count() == spark.read.parquet(f"{SF}/events.parquet").count()
