@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foresail.llm import (
     decontaminate,
+    embedding_dedup,
     exact_dedup,
     html_text,
     language,
@@ -72,6 +73,10 @@ def op10_html_extraction(spark, sf_dir):
     return html_text.main_text(documents(spark, sf_dir, "pages"))
 
 
+def op13_embedding_near_dedup(spark, sf_dir):
+    return embedding_dedup.near_vectors(documents(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,10 +90,12 @@ QUERIES = {
         op8_benchmark_decontamination,
         op9_quality_classifier,
         op10_html_extraction,
+        op13_embedding_near_dedup,
     )
 }
 ORACLES = {
     "op4_minhash_near_dedup": near_dedup.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op8_benchmark_decontamination": decontaminate.SQL,
+    "op13_embedding_near_dedup": embedding_dedup.SQL,
 }
