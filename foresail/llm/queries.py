@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from foresail.llm import (
+    alignment,
     decontaminate,
     embedding_dedup,
     exact_dedup,
@@ -24,6 +25,7 @@ from foresail.llm import (
 from foresail.llm.common import documents
 
 VOCABULARY = "piece_bpe_32k.model"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_language_id(spark, sf_dir):
@@ -73,6 +75,11 @@ def op10_html_extraction(spark, sf_dir):
     return html_text.main_text(documents(spark, sf_dir, "pages"))
 
 
+def op12_tokenizer_alignment(spark, sf_dir):
+    byte_level, pieces_file = public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.path(VOCABULARY)
+    return alignment.alignment(documents(spark, sf_dir), byte_level, pieces_file)
+
+
 def op13_embedding_near_dedup(spark, sf_dir):
     return embedding_dedup.near_vectors(documents(spark, sf_dir, "embeddings"))
 
@@ -90,6 +97,7 @@ QUERIES = {
         op8_benchmark_decontamination,
         op9_quality_classifier,
         op10_html_extraction,
+        op12_tokenizer_alignment,
         op13_embedding_near_dedup,
     )
 }
