@@ -22,8 +22,8 @@ Vectors are linked where their cosine is LIKE or more, in double precision.
 The work is (rows x shards) searches. A shard holds SHARD nodes at most on average, so a
 task needs the two matrices, the graphs and 134 MB of bits, whatever the table's size.
 
-Defined results: a vector that is null, empty, zero, or holds null or non-finite
-components links with nothing and is a component by itself; vectors of different length
+Defined results: a vector that is null, empty, zero, holds null or non-finite components,
+or has a squared norm that doubles cannot hold links with nothing and is a component by itself; vectors of different length
 are never linked. Rows with a null id are linked as others are; a component's id is its
 smallest id, null only if it has no other. Rows that repeat an id count each, and every
 input row gives one row. An empty table gives an empty result; labels and other columns
@@ -48,6 +48,7 @@ LEAST_SHARDS, WORTH = 4, 1024
 WIDTH = 48
 AUDIT, AUDITED = 0.99, 256
 ROUNDING = 2e-5  # more than 64 to 4096 products in single precision can be off
+TASKS = 20_000  # partitions at most; more pairs of shards share them
 EDGES = 1 << 20  # pairs looked at together when components are closed
 
 SHARDS = "dim int, shard int, nodes binary, weights binary, vectors binary, links binary, sizes array<int>"
@@ -253,8 +254,9 @@ def _pair(keys, lefts, rights):
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept."""
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    nonzero = F.exists("vector", lambda x: x != 0)
-    rows = rows.withColumn("vector", F.when(finite(F.col("vector")) & nonzero, F.col("vector")))
+    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    sound = finite(F.col("vector")) & (square > 0) & (square < float("inf"))
+    rows = rows.withColumn("vector", F.when(sound, F.col("vector")))
     # adding 0.0 makes -0.0 the same value
     rows = rows.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
     key = F.struct(F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(13), "vector").alias("h2"))
@@ -267,8 +269,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     nodes = written(nodes, "vector-nodes")
 
     sizes = nodes.groupBy("dim").agg(shard_count(F.count(F.lit(1)), SHARD, LEAST_SHARDS, WORTH).alias("shards"))
+    # a task for about every shard and pair of shards: their rows are few, their work is not
+    count = sizes.agg(F.sum("shards"), F.sum(F.col("shards") * (F.col("shards") + 1) / 2)).first()
+    shard_tasks, pair_tasks = (min(TASKS, int(2 * (n or 0)) + 1) for n in count)
     dealt = nodes.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("node"), "shards").cast("int"))
-    shards = dealt.select("dim", "shard", "node", "weight", "vector").groupBy("dim", "shard")
+    dealt = dealt.select("dim", "shard", "node", "weight", "vector")
+    shards = dealt.repartition(shard_tasks, "dim", "shard").groupBy("dim", "shard")
     shards = written(shards.applyInArrow(shard_rows, SHARDS), "vector-shards").join(sizes, "dim")
 
     lefts = shards.withColumns({"a": F.col("shard"), "b": F.explode(F.sequence("shard", F.col("shards") - 1))})
@@ -277,7 +283,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     lefts = lefts.join(shards.select("dim", F.col("shard").alias("b")), ["dim", "b"], "left_semi")
     rights = rights.join(shards.select("dim", F.col("shard").alias("a")), ["dim", "a"], "left_semi")
     rights = rights.toDF(*rights.columns)  # columns of their own: both sides are one table
-    found = lefts.groupBy("dim", "a", "b").cogroup(rights.groupBy("dim", "a", "b")).applyInArrow(_pair, FOUND)
+    by = ["dim", "a", "b"]
+    lefts, rights = (side.repartition(pair_tasks, *by).groupBy(*by) for side in (lefts, rights))
+    found = lefts.cogroup(rights).applyInArrow(_pair, FOUND)
     found = written(found, "vector-links")
 
     links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
@@ -303,8 +311,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 SQL = """
 with recursive v as materialized (
   select vec_id, cast(embedding as double[]) as x from embeddings
-  where len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-    and len(list_filter(embedding, x -> x <> 0)) > 0),
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 n as materialized (select vec_id, x, sqrt(list_dot_product(x, x)) as n from v),
 links as materialized (
   select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id <> b.vec_id and len(a.x) = len(b.x)

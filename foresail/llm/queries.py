@@ -13,6 +13,7 @@ from foresail.llm import (
     decontaminate,
     embedding_dedup,
     exact_dedup,
+    hard_negatives,
     html_text,
     language,
     near_dedup,
@@ -75,6 +76,10 @@ def op10_html_extraction(spark, sf_dir):
     return html_text.main_text(documents(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    return hard_negatives.hard_negatives(documents(spark, sf_dir, "embeddings"))
+
+
 def op12_tokenizer_alignment(spark, sf_dir):
     byte_level, pieces_file = public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.path(VOCABULARY)
     return alignment.alignment(documents(spark, sf_dir), byte_level, pieces_file)
@@ -97,6 +102,7 @@ QUERIES = {
         op8_benchmark_decontamination,
         op9_quality_classifier,
         op10_html_extraction,
+        op11_hard_negatives,
         op12_tokenizer_alignment,
         op13_embedding_near_dedup,
     )
@@ -105,5 +111,6 @@ ORACLES = {
     "op4_minhash_near_dedup": near_dedup.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op8_benchmark_decontamination": decontaminate.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
     "op13_embedding_near_dedup": embedding_dedup.SQL,
 }
