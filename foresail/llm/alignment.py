@@ -7,8 +7,9 @@ number of links of the whole corpus that hold it.
 
 * Documents of a task are numbered in blocks of BLOCK. A block keeps, for each pair, the
   bitmap of its documents and multiplicity planes: plane k is the bitmap of documents in
-  which the pair's links less one have bit k. Bitmaps of batches are OR-merged into the
-  block's; a bitmap is a sorted list of positions or, if that is longer, a bit set.
+  which the pair's links less one have bit k. The bits of its documents are OR-merged when
+  a block is full, for all pairs at once; a bitmap is a sorted list of positions or, if
+  that is longer, a bit set.
 * Popcounts give a pair's documents and, weighted by plane, its links in the block;
   blocks hold different documents, so their counts are added, map-side first.
 * Scores (a pair's count, whether it is the highest of its B id) go back to every block
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,9 @@ from foresail.llm.common import bounded_batches, written
 from foresail.llm.vectors import numbers
 
 BLOCK = 4096  # documents a block, at most
-BLOCK_POSTINGS = 3_000_000  # (document, pair) entries after which a block is closed
-KEPT = 96_000_000  # estimated bytes of aligned parts that a worker keeps
+BLOCK_POSTINGS = 1_500_000  # (document, pair) entries after which a block is closed
+KEPT = 200_000_000  # estimated bytes of aligned parts that a worker keeps
+LEARNED = 1 << 19  # characters of new parts aligned together
 MARK = "▁"
 CUT = re.compile(rf"(?<=[^\s{MARK}]) (?=[^\s{MARK}])")
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -94,23 +97,11 @@ class Tokens:
 
     def encoded(self, texts: list[str]):
         ids_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        return zip(ids_a, self.b.encode(texts, num_threads=1), strict=True)
+        return ids_a, self.b.encode(texts, num_threads=1)
 
 
-def aligned(ids_a, ids_b, ends_a, ends_b):
-    """(groups as text, number of groups, links as (a, b) pairs)."""
-    groups, links, i, j, from_a, from_b = [], [], 0, 0, 0, 0
-    while i < len(ids_a) and j < len(ids_b):
-        links.append((ids_a[i], ids_b[j]))
-        if ends_a[i] == ends_b[j]:
-            i, j = i + 1, j + 1
-            groups.append(f"{','.join(map(str, ids_a[from_a:i]))}|{','.join(map(str, ids_b[from_b:j]))}")
-            from_a, from_b = i, j
-        elif ends_a[i] < ends_b[j]:
-            i += 1
-        else:
-            j += 1
-    return ";".join(groups), len(groups), links
+def _joined(bytes_of, ids) -> bytes:
+    return b"".join(map(bytes_of.__getitem__, ids))
 
 
 class Aligner:
@@ -118,14 +109,23 @@ class Aligner:
 
     def __init__(self, tokens: Tokens):
         self.tokens = tokens
+        n_a = max(tokens.bytes_a) + 1
+        self.length_a = np.zeros(n_a, np.int64)
+        for i, data in tokens.bytes_a.items():
+            self.length_a[i] = len(data)
+        self.length_b = np.array([len(x) for x in tokens.bytes_b], np.int64)
+        # ids as text with what follows them: within a group, at the end of its A or B half
+        as_text = [f"{i}{end}" for n, ends in ((n_a, ",|"), (len(self.length_b), ",;")) for end in ends for i in range(n)]
+        self.as_text = np.array(as_text, object)
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.text: list[str] = []
-        self.sizes: list[tuple] = []  # n_a, n_b, n_groups, n_links of a part
-        self.pairs: list[np.ndarray] = []
-        self.good: list[bool] = []
+        self.good = np.zeros(0, bool)
+        self.sizes = np.zeros((0, 4), np.int64)  # n_a, n_b, n_groups, n_links of a part
+        self.first = np.zeros(0, np.int64)  # of a part's links in ``links``
+        self.links = np.zeros(0, np.int64)
         self.kept = 0
 
     def parts(self, text: str) -> list[str]:
@@ -136,24 +136,56 @@ class Aligner:
             return words
         return CUT.split(text)
 
+    def _ends(self, ids: list[list[int]], length, bytes_of, data: list[bytes], base):
+        """Tokens, their parts and ends over all parts, and the parts they spell."""
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum()))
+        part = np.repeat(np.arange(len(ids)), counts)
+        ends = np.cumsum(length[flat])
+        total = np.bincount(part, weights=length[flat], minlength=len(ids)).astype(np.int64)
+        good = total == np.fromiter(map(len, data), np.int64, len(data))
+        if not good.all() or _joined(bytes_of, flat.tolist()) != b"".join(data):
+            good = np.array([_joined(bytes_of, own) == text for own, text in zip(ids, data, strict=True)], bool)
+        ends += np.repeat(base - (np.cumsum(total) - total), counts)
+        return flat, part, ends, counts, good
+
     def learn(self, parts: list[str]) -> None:
+        """Align new parts, all of them at once: a link is a stretch between two ends of
+        either tokenizer, a group one between two ends of both."""
         tokens = self.tokens
-        for part, (ids_a, ids_b) in zip(parts, tokens.encoded(parts), strict=True):
-            in_a = [tokens.bytes_a[i] for i in ids_a]
-            in_b = [tokens.bytes_b[i] for i in ids_b]
-            data = b" " + part.encode()
-            good = b"".join(in_a) == data == b"".join(in_b)
-            text, n_groups, links = "", 0, []
-            if good:
-                text, n_groups, links = aligned(
-                    ids_a, ids_b, np.cumsum([len(x) for x in in_a]).tolist(), np.cumsum([len(x) for x in in_b]).tolist()
-                )
-            self.known[part] = len(self.text)
-            self.text.append(text)
-            self.good.append(good)
-            self.sizes.append((len(ids_a), len(ids_b), n_groups, len(links)))
-            self.pairs.append(np.array([(a << 32) | b for a, b in links], np.int64))
-            self.kept += 400 + 3 * len(data) + 8 * len(links) + len(text)
+        ids_a, ids_b = tokens.encoded(parts)
+        data = [b" " + p.encode() for p in parts]
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        base = np.cumsum(sizes) - sizes
+        a, part_a, end_a, n_a, good_a = self._ends(ids_a, self.length_a, tokens.bytes_a, data, base)
+        b, part_b, end_b, n_b, good_b = self._ends(ids_b, self.length_b, tokens.bytes_b, data, base)
+        good = good_a & good_b
+        if not good.all():
+            keep_a, keep_b = good[part_a], good[part_b]
+            a, part_a, end_a = a[keep_a], part_a[keep_a], end_a[keep_a]
+            b, part_b, end_b = b[keep_b], part_b[keep_b], end_b[keep_b]
+        last_a, last_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
+        common = end_a[last_a]
+        stretches = np.union1d(end_a, end_b)
+        in_a, in_b = np.searchsorted(end_a, stretches), np.searchsorted(end_b, stretches)
+        n = len(parts)
+        n_groups = np.bincount(part_a[last_a], minlength=n)
+        n_links = np.bincount(part_a[in_a], minlength=n)
+        # the groups as text: A's ids of a group, then B's
+        half = np.concatenate([2 * np.searchsorted(common, end_a), 2 * np.searchsorted(common, end_b) + 1])
+        at_b = 2 * len(self.length_a)
+        which = np.concatenate([a + last_a * len(self.length_a), at_b + b + last_b * len(self.length_b)])
+        words = self.as_text[which[np.argsort(half, kind="stable")]].tolist()
+        stop = np.cumsum(np.where(good, n_a + n_b, 0)).tolist()
+        texts = ["".join(words[lo:hi])[:-1] for lo, hi in zip([0, *stop], stop)]
+
+        self.known.update(zip(parts, range(len(self.text), len(self.text) + n)))
+        self.text += texts
+        self.good = np.concatenate([self.good, good])
+        self.sizes = np.concatenate([self.sizes, np.stack([n_a, n_b, n_groups, n_links], 1)])
+        self.first = np.concatenate([self.first, len(self.links) + np.cumsum(n_links) - n_links])
+        self.links = np.concatenate([self.links, (a[in_a] << 32) | b[in_b]])
+        self.kept += 300 * n + int(sizes.sum()) + sum(map(len, texts)) + 8 * len(in_a)
 
     def documents(self, texts: list[str]):
         """(sizes, sha256, pairs, links of each pair) of every text."""
@@ -162,29 +194,25 @@ class Aligner:
         rows = [self.parts(t) if t else [] for t in texts]
         known = self.known
         new = list({p for parts in rows for p in parts if p not in known})
-        # new parts in pieces: their encodings are short-lived
         lo = 0
-        while lo < len(new):
+        while lo < len(new):  # some text at a time: encodings take much more room
             hi, size = lo, 0
-            while hi < len(new) and (hi == lo or size + len(new[hi]) <= 1 << 20):
+            while hi < len(new) and (hi == lo or size + len(new[hi]) <= LEARNED):
                 size += len(new[hi])
                 hi += 1
             self.learn(new[lo:hi])
             lo = hi
         none = (np.zeros(4, np.int64), "", np.zeros(0, np.int64), np.zeros(0, np.int64))
-        good, sizes = np.array(self.good, bool), np.array(self.sizes, np.int64).reshape(-1, 4)
         for parts in rows:
             at = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
-            if not len(at) or not good[at].all():
+            if not len(at) or not self.good[at].all():
                 yield none
                 continue
             text = ";".join(map(self.text.__getitem__, at.tolist()))
-            used, times = np.unique(at, return_counts=True)
-            pairs = np.concatenate([self.pairs[i] for i in used])
-            links = np.repeat(times, sizes[used, 3])
-            pairs, back = np.unique(pairs, return_inverse=True)
-            links = np.bincount(back, weights=links, minlength=len(pairs)).astype(np.int64)
-            yield sizes[at].sum(0), hashlib.sha256(text.encode()).hexdigest(), pairs, links
+            links = self.sizes[at, 3]
+            spots = np.repeat(self.first[at] - (np.cumsum(links) - links), links) + np.arange(links.sum())
+            pairs, times = np.unique(self.links[spots], return_counts=True)
+            yield self.sizes[at].sum(0), hashlib.sha256(text.encode()).hexdigest(), pairs, times
 
 
 def packed(positions: np.ndarray) -> bytes:

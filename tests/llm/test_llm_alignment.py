@@ -121,7 +121,7 @@ def test_pair_counts_over_the_corpus(spark):
     df = spark.createDataFrame([(1, "the cat the cat"), (2, "the dog"), (3, None)], "doc_id long, text string")
     index = alignment.blocks(df, *PATHS, "doc_id", "text")
     tokens = alignment.Tokens(*PATHS)
-    (a, b), = [x for x in tokens.encoded(["the"])]
+    (a,), (b,) = tokens.encoded(["the"])
     row = {r.pair: r for r in alignment.pair_counts(index).collect()}[(a[0] << 32) | b[0]]
     assert (row.n_docs, row.n_links) == (2, 3)
     assert re.fullmatch(r"[0-9a-f]{64}", alignment.alignment(df, *PATHS).where("doc_id = 2").first().groups_sha256)
