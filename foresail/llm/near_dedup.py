@@ -12,10 +12,11 @@ to components.
 * Documents with equal sets are one node from then on, however many there are.
 * Nodes of one bucket are compared with one of them, never all with all. In a bucket
   whose nodes are then in several components they are compared with a second one, the
-  nearest to the first. What is left is compared node by node, but only across
-  components, never a pair twice, and only where the sizes, the triangle inequality of
-  the Jaccard distance and a sketch of 2048 bits leave a link possible; the first two
-  are exact, the sketch passes over a link of similarity 0.75 with a chance of 1e-9.
+  nearest to the first. What is left is compared across components inside the join, a
+  pair only in the first of its common buckets: sizes, the triangle inequality of the
+  Jaccard distance and a sketch of 2048 bits come before the full sets, and only links
+  become rows. The sketch passes over a link of similarity 0.75 with a chance of 1e-9,
+  the rest is exact.
 * Links are confirmed on the full sets of hashed shingles; components come from
   alternating large-star and small-star steps over tables.
 
@@ -49,6 +50,7 @@ SKETCH = 1024  # permutations of a node's sketch: one bit of each minimum and ma
 # expected; 6.3 standard deviations more are passed by all but 1 of a thousand million.
 SKETCH_OFF = int(2 * SKETCH / 8 + 6.3 * (2 * SKETCH * 7 / 64) ** 0.5)
 
+
 SEPARATOR = textnum.table(" \t\n\x0b\x0c\r")
 FOLDED = textnum.lower_ascii()
 SIGNED = "doc_id {id}, text_key long, n_shingles long, node binary, bands array<long>"
@@ -251,37 +253,47 @@ def node_links(members: DataFrame, sets: DataFrame) -> DataFrame | None:
     pairs = left.join(second, "key").join(labels.toDF("pivot", "pivot_root"), "pivot", "left")
     pairs = pairs.where(F.coalesce("pivot_root", "pivot") != F.col("root"))
     pairs = _ordered(pairs, "pivot", "node").distinct().join(tested, ["a", "b"], "left_anti")
-    more = written(compared(pairs, sets), "compared")
-    if not more.isEmpty():
-        tested = tested.union(more)
-        labels = components(linked(tested), "components")
+    labels = _merged(labels, written(linked(compared(pairs, sets)), "links-second"))
+    return _merged(labels, written(_rest(_open(rows, labels), sets).distinct(), "links-rest"))
+
 
-    pairs = _rest(_open(rows, labels), sets).distinct().join(tested, ["a", "b"], "left_anti")
-    more = written(compared(pairs, sets), "compared")
-    if not linked(more).isEmpty():
-        labels = components(linked(tested.union(more)), "components")
-    return labels
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, root) after more links (a, b): only roots are run through."""
+    if links.isEmpty():
+        return labels
+    ends = links.select("a").union(links.select("b")).distinct().toDF("node")
+    labels = labels.union(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("root")))
+    labels = written(labels, "labels")
+    roots = links.join(labels.toDF("a", "root_a"), "a").join(labels.toDF("b", "root_b"), "b")
+    roots = components(roots.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), "components")
+    over = labels.join(roots.toDF("root", "over"), "root", "left")
+    return written(over.select("node", F.coalesce("over", "root").alias("root")), "labels")
 
 
 def _rest(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of a bucket's nodes in different components that may be linked: sizes and
-    distances to the bucket's first node allow it, and so do their sketches."""
-    more = sets.select("node", F.size("shingles").alias("n"), "sketch")
-    rows = rows.select("key", "node", "root", "far").join(more, "node")
+    """Links (a, b) of a bucket's nodes in different components: their sizes, distances
+    to the bucket's first node and sketches allow it, and last their sets decide. A pair is
+    looked at in the first of its common buckets, and only links become rows."""
+    more = sets.select("node", F.size("shingles").alias("n"), "sketch", "shingles")
+    keys = rows.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    rows = rows.select("key", "node", "root", "far").join(keys, "node").join(more, "node")
     largest = rows.groupBy("key", "root").count()
     largest = largest.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
     few = rows.join(largest, "key").where("root != main").drop("main")
     few = few.select(
-        "key", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("far").alias("x_far"),
-        F.col("n").alias("x_n"), F.col("sketch").alias("x_sketch"),
+        "key", *[F.col(c).alias(f"x_{c}") for c in ("root", "far", "n", "sketch", "keys", "shingles")],
+        F.col("node").alias("x"),
     )
     words = range(2 * SKETCH // 64)
     other = [F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("x_sketch", F.lit(i)))) for i in words]
+    both = F.size(F.array_intersect("shingles", "x_shingles"))
     near = (
         (F.col("root") != F.col("x_root"))
         & (F.abs(F.col("far") - F.col("x_far")) <= (100 - LIKE) / 100 + 1e-9)
         & (100 * F.least("n", "x_n") >= LIKE * F.greatest("n", "x_n"))
         & (reduce(add, other) <= SKETCH_OFF)
+        & (F.array_min(F.array_intersect("keys", "x_keys")) == F.col("key"))
+        & (100 * both >= LIKE * (F.col("n") + F.col("x_n") - both))
     )
     return _ordered(few.join(rows, "key").where(near), "x", "node")
 

@@ -116,6 +116,29 @@ def test_chained_edits_form_one_component(spark):
     assert got == brute_components(rows)
 
 
+def test_crowd_around_the_limit(spark, monkeypatch):
+    """Edited copies of one text, most pairs just below or above the limit: all links are
+    found, and the last comparison makes no rows but links."""
+    rng = np.random.default_rng(8)
+    base, rows = [f"c{i}" for i in range(150)], []
+    for i in range(160):
+        words = list(base)
+        for at in rng.choice(150, rng.integers(2, 6), replace=False):
+            words[at] = f"e{i}_{at}"
+        rows.append((i, " ".join(words), None))
+    seen, rest = [], near_dedup._rest
+
+    def counted(members, sets):
+        pairs = near_dedup.written(rest(members, sets), "counted")
+        seen.append((pairs.count(), near_dedup.linked(near_dedup.compared(pairs, sets)).count()))
+        return pairs
+
+    monkeypatch.setattr(near_dedup, "_rest", counted)
+    got = by_row(near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == brute_components(rows)
+    assert seen and all(pairs == links for pairs, links in seen)
+
+
 def test_sketch_passes_over_fewer_links_than_the_bands():
     """Chance that more bits than SKETCH_OFF differ in a pair at the limit, one of eight expected."""
     n = 2 * near_dedup.SKETCH
