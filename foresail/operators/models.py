@@ -10,24 +10,35 @@ from __future__ import annotations
 import datetime as dt
 import json
 import random
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
+from threading import Lock
 
 import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import (
+    GBTRegressor,
+    LinearRegression,
+    RandomForestRegressionModel,
+    RandomForestRegressor,
+)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foresail.contracts import BacktestContract
 from foresail.functions.expr import safe_divide, stable_id
-from foresail.operators.backtest import entity_grid, plan
+from foresail.operators.backtest import entity_grid, origins, plan
+from foresail.operators.features import lead_exact
 from foresail.operators.metrics import holdout_metrics
 from foresail.operators.splits import chrono_split, validate_features
+from foresail.session import work_root
+from foresail.sources.history import predict_slice, train_slice
 
 # Default hyper-parameters.
 GBT_DEFAULTS = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 5, "subsamplingRate": 0.8, "seed": 42}
@@ -46,6 +57,22 @@ def train_gbt(df: DataFrame, features: Sequence[str], label: str, params: Mappin
     return _fit(GBTRegressor(**{**GBT_DEFAULTS, **(params or {})}), df, features, label)
 
 
+def train_gbt_early(
+    df: DataFrame, features: Sequence[str], label: str, params: Mapping | None = None, date: str = "date",
+    share: float = 0.1,
+) -> PipelineModel:
+    """Boosted trees that stop once the latest ``share`` of the calendar no longer gains.
+
+    Those dates are only validated on; the rounds of the defaults are the most there are.
+    """
+    lo, hi = df.filter(F.col(label).isNotNull()).agg(F.min(date), F.max(date)).first()
+    if lo is None:
+        raise ValueError("training needs labelled rows")
+    late = F.col(date) > F.lit(hi - dt.timedelta(days=int((hi - lo).days * share)))
+    watched = {"validationIndicatorCol": "_validate", "validationTol": 1e-3}
+    return train_gbt(df.withColumn("_validate", late), features, label, {**watched, **(params or {})})
+
+
 def train_rf(df: DataFrame, features: Sequence[str], label: str, params: Mapping | None = None) -> PipelineModel:
     return _fit(RandomForestRegressor(**{**RF_DEFAULTS, **(params or {})}), df, features, label)
 
@@ -80,13 +107,29 @@ def train_with_holdout(
     return model, holdout_metrics(scored, label, "prediction").withColumn("metric_set", F.lit("test"))
 
 
+def direct_targets(panel: DataFrame, keys: Sequence[str], date: str, y: str, horizons: Sequence[int]) -> DataFrame:
+    """``panel`` with the value of ``y`` exactly h calendar days ahead, NULL at a gap."""
+    return lead_exact(panel, keys, date, y, horizons)
+
+
+def known_by(df: DataFrame, as_of: dt.date, horizon: int, date: str = "date") -> DataFrame:
+    """Rows whose label, ``horizon`` days later, lies before ``as_of``."""
+    return df.filter(F.date_add(F.col(date), horizon) < F.lit(as_of))
+
+
 def train_direct(
-    df: DataFrame, targets: Mapping[int, str], features: Sequence[str], params=None, trainer: Callable = train_gbt
+    df: DataFrame, targets: Mapping[int, str], features: Sequence[str], params=None, trainer: Callable = train_gbt,
+    parallelism: int = 4,
 ) -> dict[int, PipelineModel]:
-    """One estimator per horizon over the same features."""
+    """One estimator per horizon over the same features, a few fitted side by side.
+
+    ``df`` is read once for every round of every fit: callers checkpoint or cache it.
+    """
     if not targets:
         raise ValueError("direct training needs a target per horizon")
-    return {h: trainer(df, features, target, params) for h, target in sorted(targets.items())}
+    run = lambda item: (item[0], trainer(df, features, item[1], params))
+    with ThreadPool(min(parallelism, len(targets))) as pool:
+        return dict(pool.map(inheritable_thread_target(df.sparkSession)(run), sorted(targets.items())))
 
 
 def score(models: PipelineModel | Mapping[int, PipelineModel], df: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -219,25 +262,21 @@ def recent_wape(pred: DataFrame, actuals: DataFrame) -> DataFrame:
 
 
 def top_k_attributions(model: PipelineModel, df: DataFrame, features: Sequence[str], k: int, keep: Sequence[str]) -> DataFrame:
-    """The ``k`` largest contributions of a linear model to each prediction.
+    """The ``k`` largest contributions to each prediction, of linear models and of trees.
 
-    A contribution is coefficient times deviation from the feature's mean, so
-    base value plus all contributions is the prediction. Sorting happens inside
-    each row's short array; rows are not shuffled.
+    Base value plus all contributions is the prediction. A linear contribution is the
+    coefficient times the deviation from the feature's mean. On a tree, every split on
+    the way to the leaf moves the node's mean; the move is the split feature's. Rows are
+    not shuffled: sorting happens inside each row's short array. A row that lacks a
+    feature has no prediction and no contributions.
     """
-    linear = model.stages[-1]
-    weights = dict(zip(features, linear.coefficients.toArray().tolist()))
-    scored = model.transform(df)
-    means = scored.agg(*[F.avg(f).alias(f) for f in features]).first().asDict()
-    base = linear.intercept + sum(weights[f] * means[f] for f in features)
+    whole = ~F.greatest(*[F.col(f).isNull() for f in features], F.lit(False))
+    if hasattr(model.stages[-1], "coefficients"):
+        scored, base, parts = _linear_parts(model, df.filter(whole), features)
+    else:
+        scored, base, parts = _tree_parts(model, df.filter(whole))
     pairs = F.array(
-        *[
-            F.struct(
-                F.lit(f).alias("feature"),
-                (F.lit(weights[f]) * (F.col(f).cast("double") - F.lit(means[f]))).alias("attribution"),
-            )
-            for f in features
-        ]
+        *[F.struct(F.lit(f).alias("feature"), part.alias("attribution")) for f, part in zip(features, parts, strict=True)]
     )
 
     def order(a: Column, b: Column) -> Column:
@@ -246,14 +285,91 @@ def top_k_attributions(model: PipelineModel, df: DataFrame, features: Sequence[s
             a["feature"] > b["feature"], 1
         ).otherwise(0)
 
-    return scored.select(
+    none = [F.lit(None).cast(t) for t in ("double", "double", "array<struct<feature:string,attribution:double>>")]
+    names = ("predicted_value", "base_value", "top_feature_attributions")
+    explained = scored.select(
         *keep,
-        F.col("prediction").alias("predicted_value"),
-        F.lit(base).alias("base_value"),
-        F.slice(F.array_sort(pairs, order), 1, k).alias("top_feature_attributions"),
+        F.col("prediction").alias(names[0]),
+        F.lit(base).alias(names[1]),
+        F.slice(F.array_sort(pairs, order), 1, k).alias(names[2]),
+    )
+    return explained.unionByName(
+        df.filter(~whole).select(*keep, *[c.alias(n) for c, n in zip(none, names, strict=True)])
     )
 
 
+def _linear_parts(model: PipelineModel, df: DataFrame, features: Sequence[str]):
+    linear = model.stages[-1]
+    weights = linear.coefficients.toArray().tolist()
+    scored = model.transform(df)
+    means = list(scored.agg(*[F.avg(f) for f in features]).first())
+    base = linear.intercept + sum(w * (m or 0.0) for w, m in zip(weights, means, strict=True))
+    parts = [F.lit(w) * (F.col(f).cast("double") - F.lit(m)) for f, w, m in zip(features, weights, means, strict=True)]
+    return scored, base, parts
+
+
+def tree_nodes(ensemble) -> DataFrame:
+    """tree, node, mean, left, right, feature of all nodes of a fitted ensemble (left -1:
+    leaf), read back from the form in which Spark stores it."""
+    spark = SparkSession.getActiveSession()
+    path = f"{work_root(spark)}/foresail-trees-{uuid.uuid4().hex}"
+    ensemble.write().save(path)
+    node = "nodeData"
+    return spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), F.col(f"{node}.id").alias("node"), F.col(f"{node}.prediction").alias("mean"),
+        F.col(f"{node}.leftChild").alias("left"), F.col(f"{node}.rightChild").alias("right"),
+        F.col(f"{node}.split.featureIndex").alias("feature"),
+    )
+
+
+def leaf_moves(nodes: Sequence, weights: Sequence[float], n_features: int):
+    """(base, first leaf of each tree, moves): by leaf, numbered from left to right, what
+    each feature's splits on its way add to the tree's mean, times the tree's weight."""
+    by_tree: dict[int, dict[int, tuple]] = {}
+    for r in nodes:
+        by_tree.setdefault(r.tree, {})[r.node] = (r.mean, r.left, r.right, r.feature)
+    base, first, moves = 0.0, [], []
+    for tree, weight in enumerate(weights):
+        own = by_tree[tree]
+        first.append(len(moves))
+        base += weight * own[0][0]
+        todo = [(0, [0.0] * n_features)]
+        while todo:
+            at, so_far = todo.pop()
+            mean, left, right, feature = own[at]
+            if left < 0:
+                moves.append(so_far)
+                continue
+            for child in (right, left):  # the left one is taken up next
+                further = list(so_far)
+                further[feature] += weight * (own[child][0] - mean)
+                todo.append((child, further))
+    return base, first, moves
+
+
+def _tree_parts(model: PipelineModel, df: DataFrame):
+    """A contribution depends on the leaf alone, so it is looked up by leaf: the tables,
+    one for each feature, are bounded by the ensemble and go along as literals."""
+    ensemble, assembler = model.stages[-1], model.stages[0]
+    features = assembler.getInputCols()
+    weights = list(getattr(ensemble, "treeWeights", [1.0]))
+    if isinstance(ensemble, RandomForestRegressionModel):
+        weights = [1.0 / len(weights)] * len(weights)
+    base, first, moves = leaf_moves(tree_nodes(ensemble).collect(), weights, len(features))
+    leafy = ensemble.copy().setLeafCol("_leaf")
+    scored = leafy.transform(assembler.transform(df)).withColumn("_leaf", vector_to_array("_leaf"))
+    literal = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+    at = F.transform(F.arrays_zip(F.col("_leaf").alias("leaf"), literal(first, "int").alias("first")),
+                     lambda t: (t["leaf"] + t["first"] + 1).cast("int"))
+    scored = scored.withColumn("_at", at)
+
+    def part(i: int) -> Column:
+        table = literal([m[i] for m in moves], "double")
+        return F.aggregate("_at", F.lit(0.0), lambda total, leaf: total + F.element_at(table, leaf))
+
+    return scored, base, [part(i) for i in range(len(features))]
+
+
 def linear_terms(model: PipelineModel, df: DataFrame) -> DataFrame:
     """The assembled feature vector as an array column, for inspection."""
     return model.transform(df).withColumn("feature_array", vector_to_array("features"))
@@ -314,14 +430,17 @@ def walk_forward(
     trainer: Callable = train_gbt,
     params: Mapping | None = None,
     keep: Sequence[str] = ("store_nbr", "date"),
+    horizon: int = 1,
 ) -> DataFrame:
-    """Per anchor date: train on the days before it, predict that date."""
-    from foresail.operators.backtest import origins
-    from foresail.sources.history import predict_slice, train_slice
+    """Per anchor date: train on the days before it, predict that date.
 
+    A row is learned from only if its label, ``horizon`` days later, lies before the
+    anchor. Anchors are a handful of literals; each fit is distributed.
+    """
     out = None
     for anchor in origins(start, end, step):
-        model = trainer(train_slice(features_df, anchor, train_days), features, label, params)
+        train = known_by(train_slice(features_df, anchor, train_days), anchor, horizon)
+        model = trainer(train, features, label, params)
         rows = model.transform(predict_slice(features_df, anchor)).select(
             *keep, F.col(label).alias("actual"), "prediction", F.lit(anchor).alias("as_of")
         )
@@ -329,6 +448,51 @@ def walk_forward(
     return out
 
 
+def walk_forward_linear(
+    features_df: DataFrame,
+    start: dt.date,
+    end: dt.date,
+    step: int,
+    train_days: int,
+    features: Sequence[str],
+    label: str,
+    keep: Sequence[str] = ("store_nbr", "date"),
+    horizon: int = 1,
+) -> DataFrame:
+    """``walk_forward`` with least squares for all anchors in one pass over the rows.
+
+    Products of features and label are summed by date; an anchor adds up the dates of its
+    window and solves one small matrix on the driver. What gets there is one matrix a
+    date, whatever the number of rows; anchors without a solution are NULL.
+    """
+    names = ["1", *features]
+    value = {n: F.lit(1.0) if n == "1" else F.col(n).cast("double") for n in names} | {label: F.col(label).cast("double")}
+    pairs = [(a, b) for i, a in enumerate(names) for b in [*names[i:], label]]
+    anchors = origins(start, end, step)
+    whole = features_df.dropna(subset=[label, *features]).filter(
+        F.col("date").between(F.lit(anchors[0] - dt.timedelta(days=train_days)), F.lit(anchors[-1]))
+    )
+    sums = whole.groupBy("date").agg(*[F.sum(value[a] * value[b]).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    by_date = {r["date"]: np.array(r[1:], float) for r in sums.collect()}
+    solved = []
+    for anchor in anchors:
+        days = [anchor - dt.timedelta(days=d) for d in range(horizon + 1, train_days)]
+        total = sum((by_date[d] for d in days if d in by_date), np.zeros(len(pairs)))
+        gram, moment = np.zeros((len(names),) * 2), np.zeros(len(names))
+        for (a, b), v in zip(pairs, total.tolist(), strict=True):
+            if b == label:
+                moment[names.index(a)] = v
+            else:
+                gram[names.index(a), names.index(b)] = gram[names.index(b), names.index(a)] = v
+        full = np.linalg.matrix_rank(gram) == len(names)
+        solved.append((anchor, np.linalg.solve(gram, moment).tolist() if full else None))
+    spark = features_df.sparkSession
+    weights = spark.createDataFrame(solved, "as_of date, _w array<double>")
+    terms = [F.col("_w")[0]] + [F.col("_w")[i + 1] * value[n] for i, n in enumerate(features)]
+    now = features_df.join(weights, F.col("date") == F.col("as_of"))
+    return now.select(*keep, F.col(label).alias("actual"), sum(terms[1:], terms[0]).alias("prediction"), "as_of")
+
+
 # --- per-series models --------------------------------------------------------------------------
 def _split_point(n: int, test: float) -> int:
     return int(n * (1 - test))
@@ -509,6 +673,74 @@ def random_search(
     )
 
 
+# A trial ledger with one row for each trial and rung.
+TRIAL_LEDGER = (
+    "optimize_run_id string, config_name string, trial_number int, rung int, budget int, "
+    "objective_metric string, objective_value double, parameters string, run_at timestamp"
+)
+
+
+def successive_halving(
+    train: DataFrame,
+    held: DataFrame,
+    features: Sequence[str],
+    label: str,
+    space: Mapping[str, Sequence],
+    n: int,
+    seed: int,
+    config_name: str,
+    run_id: str,
+    run_at: dt.datetime,
+    path: str,
+    budgets: Sequence[int] = (3, 9, 27, 81),
+    eta: int = 3,
+    trainer: Callable = train_gbt,
+    parallelism: int = 4,
+) -> DataFrame:
+    """Trials on growing budgets (boosting rounds); the best 1/``eta`` of a rung go on.
+
+    Every fit is appended to the ledger at ``path`` when it is done, keyed by run, trial
+    and rung, so a rerun of a broken search takes up where it ended. The ledger has a few
+    dozen rows; the split is read from Spark's cache by all trials. Ties go by number.
+    """
+    spark = train.sparkSession
+    trials = sample_trials(space, n, seed)
+    try:
+        known = spark.read.schema(TRIAL_LEDGER).parquet(path).filter(F.col("optimize_run_id") == run_id).collect()
+    except AnalysisException:  # no ledger yet
+        known = []
+    done = {(r.rung, r.trial_number): r.objective_value for r in known}
+    train, held = train.persist(), held.persist()
+    lock = Lock()
+
+    def fitted(rung: int, trial: int) -> None:
+        params = {**trials[trial], "maxIter": budgets[rung]}
+        model = trainer(train, features, label, params)
+        value = model.transform(held).agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).first()[0]
+        row = (run_id, config_name, trial, rung, budgets[rung], "mae", float(value), json.dumps(params, sort_keys=True), run_at)
+        with lock:
+            spark.createDataFrame([row], TRIAL_LEDGER).coalesce(1).write.mode("append").parquet(path)
+            done[rung, trial] = float(value)
+
+    try:
+        alive = list(range(n))
+        with ThreadPool(parallelism) as pool:
+            for rung in range(len(budgets)):
+                todo = [t for t in alive if (rung, t) not in done]
+                pool.map(inheritable_thread_target(spark)(lambda t, rung=rung: fitted(rung, t)), todo)
+                alive = sorted(alive, key=lambda t, rung=rung: (done[rung, t], t))[: max(1, len(alive) // eta)]
+    finally:
+        train.unpersist()
+        held.unpersist()
+    return spark.read.schema(TRIAL_LEDGER).parquet(path).filter(F.col("optimize_run_id") == run_id)
+
+
+def last_rung(ledger: DataFrame) -> DataFrame:
+    """The rows of each run's highest rung, which ``best_trial`` chooses from."""
+    top = ledger.groupBy("optimize_run_id").agg(F.max("rung").alias("rung"))
+    return ledger.join(top, ["optimize_run_id", "rung"], "left_semi")
+
+
 def best_trial(trials: DataFrame, config_name: str | None = None) -> DataFrame:
     """Per configuration: newest run, then its lowest objective."""
     rows = trials if config_name is None else trials.filter(F.col("config_name") == config_name)

@@ -6,7 +6,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foresail.contracts import BacktestContract, ForecastContract, RunPins
@@ -16,24 +16,61 @@ from foresail.operators import splits as sp
 from foresail.plans.backtest_queries import contract, residual_rows
 from foresail.plans.registry import Source, query
 from foresail.plans.relations import MIRRORS, SHARED
-from foresail.session import work_root
+from foresail.session import checkpointed, work_root
 from foresail.sources import history, tables, writers
 from foresail.streaming import events as se
 
-SHARED["model_rows"] = """
-select date, store_nbr, region, sales,
-       lag(sales) over w as sales_store_l1d,
-       avg(sales) over (partition by store_nbr order by date rows between 7 preceding and 1 preceding) as avg_sales_store_l7d,
-       cast(extract(month from date) as double) as month,
-       lead(sales) over w as sales_store_n1d, lead(sales, 2) over w as sales_store_n2d
-from store_day window w as (partition by store_nbr order by date)"""
 FEATURES = ["sales_store_l1d", "avg_sales_store_l7d", "month"]
 HORIZONS = range(1, 8)
-TRIALS = 50
+TARGETS = {h: f"sales_n{h}d" for h in HORIZONS}
+TRIALS = 27
+
+# Results of fits and the panel they share, written once for a session and folder.
+_written: dict[tuple, object] = {}
+
+
+def once(s: Source, name: str, make):
+    key = (s.spark.sparkContext.applicationId, s.sf_dir, name)
+    if key not in _written:
+        made = make()
+        _written[key] = checkpointed(made) if isinstance(made, DataFrame) else made
+    return _written[key]
+
+
+def _panel(s: Source):
+    """Every store and day, zero where nothing sold; labels lie whole days ahead."""
+    day = s.rel("store_day").select("date", "store_nbr", "sales")
+    lo, hi = day.agg(F.min("date"), F.max("date")).first()
+    days = F.sequence(F.lit(lo), F.lit(hi), F.expr("interval 1 day"))
+    grid = s.rel("raw_stores").select("store_nbr", F.explode(days).alias("date"))
+    dense = grid.join(day, ["date", "store_nbr"], "left").withColumn("sales", F.coalesce("sales", F.lit(0.0)))
+    w = Window.partitionBy("store_nbr").orderBy("date")
+    ahead = ml.direct_targets(dense, ["store_nbr"], "date", "sales", HORIZONS)
+    return ahead.withColumns(
+        {
+            "sales_store_l1d": F.lag("sales").over(w),
+            "avg_sales_store_l7d": F.avg("sales").over(w.rowsBetween(-7, -1)),
+            "month": F.month("date").cast("double"),
+        }
+    ).dropna(subset=["sales_store_l1d"])
 
 
 def rows(s: Source):
-    return s.rel("model_rows").dropna(subset=["sales_store_l1d", "avg_sales_store_l7d"])
+    return once(s, "panel", lambda: _panel(s))
+
+
+# The same panel; the first day of each store has no features.
+MIRRORS["model_days"] = """
+select store_nbr, cast(d as date) as date from raw_stores, (select unnest(generate_series(
+  (select min(date) from store_day), (select max(date) from store_day), interval 1 day)) as d)"""
+MIRRORS["model_panel"] = """
+select d.store_nbr, d.date, coalesce(s.sales, 0.0) as sales from model_days d
+left join store_day s on s.store_nbr = d.store_nbr and s.date = d.date"""
+MIRRORS["model_rows"] = """
+select *, lag(sales) over w as sales_store_l1d,
+       avg(sales) over (partition by store_nbr order by date rows between 7 preceding and 1 preceding) as avg_sales_store_l7d,
+       lead(sales, 7) over w as sales_n7d
+from model_panel window w as (partition by store_nbr order by date) qualify sales_store_l1d is not null"""
 
 
 def scratch(name: str) -> str:
@@ -44,38 +81,67 @@ def scratch(name: str) -> str:
 
 SCORED = "store_nbr:i date:d prediction:f"
 METRICS = "mae:f rmse:f wape:f r2:f bias:f median_ae:f metric_set"
+POPULATION = "n_rows:i n_keys:i n_missing:i first_date:d last_date:d"
+
+
+def population(predictions, keys, by=()):
+    """Rows, distinct keys and rows without a prediction of a scored relation."""
+    return predictions.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct(*keys).alias("n_keys"),
+        F.count_if(F.col("prediction").isNull() | F.isnan("prediction")).alias("n_missing"),
+        F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+    )
+
+
+def _population_sql(where: str, by: str = "") -> str:
+    """What ``population`` has to be: every key once, none without a prediction."""
+    return f"""select {by} count(*) as n_rows, count(distinct (store_nbr, date)) as n_keys, 0 as n_missing,
+                 min(date) as first_date, max(date) as last_date from model_rows {where}"""
+
+
+def before_cutoff(s: Source):
+    return once(s, "ml1 model", lambda: ml.train_before(rows(s), FEATURES, "sales_n1d", s.train_end))
+
+
+def after_cutoff(s: Source):
+    late = F.col("date") > F.lit(s.train_end)
+    return once(s, "ml1", lambda: ml.score(before_cutoff(s), rows(s).filter(late), ["store_nbr", "date"]))
 
 
 @query("ml1_gbt_before_cutoff", SCORED)
 def gbt(s: Source):
-    model = ml.train_before(rows(s), FEATURES, "sales_store_n1d", s.train_end)
-    return ml.score(model, rows(s).filter(F.col("date") > F.lit(s.train_end)), ["store_nbr", "date"])
+    return after_cutoff(s)
+
+
+@query("ml1_population", POPULATION, _population_sql("where date > (select train_end from cutoff)"))
+def gbt_population(s: Source):
+    return population(after_cutoff(s), ["store_nbr", "date"])
 
 
 @query("ml2_gbt_holdout", METRICS)
 def gbt_holdout(s: Source):
-    return ml.train_with_holdout(rows(s), FEATURES, "sales_store_n1d", ["store_nbr"], purge_days=7)[1]
+    return ml.train_with_holdout(rows(s), FEATURES, "sales_n1d", ["store_nbr"], purge_days=7)[1]
 
 
 @query("ml3_random_forest_holdout", METRICS)
 def forest_holdout(s: Source):
-    return ml.train_with_holdout(rows(s), FEATURES, "sales_store_n1d", ["store_nbr"], ml.train_rf)[1]
+    return ml.train_with_holdout(rows(s), FEATURES, "sales_n1d", ["store_nbr"], ml.train_rf)[1]
 
 
 def direct_models(s: Source):
-    """Boosted trees for every horizon."""
-    w = Window.partitionBy("store_nbr").orderBy("date")
-    targets = {h: f"sales_store_n{h}d" for h in HORIZONS}
-    ahead = s.rel("model_rows").withColumns({name: F.lead("sales", h).over(w) for h, name in targets.items()})
-    train = ahead.dropna(subset=["sales_store_l1d", "avg_sales_store_l7d"]).persist()
-    try:
-        return ml.train_direct(train, targets, FEATURES)
-    finally:
-        train.unpersist()
+    """Boosted trees for every horizon, from rows whose labels all lie before the cutoff."""
+    def fit():
+        train = ml.known_by(rows(s), s.train_end, max(HORIZONS)).persist()
+        try:
+            return ml.train_direct(train, TARGETS, FEATURES, trainer=ml.train_gbt_early)
+        finally:
+            train.unpersist()
+
+    return once(s, "direct models", fit)
 
 
 def direct(s: Source):
-    return ml.score(direct_models(s), rows(s), ["store_nbr", "date", "sales"])
+    return once(s, "ml4", lambda: ml.score(direct_models(s), rows(s), ["store_nbr", "date", "sales"]))
 
 
 @query("ml4_direct_horizons", "store_nbr:i date:d forecast_horizon:i prediction:f")
@@ -83,6 +149,18 @@ def direct_horizons(s: Source):
     return direct(s)
 
 
+BY_HORIZON = f"forecast_horizon:i {POPULATION}"
+
+
+@query(
+    "ml4_population",
+    BY_HORIZON,
+    _population_sql(", (select unnest(range(1, 8)) as h) group by h", "h as forecast_horizon,"),
+)
+def direct_population(s: Source):
+    return population(direct(s), ["store_nbr", "date"], ["forecast_horizon"])
+
+
 @query(
     "ml5_incomplete_batches",
     "store_nbr:i origin:d row_count:i horizon_count:i",
@@ -96,10 +174,33 @@ def incomplete(s: Source):
     return ml.incomplete_batches(pred, ["store_nbr", "origin"], [1, 2])
 
 
+def recent_batch(s: Source):
+    """All horizons for the fortnight before the cutoff, checked to be a complete batch."""
+    def scored():
+        days = F.col("date").between(F.lit(s.train_end - dt.timedelta(days=13)), F.lit(s.train_end))
+        return ml.score(direct_models(s), rows(s).filter(days), ["store_nbr", "date"])
+
+    batch = once(s, "ml6", scored)
+    ml.check_horizon_batch(batch, ["store_nbr", "date"], HORIZONS)
+    return batch
+
+
 @query("ml6_batch_score", "store_nbr:i date:d forecast_horizon:i prediction:f")
 def batch_score(s: Source):
-    recent = rows(s).filter(F.col("date") > F.lit(s.train_end - dt.timedelta(days=14)))
-    return ml.score(direct_models(s), recent, ["store_nbr", "date"])
+    return recent_batch(s)
+
+
+@query(
+    "ml6_population",
+    BY_HORIZON,
+    _population_sql(
+        """, (select unnest(range(1, 8)) as h) where date between (select train_end - 13 from cutoff)
+             and (select train_end from cutoff) group by h""",
+        "h as forecast_horizon,",
+    ),
+)
+def batch_population(s: Source):
+    return population(recent_batch(s), ["store_nbr", "date"], ["forecast_horizon"])
 
 
 META = {
@@ -152,17 +253,39 @@ def recent_wape(s: Source):
     return ml.recent_wape(named.filter("prediction is not null"), named)
 
 
+def explained(s: Source):
+    """The trees of ml1 and what each feature adds to their predictions."""
+    return once(
+        s, "ml10",
+        lambda: ml.top_k_attributions(before_cutoff(s), rows(s), FEATURES, len(FEATURES), ["store_nbr", "date"]),
+    )
+
+
 @query("ml10_top_attributions", "store_nbr:i date:d predicted_value:f base_value:f first_feature first_value:f n_features:i")
 def attributions(s: Source):
-    model = ml.train_linear(rows(s), FEATURES, "sales_store_n1d")
-    top = ml.top_k_attributions(model, rows(s), FEATURES, 2, ["store_nbr", "date"])
     first = F.element_at("top_feature_attributions", 1)
-    return top.select(
+    return explained(s).select(
         "store_nbr", "date", "predicted_value", "base_value", first["feature"].alias("first_feature"),
         first["attribution"].alias("first_value"), F.size("top_feature_attributions").alias("n_features"),
     )
 
 
+@query(
+    "ml10_attribution_sums",
+    "store_nbr:i date:d gap:f n_features:i ordered:b",
+    "select store_nbr, date, 0.0 as gap, 3 as n_features, true as ordered from model_rows",
+)
+def attribution_sums(s: Source):
+    """Base and contributions make up every prediction; contributions fall in size."""
+    top = F.col("top_feature_attributions")
+    sizes = F.transform(top, lambda t: F.abs(t["attribution"]))
+    total = F.aggregate(top, F.col("base_value"), lambda so_far, t: so_far + t["attribution"])
+    return explained(s).select(
+        "store_nbr", "date", (total - F.col("predicted_value")).alias("gap"), F.size(top).alias("n_features"),
+        (F.sort_array(sizes, asc=False) == sizes).alias("ordered"),
+    )
+
+
 SERIES = "store_nbr:i part date:d forecast_date:d forecast_horizon:i actual:f prediction:f"
 
 
@@ -176,12 +299,53 @@ def seasonal(s: Source):
     return ml.fit_series_seasonal(s.rel("store_day"), ["store_nbr"], "date", "sales", 7)
 
 
-@query("ml13_random_search", "optimize_run_id config_name trial_number:i objective_metric objective_value:f parameters")
+def search_ledger(s: Source):
+    """Successive halving of 27 trials over boosting rounds, started twice on one ledger:
+    the second start finds every fit done and adds none."""
+    def searched():
+        known = ml.known_by(rows(s), s.train_end, 1)
+        train, held = sp.chrono_split(known, 0.2, "date", ["store_nbr"])
+        train, held = checkpointed(train), checkpointed(held)
+        space = {"maxDepth": (2, 8), "stepSize": (0.01, 0.3), "subsamplingRate": (0.5, 1.0)}
+        at, path = dt.datetime(2001, 12, 1), scratch("trials")
+        for _ in range(2):
+            ledger = ml.successive_halving(
+                train, held, FEATURES, "sales_n1d", space, TRIALS, 7, "gbt_store", "run1", at, path
+            )
+        return ledger
+
+    return once(s, "ml13", searched)
+
+
+LEDGER = "optimize_run_id config_name trial_number:i rung:i budget:i objective_metric objective_value:f parameters"
+
+
+@query("ml13_trial_search", LEDGER)
 def search(s: Source):
-    train, held = sp.chrono_split(rows(s).dropna(subset=["sales_store_n1d"]), 0.2, "date", ["store_nbr"])
-    space = {"maxIter": (50, 500), "maxDepth": (2, 10), "stepSize": (0.01, 0.3), "subsamplingRate": (0.5, 1.0)}
-    at = dt.datetime(2001, 12, 1)
-    return ml.random_search(train, held, FEATURES, "sales_store_n1d", space, TRIALS, 7, "gbt_store", "run1", at)
+    return search_ledger(s)
+
+
+@query(
+    "ml13_rungs",
+    "rung:i budget:i n_rows:i n_trials:i n_from_below:i best_is_least:b",
+    """select rung, pow(3, rung + 1)::int as budget, pow(3, 3 - rung)::int as n_rows, n_rows as n_trials,
+              case when rung = 0 then 0 else n_rows end as n_from_below, true as best_is_least
+       from (select unnest(range(0, 4)) as rung from (select count(*) as n from model_rows))""",
+)
+def rungs(s: Source):
+    """A third of each rung goes on, the best of it, and best_trial names the last one."""
+    ledger = search_ledger(s)
+    below = ledger.select((F.col("rung") + 1).alias("rung"), "trial_number", F.lit(1).alias("below"))
+    best = ml.best_trial(ml.last_rung(ledger)).select("best_trial_number").first()[0]
+    place = F.row_number().over(Window.partitionBy("rung").orderBy("objective_value", "trial_number"))
+    # the winner is among the first third of every rung
+    placed = ledger.withColumns({"place": place, "size": F.count(F.lit(1)).over(Window.partitionBy("rung"))})
+    ahead = F.max(F.when(F.col("trial_number") == best, F.col("place") <= F.greatest(F.lit(1), F.col("size") / 3)))
+    return placed.join(below, ["rung", "trial_number"], "left").groupBy("rung").agg(
+        F.first("budget").alias("budget"), F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("trial_number").alias("n_trials"), F.count("below").alias("n_from_below"),
+        ahead.alias("best_is_least"),
+    )
 
 
 SHARED["trial_ledger"] = """
@@ -203,17 +367,71 @@ def best(s: Source):
     return ml.best_trial(s.rel("trial_ledger"))
 
 
-@query("bt14_score_model", "store_nbr:i forecast_origin:d horizon:i baseline_name prediction:f")
 def model_backtest(s: Source):
-    c = contract(s)
-    named = BacktestContract(**{**c.__dict__, "model_config_name": "gbt_store", "train_window_days": 365})
-    return ml.score_model(rows(s), named, FEATURES, "sales_store_n1d", 1)
+    """A week ahead from every origin of the contract."""
+    def scored():
+        c = contract(s)
+        named = BacktestContract(**{**c.__dict__, "model_config_name": "gbt_store", "train_window_days": 365})
+        return ml.score_model(rows(s), named, FEATURES, TARGETS[7], 7, ml.train_gbt_early)
+
+    return once(s, "bt14", scored)
+
+
+@query("bt14_score_model", "store_nbr:i forecast_origin:d horizon:i baseline_name prediction:f")
+def model_scores(s: Source):
+    return model_backtest(s)
+
+
+@query(
+    "bt14_population",
+    f"horizon:i {POPULATION}",
+    _population_sql("where date in (select forecast_origin from bt_plan)", "7 as horizon,"),
+)
+def model_population(s: Source):
+    scored = model_backtest(s).withColumn("date", F.col("forecast_origin"))
+    return population(scored, ["store_nbr", "date"], ["horizon"])
+
+
+def forward(s: Source):
+    end = s.train_end
+    return once(
+        s, "bt20",
+        lambda: ml.walk_forward(
+            rows(s), end - dt.timedelta(days=14), end, 7, 180, FEATURES, TARGETS[7], ml.train_gbt_early, horizon=7
+        ),
+    )
 
 
 @query("bt20_walk_forward", "store_nbr:i date:d as_of:d actual:f prediction:f")
 def walk_forward(s: Source):
+    return forward(s)
+
+
+@query(
+    "bt20_population",
+    f"as_of:d {POPULATION}",
+    _population_sql("where (select train_end from cutoff) - date in (0, 7, 14) group by date", "date as as_of,"),
+)
+def forward_population(s: Source):
+    return population(forward(s), ["store_nbr", "date"], ["as_of"])
+
+
+@query(
+    "bt20_linear_walk_forward",
+    "store_nbr:i date:d as_of:d actual:f4 prediction:f4",
+    """with a as (select train_end - 7 * k as as_of from cutoff, (select unnest(range(0, 53))::integer as k)),
+       fit as (select as_of, regr_slope(sales_n7d, avg_sales_store_l7d) as slope,
+                      regr_intercept(sales_n7d, avg_sales_store_l7d) as icept
+               from a join model_rows r on r.date > a.as_of - 180 and r.date + 7 < a.as_of group by as_of)
+       select store_nbr, date, as_of, sales_n7d as actual, icept + slope * avg_sales_store_l7d as prediction
+       from model_rows join fit on date = as_of""",
+)
+def linear_forward(s: Source):
+    """A year of weekly anchors, all from one pass over the panel."""
     end = s.train_end
-    return ml.walk_forward(rows(s), end - dt.timedelta(days=14), end, 7, 180, FEATURES, "sales_store_n1d")
+    return ml.walk_forward_linear(
+        rows(s), end - dt.timedelta(days=364), end, 7, 180, ["avg_sales_store_l7d"], TARGETS[7], horizon=7
+    )
 
 
 # --- a staged batch ---------------------------------------------------------------------------
