@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foresail.functions.expr import require
-from foresail.functions.ranks import kth_values
+from foresail.functions.ranks import counted_values, kth_counted
 from foresail.session import checkpointed
 
 DEFAULT_QUANTILES = (0.1, 0.5, 0.9)
@@ -65,12 +65,17 @@ def conformal_radius(
     ps: Sequence[float],
     groups: Sequence[str] = (),
     min_n: int = 1,
-    weight: str | None = None,
 ) -> DataFrame:
     """Radius per group and coverage level, for groups of ``min_n`` or more."""
+    return counted_radius(counted_values(abs_residuals, groups, "abs_residual"), ps, groups, min_n)
+
+
+def counted_radius(
+    counted: DataFrame, ps: Sequence[float], groups: Sequence[str] = (), min_n: int = 1
+) -> DataFrame:
+    """``conformal_radius`` of residuals that are counted by value already."""
     groups = list(groups)
-    size = F.sum(weight) if weight else F.count("abs_residual")
-    sizes = abs_residuals.groupBy(*groups).agg(size.alias("residual_count"))
+    sizes = counted.groupBy(*groups).agg(F.sum("_n").alias("residual_count"))
     wanted = sizes.filter(F.col("residual_count") >= min_n).select(
         *groups,
         "residual_count",
@@ -83,17 +88,7 @@ def conformal_radius(
             )
         ),
     )
-    return kth_values(abs_residuals, wanted, groups, "abs_residual", "radius", weight).drop("rank")
-
-
-def counted_residuals(abs_residuals: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    """Residuals with multiplicity, written once to the checkpoint folder.
-
-    Ranks read this table several times; without the cut each read would score
-    the whole backtest again.
-    """
-    counted = abs_residuals.groupBy(*groups, "abs_residual").agg(F.count(F.lit(1)).alias("n"))
-    return checkpointed(counted)
+    return kth_counted(counted, wanted, groups, "radius").drop("rank")
 
 
 def radius_columns(radii: DataFrame, groups: Sequence[str], ps: Sequence[float], prefix: str) -> DataFrame:
@@ -126,29 +121,25 @@ def calibrate(
     floor: float | None = 0.0,
     prediction: str = "prediction",
 ) -> DataFrame:
-    """Quantile columns for ``points`` from one pooled residual sample.
-
-    The pooled radii are one row, attached as a one-row side of the join.
-    """
+    """Quantile columns for ``points`` from one pooled residual sample, whose radii are
+    one row and enter the plan as literals."""
     qs = validate_quantiles(quantiles)
     ps = sorted({coverage_of(q) for q in qs if q != 0.5})
-    counted = counted_residuals(abs_residuals)
-    count = counted.agg(F.sum("n")).first()[0] or 0
-    if count < min_n:
-        raise ValueError(f"conformal calibration requires {min_n} residuals; received {count}")
+    radii = {r.coverage: (r.radius, r.residual_count) for r in conformal_radius(abs_residuals, ps).collect()}
+    _enough(radii, min_n)
     require(
         points,
         {"point prediction is not finite": _not_finite(prediction)},
         "calibration",
     )
-    radii = conformal_radius(counted, ps, weight="n")
-    pooled = radius_columns(radii, [], ps, "_pool_").drop("_pool_n")
-    value = lambda q: F.col(f"_pool_{ps.index(coverage_of(q))}")
-    return (
-        points.join(F.broadcast(pooled), F.lit(True))
-        .withColumns(quantile_values(F.col(prediction).cast("double"), value, qs, floor))
-        .drop(*pooled.columns)
-    )
+    value = lambda q: F.lit(radii[coverage_of(q)][0])
+    return points.withColumns(quantile_values(F.col(prediction).cast("double"), value, qs, floor))
+
+
+def _enough(radii: dict, min_n: int) -> None:
+    count = max((n for _, n in radii.values()), default=0)
+    if count < min_n:
+        raise ValueError(f"conformal calibration requires {min_n} residuals; received {count}")
 
 
 def _not_finite(name: str) -> Column:
@@ -161,14 +152,20 @@ def fit_by_horizon(
     ps: Sequence[float],
     min_n: int = 20,
     horizon: str = "horizon",
-) -> tuple[DataFrame, DataFrame]:
-    """Radii per horizon with enough residuals, and the pooled radii."""
-    counted = counted_residuals(residuals(calibration, [horizon]), [horizon])
-    count = counted.agg(F.sum("n")).first()[0] or 0
-    if count < min_n:
-        raise ValueError(f"conformal calibration requires {min_n} residuals; received {count}")
-    own = conformal_radius(counted, ps, [horizon], min_n, "n")
-    return own, conformal_radius(counted, ps, [], min_n, "n")
+) -> tuple[DataFrame, dict[float, float]]:
+    """Radii per horizon with enough residuals, and the pooled radius of each level.
+
+    Residuals are counted once, by horizon and by all at the same time, and all ranks
+    are found together; the pooled group is a horizon of its own beside the others.
+    """
+    own = F.struct(F.lit(False).alias("pooled"), F.col(horizon).alias(horizon))
+    every = F.struct(F.lit(True).alias("pooled"), F.lit(0).alias(horizon))
+    both = residuals(calibration, [horizon]).select(F.inline(F.array(own, every)), "abs_residual")
+    groups = ["pooled", horizon]
+    radii = checkpointed(counted_radius(counted_values(both, groups, "abs_residual"), ps, groups, min_n))
+    pooled = {r.coverage: (r.radius, r.residual_count) for r in radii.filter("pooled").collect()}
+    _enough(pooled, min_n)
+    return radii.filter("not pooled").drop("pooled"), {p: r for p, (r, _) in pooled.items()}
 
 
 def calibrate_by_horizon(
@@ -192,16 +189,14 @@ def calibrate_by_horizon(
         require(points, {"prediction without a horizon": F.col(horizon).isNull()}, "calibration")
     own, pooled = fit_by_horizon(calibration, ps, min_n)
     by_horizon = radius_columns(own, ["horizon"], ps, "_own_").withColumnRenamed("horizon", horizon)
-    everyone = radius_columns(pooled, [], ps, "_pool_")
 
     def value(q: float) -> Column:
-        i = ps.index(coverage_of(q))
-        return F.coalesce(F.col(f"_own_{i}"), F.col(f"_pool_{i}"))
+        level = coverage_of(q)
+        return F.coalesce(F.col(f"_own_{ps.index(level)}"), F.lit(pooled[level]))
 
-    helper = [c for c in by_horizon.columns if c != horizon] + everyone.columns
+    helper = [c for c in by_horizon.columns if c != horizon]
     return (
         points.join(by_horizon, horizon, "left")
-        .join(F.broadcast(everyone), F.lit(True), "left")
         .withColumns(quantile_values(F.col(prediction).cast("double"), value, qs, floor))
         .drop(*helper)
     )

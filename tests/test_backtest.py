@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from foresail.contracts import BacktestContract, RoutingPolicy, StrategyAvailability
-from foresail.functions.ranks import exact_median, kth_values
+from foresail.functions import ranks as ranks_module
+from foresail.functions.ranks import counted_values, exact_median, kth_counted, kth_values
 from foresail.operators import backtest as bt
 from foresail.operators import calibration as ca
 from foresail.operators import intermittent as im
@@ -192,3 +196,39 @@ def test_contract_routing_can_be_exhausted(spark):
     orders = cl.order_table({"cold_start": ["entity_model"], "intermittent": []}, ["entity_model"], [])
     with pytest.raises(ValueError, match="exhausted"):
         cl.route(df, orders)
+
+
+@pytest.mark.parametrize("bucket", [7, 100_000])
+def test_ranks_are_exact_in_small_buckets(spark, bucket):
+    """One group holds most rows, a third of them one value; buckets are refined until
+    none is large, whatever the spread of the values."""
+    rng = np.random.default_rng(4)
+    values = {
+        "hot": np.concatenate([np.full(2000, 5.0), np.exp(rng.normal(size=3000) * 6), rng.integers(0, 9, 1000)]),
+        "even": rng.random(40),
+        "one": np.array([3.0]),
+    }
+    df = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs], "g string, v double")
+    wanted = [(g, int(k)) for g, vs in values.items() for k in np.linspace(1, len(vs), 9).astype(int)]
+    ranks = spark.createDataFrame(sorted(set(wanted)), "g string, rank long")
+    counted = counted_values(df, ["g"], "v")
+    seen = []
+    got = kth_counted(counted, ranks, ["g"], bucket=bucket)
+    if bucket == 7:
+        left, narrowed = counted.withColumn("_bucket", F.lit("")), ranks.withColumns(
+            {"_bucket": F.lit(""), "_before": F.lit(0).cast("long")}
+        )
+        while (most := left.groupBy("g", "_bucket").count().agg(F.max("count")).first()[0]) > bucket:
+            seen.append(most)
+            left, narrowed = ranks_module._refined(left, narrowed, ["g"])
+        assert len(seen) >= 2 and seen == sorted(seen, reverse=True)
+    found = {(r.g, r.rank): r.kth_value for r in got.collect()}
+    assert found == {(g, k): np.sort(values[g])[k - 1] for g, k in set(wanted)}
+
+
+def test_calibration_plans_few_exchanges(spark):
+    """Own and pooled radii come from one set of counts."""
+    plan = entry.queries()["ca3_calibrate_by_horizon"](spark, "/root/testdata/sf0.001")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    text = text[text.rindex("== Initial Plan ==") :] if "== Initial Plan ==" in text else text
+    assert len(re.findall(r"\bExchange ", text)) < 20
