@@ -14,9 +14,9 @@ to components.
   whose nodes are then in several components they are compared with a second one, the
   nearest to the first. What is left is compared across components inside the join, a
   pair only in the first of its common buckets: sizes, the triangle inequality of the
-  Jaccard distance and a sketch of 2048 bits come before the full sets, and only links
-  become rows. The sketch passes over a link of similarity 0.75 with a chance of 1e-9,
-  the rest is exact.
+  Jaccard distance, a sketch of 2048 bits and then sets of shortened hashes leave links
+  and the closest misses, which alone become rows. The sketch passes over a link of
+  similarity 0.75 with a chance of 1e-9.
 * Links are confirmed on the full sets of hashed shingles; components come from
   alternating large-star and small-star steps over tables.
 
@@ -254,7 +254,8 @@ def node_links(members: DataFrame, sets: DataFrame) -> DataFrame | None:
     pairs = pairs.where(F.coalesce("pivot_root", "pivot") != F.col("root"))
     pairs = _ordered(pairs, "pivot", "node").distinct().join(tested, ["a", "b"], "left_anti")
     labels = _merged(labels, written(linked(compared(pairs, sets)), "links-second"))
-    return _merged(labels, written(_rest(_open(rows, labels), sets).distinct(), "links-rest"))
+    pairs = _rest(_open(rows, labels), sets).distinct()
+    return _merged(labels, written(linked(compared(pairs, sets)), "links-rest"))
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -271,22 +272,26 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _rest(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) of a bucket's nodes in different components: their sizes, distances
-    to the bucket's first node and sketches allow it, and last their sets decide. A pair is
-    looked at in the first of its common buckets, and only links become rows."""
-    more = sets.select("node", F.size("shingles").alias("n"), "sketch", "shingles")
+    """Pairs (a, b) of a bucket's nodes in different components that may be linked: their
+    sizes, distances to the bucket's first node and sketches allow it, and last the upper
+    halves of their shingles' hashes, half the room of the sets; coincidences among these
+    are allowed for. A pair is looked at in the first of its common buckets."""
+    halves = F.transform("shingles", lambda v: F.shiftright(v, 32).cast("int"))
+    more = sets.select("node", F.size("shingles").alias("n"), "sketch", halves.alias("halves"))
     keys = rows.groupBy("node").agg(F.collect_set("key").alias("keys"))
     rows = rows.select("key", "node", "root", "far").join(keys, "node").join(more, "node")
     largest = rows.groupBy("key", "root").count()
     largest = largest.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
     few = rows.join(largest, "key").where("root != main").drop("main")
     few = few.select(
-        "key", *[F.col(c).alias(f"x_{c}") for c in ("root", "far", "n", "sketch", "keys", "shingles")],
+        "key", *[F.col(c).alias(f"x_{c}") for c in ("root", "far", "n", "sketch", "keys", "halves")],
         F.col("node").alias("x"),
     )
     words = range(2 * SKETCH // 64)
     other = [F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("x_sketch", F.lit(i)))) for i in words]
-    both = F.size(F.array_intersect("shingles", "x_shingles"))
+    # n * n / 2**33 coincidences are expected; so many more have a chance of 1e-8 at most
+    slack = 3 + F.ceil(F.pow(F.least("n", "x_n"), 2) / 2**29)
+    both = F.least(F.size(F.array_intersect("halves", "x_halves")) + slack, "n", "x_n")
     near = (
         (F.col("root") != F.col("x_root"))
         & (F.abs(F.col("far") - F.col("x_far")) <= (100 - LIKE) / 100 + 1e-9)
