@@ -138,7 +138,8 @@ def test_crowd_around_the_limit(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "_rest", counted)
     got = by_row(near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)), "doc_id", "n_shingles", "component_id", "kept")
     assert got == brute_components(rows)
-    assert seen and all(pairs == once == close for pairs, once, close in seen)
+    # a pair of two nodes outside the main component comes from either side
+    assert seen and all(once == close and pairs <= 2 * once for pairs, once, close in seen)
 
 
 def test_sketch_passes_over_fewer_links_than_the_bands():
