@@ -87,6 +87,7 @@ def graph_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     require_columns(nodes, ["node_id", "level_name"], "nodes")
     require_columns(edges, ["parent_node_id", "child_node_id"], "edges")
+    nodes, edges = checkpointed(nodes), checkpointed(edges)
     ids = nodes.select("node_id")
 
     def rows(df: DataFrame, rule: str, node: str = "node_id") -> DataFrame:
@@ -118,26 +119,27 @@ def leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node_id").join(parents, "node_id", "left_anti")
 
 
-def _steps(nodes: DataFrame, edges: DataFrame, depth: int | None) -> int:
-    """Number of levels below the roots: given, or one less than the levels."""
-    if depth is not None:
-        return depth
-    if "level_position" in nodes.columns:
-        lo, hi = nodes.agg(F.min("level_position"), F.max("level_position")).first()
-        return 0 if lo is None else hi - lo
-    count = nodes.select("level_name").distinct().count()
-    return count - 1
-
-
-def reachable(nodes: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
-    """Nodes on some path from a root, walked once per level."""
-    links = edges.select(F.col("parent_node_id").alias("node_id"), "child_node_id").distinct()
-    frontier = roots(nodes, edges)
-    reached = frontier
-    for _ in range(_steps(nodes, edges, depth)):
-        frontier = frontier.join(links, "node_id").select(F.col("child_node_id").alias("node_id")).distinct()
+def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node_id, depth of every node on some path from a root; roots have depth 0.
+
+    The frontier of nodes first met goes down one edge at a time until it is empty, so
+    depth is that of the edges, whatever the levels are called, and a cycle ends the walk.
+    """
+    links = checkpointed(edges.select(F.col("parent_node_id").alias("node_id"), "child_node_id").distinct())
+    frontier = checkpointed(roots(nodes, edges).distinct().withColumn("depth", F.lit(0)))
+    reached, depth = frontier, 0
+    while not frontier.isEmpty():
+        depth += 1
+        below = frontier.join(links, "node_id").select(F.col("child_node_id").alias("node_id")).distinct()
+        below = below.join(reached.select("node_id"), "node_id", "left_anti")
+        frontier = checkpointed(below.withColumn("depth", F.lit(depth)))
         reached = reached.unionByName(frontier)
-    return reached.distinct()
+    return reached
+
+
+def reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes on some path from a root."""
+    return depths(nodes, edges).select("node_id")
 
 
 def validate_graph(nodes: DataFrame, edges: DataFrame) -> None:
@@ -148,37 +150,49 @@ def validate_graph(nodes: DataFrame, edges: DataFrame) -> None:
         raise ValueError("invalid hierarchy: no root")
 
 
-def closure(nodes: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
+def closure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(ancestor, node, distance, path_weight) over every path, node itself at 0.
 
-    Each level joins the pairs' top end to its parent: one hash join per level.
+    Each step joins the pairs' top end to its parent until no pair has one: one hash join
+    a step, written, so later steps and readers do not repeat it. A pair of a node with
+    itself would go round for ever and is an error.
     """
-    weights = child_weights(edges)
-    pairs = nodes.select(
+    weights = checkpointed(child_weights(edges))
+    own = nodes.select(
         F.col("node_id").alias("ancestor"),
         "node_id",
         F.lit(0).alias("distance"),
         F.lit(1.0).alias("path_weight"),
     )
-    top, out = pairs, pairs
-    for step in range(1, _steps(nodes, edges, depth) + 1):
-        top = top.join(weights, top["ancestor"] == weights["child_node_id"]).select(
+    top = own
+    out = own
+    step = 0
+    while True:
+        step += 1
+        up = top.join(weights, F.col("ancestor") == F.col("child_node_id")).select(
             F.col("parent_node_id").alias("ancestor"),
             "node_id",
             F.lit(step).alias("distance"),
             (F.col("path_weight") * F.col("weight")).alias("path_weight"),
         )
+        top = checkpointed(up)
+        pairs, loops = top.agg(F.count(F.lit(1)), F.count_if(F.col("ancestor") == F.col("node_id"))).first()
+        if loops:
+            raise ValueError("invalid hierarchy: a node is its own ancestor")
+        if not pairs:
+            return out
         out = out.unionByName(top)
-    return out
 
 
-def leaf_closure(nodes: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
+def leaf_closure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, leaf, path_weight): the summing matrix in long form."""
-    ends = leaves(nodes, edges)
-    return (
-        closure(nodes, edges, depth)
-        .join(ends, "node_id", "left_semi")
-        .select(F.col("ancestor").alias("node_id"), F.col("node_id").alias("leaf_id"), "path_weight")
+    nodes, edges = checkpointed(nodes), checkpointed(edges)
+    return _leaf_paths(closure(nodes, edges), nodes, edges)
+
+
+def _leaf_paths(paths: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return paths.join(leaves(nodes, edges), "node_id", "left_semi").select(
+        F.col("ancestor").alias("node_id"), F.col("node_id").alias("leaf_id"), "path_weight"
     )
 
 
@@ -212,6 +226,7 @@ def expand_leaves(
 
     The id of an ancestor row digests its source ids independently of order.
     """
+    nodes, edges = checkpointed(nodes), checkpointed(edges)
     parsed = nodes.join(leaves(nodes, edges), "node_id", "left_semi").select(
         "node_id", *[F.get_json_object("node_key_json", f"$.{k}").alias(f"_key_{k}") for k in leaf_keys]
     )
@@ -249,20 +264,34 @@ def _bottom_up(fc: DataFrame, nodes, edges, groups, values) -> DataFrame:
     )
 
 
-def _spread(fc: DataFrame, anchors: DataFrame, nodes, edges, groups, values) -> DataFrame:
-    """Anchor values passed down to all their descendants by path weight."""
-    paths = closure(nodes, edges).join(
-        anchors.select(F.col("node_id").alias("ancestor")), "ancestor", "left_semi"
-    )
-    base = fc.select(*groups, F.col("node_id").alias("ancestor"), *values)
-    return base.join(paths, "ancestor").select(
-        *groups, "node_id", *[(F.col(v) * F.col("path_weight")).alias(f"_new_{v}") for v in values]
+def _descended(fc: DataFrame, anchors: DataFrame, edges: DataFrame, groups, values) -> DataFrame:
+    """Anchor values passed down to all their descendants by weight, a level at a time.
+
+    Every node of a group has a row of its own, which knows its parent; it meets the
+    parent's value on (group, parent), so a root over all leaves is as many keys as there
+    are groups and not one.
+    """
+    weights = checkpointed(child_weights(edges))
+    rows = fc.select(*groups, "node_id")
+    rows = checkpointed(rows.join(weights.withColumnRenamed("child_node_id", "node_id"), "node_id"))
+    new = [f"_new_{v}" for v in values]
+    level = fc.join(anchors.select("node_id").distinct(), "node_id", "left_semi").select(
+        *groups, "node_id", *[F.col(v).cast("double").alias(f"_new_{v}") for v in values]
     )
+    level = checkpointed(level)
+    out = level
+    while True:
+        above = level.select(*groups, F.col("node_id").alias("parent_node_id"), *new)
+        below = rows.join(above, [*groups, "parent_node_id"])
+        level = checkpointed(below.select(*groups, "node_id", *[(F.col(n) * F.col("weight")).alias(n) for n in new]))
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
 
 
 def _middle_out(fc, nodes, edges, groups, values, middle_level) -> DataFrame:
     anchors = nodes.filter(F.col("level_name") == middle_level).select("node_id")
-    down = _spread(fc, anchors, nodes, edges, groups, values)
+    down = _descended(fc, anchors, edges, groups, values)
     covered = down.select("node_id").distinct()
     ends = leaves(nodes, edges)
     # leaves outside every anchor keep their own base value, as do sums over them
@@ -287,8 +316,8 @@ def _mint(fc, nodes, edges, groups, values, variances) -> DataFrame:
     children's variances. One join per level and direction, no dense matrix.
     """
     links = edges.select("parent_node_id", "child_node_id")
-    depth = _steps(nodes, edges, None)
-    rank = closure(nodes, edges).groupBy("node_id").agg(F.max("distance").alias("_depth"))
+    rank = checkpointed(depths(nodes, edges).withColumnRenamed("depth", "_depth"))
+    depth = rank.agg(F.max("_depth")).first()[0] or 0
     if variances is None:
         spread = F.lit(1.0)
         work = fc
@@ -363,13 +392,14 @@ def reconcile(
     """Coherent forecasts for every group and value; base values stay alongside."""
     groups, values = list(groups), list(values)
     require_columns(fc, ["node_id", *groups, *values], "forecasts")
+    nodes, edges = checkpointed(nodes), checkpointed(edges)  # small, and read in every step
     if check:
         validate_graph(nodes, edges)
         _require_complete(fc, nodes, groups)
     if method == "bottom_up":
         new = _bottom_up(fc, nodes, edges, groups, values)
     elif method == "top_down":
-        new = _spread(fc, roots(nodes, edges), nodes, edges, groups, values)
+        new = _descended(fc, roots(nodes, edges), edges, groups, values)
     elif method == "middle_out":
         if not middle_level:
             raise ValueError("middle_out requires a middle level")
@@ -482,9 +512,10 @@ def hierarchy_report(
     nodes: DataFrame, edges: DataFrame, outputs: DataFrame, tol: float = 0.01
 ) -> DataFrame:
     """Five gates over a reconciled hierarchy, one row each."""
-    root = nodes.agg(F.min("level_position").alias("_root"))
+    nodes, edges = checkpointed(nodes), checkpointed(edges)
+    root = nodes.agg(F.min("level_position")).first()[0]
     parents = edges.groupBy(F.col("child_node_id").alias("node_id")).agg(F.count(F.lit(1)).alias("_parents"))
-    below = nodes.join(F.broadcast(root), F.col("level_position") > F.col("_root"))
+    below = nodes.filter(F.col("level_position") > F.lit(root))
     one_parent = below.join(parents, "node_id", "left").agg(
         F.count_if(F.coalesce("_parents", F.lit(0)) != 1).alias("violation_count")
     )

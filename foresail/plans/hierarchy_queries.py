@@ -9,6 +9,7 @@ from foresail.operators import hierarchy as hi
 from foresail.operators import metrics as me
 from foresail.plans.registry import Source, query
 from foresail.plans.relations import MIRRORS, SHARED
+from foresail.session import checkpointed
 
 LEVELS = (("company", ()), ("region", ("region",)), ("store", ("store_nbr",)))
 GROUPS = ["forecast_origin", "target_date", "horizon"]
@@ -17,11 +18,13 @@ VALUES = ["prediction_p10", "prediction_p50", "prediction_p90"]
 SHARED["entities"] = "select store_nbr, state as region from raw_stores"
 # base forecasts of every node per day: leaves from the previous sale, ancestors a
 # little off the sum of their leaves, so that methods differ
-SHARED["leaf_fc"] = """
-select store_nbr, region, date as target_date, 1 as horizon, cast(date - 1 as timestamp) as forecast_origin,
+LEAF_FC = """
+select store_nbr, region, date as target_date, 1 as horizon, cast(date - interval 1 day as timestamp) as forecast_origin,
        10.0 + cast(store_nbr % 7 as double) + cast(extract(day from date) as double) as prediction_p50
-from (select st.store_nbr, st.state as region, d.date from raw_stores st
-      join (select date, count(*) as n from store_day group by date) d on d.n > 0)"""
+from (select store_nbr, state as region, {each} as date from raw_stores) as leaf_day"""
+# every store gets the bounded list of days with sales; the engines name that differently
+SHARED["leaf_fc"] = LEAF_FC.format(each="explode((select collect_set(date) from store_day))")
+MIRRORS["leaf_fc"] = LEAF_FC.format(each="unnest((select list(distinct date) from store_day))")
 SHARED["node_fc"] = """
 select 'store:' || cast(store_nbr as string) as node_id, 'store' as level_name, forecast_origin, target_date, horizon,
        prediction_p50 * 0.5 as prediction_p10, prediction_p50, prediction_p50 * 1.5 as prediction_p90
@@ -159,7 +162,8 @@ def weights(s: Source):
 
 
 def reconciled(s: Source, method: str, **kw):
-    return hi.reconcile(s.rel("node_fc"), *graph(s), method, GROUPS, VALUES, **kw)
+    # the stand-in for a stored table of base forecasts, read by checks and methods
+    return hi.reconcile(checkpointed(s.rel("node_fc")), *graph(s), method, GROUPS, VALUES, **kw)
 
 
 @query("hi6_bottom_up", FC_SPEC, "select * from h_bottom")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry
 from foresail.operators import hierarchy as hi
 
 TREE = {"company": ["store_1", "store_2"], "store_1": ["sku_1", "sku_2"], "store_2": ["sku_3"]}
@@ -99,3 +100,42 @@ def test_expansion_needs_every_leaf(spark, graph):
     assert hi.coherence_violations(
         hi.expand_leaves(pred, keyed, edges, ["k"], ["g"]), edges, ["g"], "prediction"
     ).isEmpty()
+
+
+def test_deep_tree_with_one_level_name(spark):
+    """Depth is that of the edges: 40 below the root, a side branch on each node."""
+    names = [f"n{i}" for i in range(41)]
+    links = [(names[i], names[i + 1], 3.0) for i in range(40)] + [(names[i], f"side{i}", 1.0) for i in range(40)]
+    ids = names + [f"side{i}" for i in range(40)]
+    nodes = spark.createDataFrame([(n, "node") for n in ids], "node_id string, level_name string")
+    edges = spark.createDataFrame(links, "parent_node_id string, child_node_id string, allocation_weight double")
+    assert {r.node_id: r.depth for r in hi.depths(nodes, edges).collect()} == (
+        {n: i for i, n in enumerate(names)} | {f"side{i}": i + 1 for i in range(40)}
+    )
+    assert hi.graph_violations(nodes, edges).isEmpty()
+    paths = hi.leaf_closure(nodes, edges)
+    assert paths.filter("node_id = 'n0'").count() == 41
+    weight = {r.leaf_id: r.path_weight for r in paths.filter("node_id = 'n0'").collect()}
+    assert weight["n40"] == pytest.approx(0.75**40) and weight["side39"] == pytest.approx(0.75**39 * 0.25)
+    base = dict.fromkeys(ids, 1.0)
+    up = solve(spark, (nodes, edges), base, "bottom_up")
+    assert [up[n] for n in names] == [41 - i for i in range(41)]
+    down = solve(spark, (nodes, edges), base, "top_down")
+    assert down["n40"] == pytest.approx(0.75**40) and sum(down[n] for n in weight) == pytest.approx(1.0)
+
+
+def test_a_cycle_ends_the_walks(spark):
+    nodes = spark.createDataFrame([(n, "x") for n in "rabc"], "node_id string, level_name string")
+    edges = spark.createDataFrame(
+        [("r", "a"), ("a", "b"), ("b", "c"), ("c", "a")], "parent_node_id string, child_node_id string"
+    )
+    assert {r.node_id: r.depth for r in hi.depths(nodes, edges).collect()} == {"r": 0, "a": 1, "b": 2, "c": 3}
+    with pytest.raises(ValueError, match="own ancestor"):
+        hi.closure(nodes, edges)
+
+
+def test_reconciliation_plans_are_short(spark):
+    for name in ("hi6_bottom_up", "hi7_top_down"):
+        text = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+        assert text.count("Scan ") < 40
