@@ -515,7 +515,6 @@ def delivery_health(dc: DataFrame, at: Column, max_pending: int = 120) -> DataFr
 
 
 # Cost columns by service name pattern.
-SERVICE_PATTERNS = {"bigquery": "%bigquery%", "vertex": "%vertex%"}
 
 
 def pipeline_cost(
@@ -525,13 +524,14 @@ def pipeline_cost(
     max_per_thousand: float = 2.0,
     anomaly: float = 2.0,
     min_history: int = 3,
-    services: Mapping[str, str] = SERVICE_PATTERNS,
+    services: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Cost per run against budgets and the contract's own history.
 
-    Costs are summed per run before any window, whose partitions then hold one
-    row per run of a contract. Unattributed costs are reported by event.
+    ``services`` names cost columns and the pattern of the services they add up.
+    Unattributed costs are reported by event.
     """
+    services = services or {}
     labels = ["forecast_contract_name", "forecast_run_id", "stage_name", "environment"]
     missing = sum((blank(c).cast("int") for c in labels[1:]), blank(labels[0]).cast("int"))
     scope = F.coalesce(
@@ -572,6 +572,7 @@ def pipeline_cost(
                 "cost_per_thousand_rows_usd": safe_divide(
                     F.col("total_cost_usd").cast("double") * 1000, "output_row_count"
                 ),
+                "_exact": F.col("total_cost_usd"),
                 "total_cost_usd": F.col("total_cost_usd").cast("double"),
                 **{f"{n}_cost_usd": F.col(f"{n}_cost_usd").cast("double") for n in services},
             }
@@ -579,25 +580,29 @@ def pipeline_cost(
         .drop("_contract", "_run_contract")
     )
     known = F.col("forecast_run_id").isNotNull() & F.col("forecast_contract_name").isNotNull()
-    contract = Window.partitionBy("forecast_contract_name").orderBy(
-        F.asc_nulls_first("forecast_started_at"), "forecast_run_id"
-    )
-    before = contract.rowsBetween(Window.unboundedPreceding, -1)
-    history = attributed.filter(known).withColumns(
-        {
-            "historical_run_count": F.count(F.lit(1)).over(before),
-            "historical_average_run_cost_usd": F.avg("total_cost_usd").over(before),
-            "_next": F.lead("cost_scope_key").over(contract),
-        }
-    )
-    monitored = history.filter(F.col("_next").isNull()).drop("_next").unionByName(
+    # the newest run of each contract against all others: sums less its own cost, no window
+    # over a contract's whole history
+    started = F.col("forecast_started_at")
+    age = F.struct(started.isNotNull(), started, "forecast_run_id", "cost_scope_key")
+    own, others = F.col("_last._exact"), F.col("_n") - 1
+    newest = attributed.filter(known).groupBy("forecast_contract_name").agg(
+        F.max_by(F.struct(*attributed.columns), age).alias("_last"),
+        F.count(F.lit(1)).alias("_n"),
+        F.sum("_exact").alias("_sum"),
+    )
+    average = F.when(others > 0, (F.col("_sum") - own).cast("double") / others)
+    monitored = newest.select(
+        *[F.col(f"_last.{c}").alias(c) for c in attributed.columns],
+        others.alias("historical_run_count"),
+        average.alias("historical_average_run_cost_usd"),
+    ).unionByName(
         attributed.filter(~known).withColumns(
             {
                 "historical_run_count": F.lit(0).cast("long"),
                 "historical_average_run_cost_usd": F.lit(None).cast("double"),
             }
         )
-    )
+    ).drop("_exact")
     limits = {
         "maximum_run_cost_usd": F.lit(float(max_run)),
         "maximum_cost_per_thousand_rows_usd": F.lit(float(max_per_thousand)),

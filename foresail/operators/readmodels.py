@@ -312,9 +312,9 @@ def paired_bootstrap(rows: DataFrame, n: int = 2000, seed: int = 17) -> DataFram
     """Bootstrap of per-origin WAPE differences against the oldest run.
 
     ``rows`` holds one WAPE per run and origin with the run's creation time. A
-    pick is a hash of (run, replicate, draw) reduced to the number of origins,
-    so results do not depend on partitioning; replicates are spread by
-    ``explode`` and averaged by a map-side combined aggregate.
+    pick is the first word of the MD5 of "seed|run|reference|replicate|draw", reduced
+    to the number of origins, so any engine draws the same samples and results do
+    not depend on partitioning.
     """
     reference = rows.select(
         F.min_by("experiment_run_id", F.struct("run_created_at", "experiment_run_id")).alias("reference_run_id")
@@ -333,10 +333,12 @@ def paired_bootstrap(rows: DataFrame, n: int = 2000, seed: int = 17) -> DataFram
         .filter(F.size("_d") >= 2)
     )
     size = F.size("_d")
-    draw = lambda i: F.element_at(
-        F.col("_d"),
-        (F.pmod(F.xxhash64("experiment_run_id", "reference_run_id", "replicate", i, F.lit(seed)), size) + 1).cast("int"),
-    )["d"]
+
+    def draw(i: Column) -> Column:
+        text = F.concat_ws("|", F.lit(str(seed)), "experiment_run_id", "reference_run_id", "replicate", i.cast("string"))
+        word = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+        return F.element_at(F.col("_d"), (word % size + 1).cast("int"))["d"]
+
     samples = pairs.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n)))).select(
         "experiment_run_id",
         "replicate",

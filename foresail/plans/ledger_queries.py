@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from foresail.contracts import ForecastContract, PromotionGates
 from foresail.operators import ledger as le
 from foresail.operators import lifecycle as lc
+from foresail.operators import models as ml
 from foresail.operators import publication as pu
 from foresail.operators import staging as st
 from foresail.plans.registry import Source, query
@@ -521,17 +524,41 @@ select baseline_name, backtest_run_id, if(baseline_name = 'gbt_store', 'store_da
        if(baseline_name = 'gbt_store', 'gbt', 'baseline'), 'store-day', horizon::bigint, 'wape', 'rolling_origin',
        max(seen)::timestamp, sum(mae * e), null, null, sum(wape * e), sum(mase * m), sum(rmsse * r), sum(bias * e),
        sum(predicted) / sum(eligible)
-from board_origins where region <> 'ASIA' group by baseline_name, backtest_run_id, horizon"""
+from board_origins where region <> 'ASIA' group by baseline_name, backtest_run_id, horizon
+union all
+select 'naive_' || region, null, 'trees', 'BOOSTED', 'region-day', 1, 'mae', 'holdout', max(date)::timestamp,
+       avg(abs(p - a)), sqrt(avg(pow(p - a, 2))), 1 - sum(pow(p - a, 2)) / (var_pop(a) * count(*)),
+       sum(abs(p - a)) / sum(a), null, null, null, null
+from (select region, date, sum(prediction) as p, sum(actual) as a from recent_naive group by region, date) group by region"""
 MIRRORS["board"] = """
 select *, sha256(concat_ws('|', target, grain, horizon, segment_key_json, metric_policy)) as comparable_partition_key
-from (select *, 'vertex' as platform, 'demand_units' as target, '{}' as segment_key_json,
+from (select *, if(grain = 'region-day', 'sql', 'jobs') as platform, 'demand_units' as target, '{}' as segment_key_json,
         format('{{"evaluation_protocol":"{}","primary_metric":"{}"}}', protocol, primary_metric) as metric_policy
       from board_rows)"""
 
 
+def recent_evaluations(s: Source):
+    """The naive forecast of every region, evaluated over the last week by day."""
+    last = s.rel("cutoff").first()["last_date"]
+    pred = s.rel("naive_day").filter(F.col("prediction").isNotNull() & (F.col("date") >= F.lit(last - dt.timedelta(days=7))))
+    name = F.concat(F.lit("naive_"), "region").alias("model_name")
+    days = pred.groupBy(name, "date").agg(F.sum("prediction").alias("prediction"), F.sum("actual").alias("actual"))
+    wape = ml.recent_wape(days.withColumn("run_date", F.lit(last)), days)
+    shown = F.max("date").cast("timestamp").alias("evaluated_at")
+    seen = days.groupBy("model_name").agg(shown)
+    return ml.evaluate_recent(days, last).join(wape, ["model_name", "run_date"], "left").join(seen, "model_name")
+
+
 def board(s: Source):
     metrics = st.stage_backtest(s.rel("bt_metric_ledger"), s.rel("bt_run_ledger"))
-    return lc.leaderboard(s.rel("performance"), None, metrics)
+    target = "demand_units"
+    return lc.leaderboard(
+        [
+            lc.holdout_scores(s.rel("performance"), "jobs", target),
+            lc.backtest_scores(metrics, "jobs"),
+            lc.recent_scores(recent_evaluations(s), "sql", target, "trees", "BOOSTED", "region-day"),
+        ]
+    )
 
 
 @query("lc6_leaderboard", BOARD_SPEC, "select * from board")

@@ -262,40 +262,46 @@ COST_SPEC = (
     "bigquery_cost_usd:f vertex_cost_usd:f missing_required_label_count:i cost_per_thousand_rows_usd:f "
     "historical_run_count:i historical_average_run_cost_usd:f cost_status is_alerting:b"
 )
+# from the rules that build the fixture: events of a user are its run's costs, every 97th has
+# no run and stands alone, every 89th no contract, users in elevens no stage
 MIRRORS["run_cost"] = """
-select a.*, r.started_at, r.row_count, coalesce(a.contract, r.forecast_contract_name) as forecast_contract_name,
-       a.total_cost_usd * 1000 / nullif(r.row_count, 0) as cost_per_thousand_rows_usd
-from (select coalesce(nullif(trim(forecast_run_id), ''), 'unattributed:' || cost_event_id) as cost_scope_key,
-        max(forecast_run_id) as forecast_run_id, max(forecast_contract_name) as contract, count(*) as cost_event_count,
-        count(distinct service_name) as service_count, cast(sum(amount_usd) as double) as total_cost_usd,
-        cast(sum(case when lower(service_name) like '%bigquery%' then amount_usd else 0 end) as double) as bigquery_cost_usd,
-        cast(sum(case when lower(service_name) like '%vertex%' then amount_usd else 0 end) as double) as vertex_cost_usd,
-        sum((coalesce(trim(forecast_contract_name), '') = '')::int + (coalesce(trim(forecast_run_id), '') = '')::int
-          + (coalesce(trim(stage_name), '') = '')::int) as missing_required_label_count
-      from cost_raw group by 1) a left join cost_runs r using (forecast_run_id)"""
+select if(alone is null, 'run-' || u, 'unattributed:' || alone) as cost_scope_key, if(alone is null, 'run-' || u, ' ')
+         as forecast_run_id, if(alone is null or labelled > 0, 'contract-' || u % 7, null) as forecast_contract_name,
+       n as cost_event_count, (clicks > 0)::int + (views > 0)::int + (n > clicks + views)::int as service_count,
+       total as exact, total::double as total_cost_usd, coalesce(click_usd, 0)::double as bigquery_cost_usd,
+       coalesce(view_usd, 0)::double as vertex_cost_usd,
+       n - labelled + if(u % 11 = 0, n, 0) + if(alone is null, 0, n) as missing_required_label_count,
+       if(alone is null, began, null) as started_at, if(alone is null, total::double * 25 / seen, null) as cost_per_thousand_rows_usd
+from (select user_id as u, if(event_id % 97 = 0, event_id, null) as alone, count(*) as n,
+             count(*) filter (event_id % 89 <> 0) as labelled, count(*) filter (event_type = 'click') as clicks,
+             count(*) filter (event_type = 'view') as views, sum(usd) as total,
+             sum(usd) filter (event_type = 'click') as click_usd, sum(usd) filter (event_type = 'view') as view_usd
+      from (select *, value::decimal(18, 2) as usd from events) group by 1, 2)
+join (select user_id as u, min(ts) as began, count(*) as seen from events group by 1) using (u)"""
+# the newest run of a contract against the mean of the rest
+MIRRORS["run_cost_rest"] = """
+select forecast_contract_name as c, count(*) - 1 as rest, sum(exact) as all_usd,
+       max(row(started_at is not null, coalesce(started_at, timestamp '1970-01-01'), forecast_run_id, cost_scope_key)) as newest
+from run_cost where forecast_contract_name is not null group by 1"""
 
 
 @query(
     "mo10_run_cost",
     COST_SPEC,
-    """select *, cost_status not in ('healthy', 'insufficient_history') as is_alerting from (
-         select *, case when missing_required_label_count > 0 then 'missing_required_labels'
-                        when total_cost_usd > 20000 then 'over_run_budget'
-                        when cost_per_thousand_rows_usd > 1500 then 'over_unit_budget'
-                        when historical_run_count >= 3 and total_cost_usd > historical_average_run_cost_usd * 1.1 then 'cost_anomaly'
-                        when historical_run_count < 3 then 'insufficient_history' else 'healthy' end as cost_status
-         from (select *, count(*) over w as historical_run_count, avg(total_cost_usd) over w as historical_average_run_cost_usd
-               from run_cost where forecast_run_id is not null and forecast_contract_name is not null
-               window w as (partition by forecast_contract_name order by started_at nulls first, forecast_run_id
-                 rows between unbounded preceding and 1 preceding)
-               qualify row_number() over (partition by forecast_contract_name
-                 order by started_at desc nulls last, forecast_run_id desc) = 1
-               union all
-               select *, 0, null from run_cost where forecast_run_id is null or forecast_contract_name is null))""",
+    """select *, list_contains(['healthy', 'insufficient_history'], cost_status) = false as is_alerting from (
+         select *, (['missing_required_labels', 'over_run_budget', 'over_unit_budget', 'cost_anomaly',
+                     'insufficient_history', 'healthy'])[list_position([missing_required_label_count > 0,
+                     total_cost_usd > 20000, coalesce(cost_per_thousand_rows_usd > 1500, false), historical_run_count >= 3 and
+                     total_cost_usd > 1.1 * historical_average_run_cost_usd, historical_run_count < 3, true], true)] as cost_status
+         from (select r.*, coalesce(rest, 0) as historical_run_count,
+                      if(rest > 0, (all_usd - exact)::double / rest, null) as historical_average_run_cost_usd
+               from run_cost r left join run_cost_rest h on c = forecast_contract_name
+               where c is null or cost_scope_key = newest[4]))""",
 )
 def run_cost(s: Source):
     return mo.pipeline_cost(
-        s.rel("cost_runs"), s.rel("cost_raw"), max_run=20000, max_per_thousand=1500, anomaly=1.1
+        s.rel("cost_runs"), s.rel("cost_raw"), max_run=20000, max_per_thousand=1500, anomaly=1.1,
+        services={"bigquery": "%bigquery%", "vertex": "%vertex%"},
     )
 
 
@@ -574,6 +580,22 @@ def summary(s: Source):
 @query(
     "rm8_paired_bootstrap",
     "experiment_run_id reference_run_id delta_wape_pp:f ci_lower:f ci_upper:f p_value:f conclusion",
+    """with w as (select experiment_run_id as run, run_created_at, forecast_origin as o,
+                 sum(wape * eligible_count) / sum(eligible_count) * 100 as wape
+               from experiment where status = 'completed' group by all having sum(wape) is not null),
+       d as (select a.run, b.run as ref, list(a.wape - b.wape order by a.o) as d from w a join w b on a.o = b.o
+             where b.run = (select arg_min(run, row(run_created_at, run)) from w) and a.run <> b.run
+             group by 1, 2 having count(*) >= 2),
+       m as (select run, ref, k, avg(d[1 + ('0x' || left(md5(concat_ws('|', '17', run, ref, k, i)), 8))::bigint % len(d)]) as m
+             from (select *, unnest(range(1, len(d) + 1)) as i from (select *, unnest(range(1, 2001)) as k from d))
+             group by run, ref, k),
+       q as (select run, ref, list(m order by m, k) as s, count(*) filter (m >= 0) as up, count(*) filter (m <= 0) as down
+             from m group by 1, 2)
+       select d.run as experiment_run_id, d.ref as reference_run_id, round(list_avg(d), 3) as delta_wape_pp,
+              round(s[50], 3) as ci_lower, round(s[1951], 3) as ci_upper,
+              round(least(1.0, if(list_avg(d) < 0, up, down) / 1000), 4) as p_value,
+              if(s[1951] < 0, 'meaningful', if(s[50] > 0, 'worse', 'inconclusive')) as conclusion
+       from d join q using (run, ref)""",
 )
 def bootstrap(s: Source):
     done = experiment_rows(s).filter("status = 'completed'")
