@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows per Arrow batch: long texts make a batch of the default size too large.
+# Rows and bytes of an Arrow batch: long texts make one of the default size too large.
 ARROW_ROWS = 512
+ARROW_BYTES = 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -24,6 +25,7 @@ def fold(id_col: Column, parts: int) -> Column:
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for executors with little memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def fresh(df: DataFrame, name: str) -> str:

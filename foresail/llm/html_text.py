@@ -27,6 +27,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -71,8 +72,9 @@ TAG_GROUPS = {
     "dialog": "dialog details summary",
 }
 GROUP_OF = {t: g for g, tags in TAG_GROUPS.items() for t in tags.split()}
+# a quote opens a value only after "=", elsewhere it is a character like others
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+    r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>", re.S
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z_:*][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPLIT = re.compile(r"[^a-z]+")
@@ -109,6 +111,7 @@ def tree(page: str) -> list[Node]:
     """Nodes in page order; node 0 is the root. Only visible parts are in it. A text of
     white space only is no node but marks the next one."""
     nodes, at, open_ = [Node("html", -1)], 0, [0]
+    count = Counter()  # open elements by tag
     blank = False
 
     def add(node: Node) -> None:
@@ -124,6 +127,10 @@ def tree(page: str) -> list[Node]:
         elif raw:
             blank = True
 
+    def close(k: int) -> None:
+        count.subtract(nodes[i].tag for i in open_[k:])
+        del open_[k:]
+
     size = len(page)
     while at < size:
         found = MARKUP.search(page, at)
@@ -136,9 +143,8 @@ def tree(page: str) -> list[Node]:
             continue
         tag = found[2].lower()
         if found[1]:
-            if any(nodes[i].tag == tag for i in open_[1:]):
-                while nodes[open_.pop()].tag != tag:
-                    pass
+            if count[tag]:
+                close(next(k for k in range(len(open_) - 1, 0, -1) if nodes[open_[k]].tag == tag))
             continue
         if tag in RAW and not found[3].endswith("/"):
             end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
@@ -150,10 +156,11 @@ def tree(page: str) -> list[Node]:
             elif tag in VERBATIM:
                 at = size
             continue
-        for k in range(len(open_) - 1, 0, -1):
+        ends = {*CLOSES.get(tag, ()), *(("p",) if tag in BLOCKS else ())}
+        for k in range(len(open_) - 1, 0, -1) if any(count[t] for t in ends) else ():
             other = nodes[open_[k]].tag
-            if other in CLOSES.get(tag, ()) or other == "p" and tag in BLOCKS:
-                del open_[k:]
+            if other in ends:
+                close(k)
                 break
             if other in SCOPES:
                 break
@@ -161,6 +168,7 @@ def tree(page: str) -> list[Node]:
         add(Node(tag, open_[-1], "", hints, mark))
         if tag not in VOID and not found[3].endswith("/"):
             open_.append(len(nodes) - 1)
+            count[tag] += 1
     for i in range(len(nodes) - 1, -1, -1):
         n = nodes[i]
         if not n.tag:

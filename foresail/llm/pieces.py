@@ -22,6 +22,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from array import array
@@ -38,6 +39,7 @@ MARK = "▁"
 ZIPF = 10.0
 UNKNOWN = 10.0
 KEPT_WORDS = 1_200_000  # about 250 MB a worker
+KEPT_LENGTH = 100  # characters of a word whose way is kept
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -116,6 +118,7 @@ class Pieces:
             self.data.append(bytes([int(found[1], 16)]) if found else b"" if control else text.encode())
             self.score.append(-math.log(max(0.0, -score) + ZIPF))
         self.trie = DoubleArray(keys)
+        self.longest = max(map(len, keys), default=0)
         least = min(s for s, d in zip(self.score, self.data, strict=True) if d)
         self.unknown = least - UNKNOWN
         inner = [t for t, _ in pieces if MARK in t.lstrip(MARK)]
@@ -129,6 +132,7 @@ class Pieces:
         data = word.encode()
         n = len(data)
         base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.score
+        longest = self.longest
         low = -math.inf
         score, came, piece = [low] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         score[0] = 0.0
@@ -140,7 +144,7 @@ class Pieces:
             after = start + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
             state, single = 0, False
             # the look-up of ``matches``, written out: most of the time goes here
-            for end, byte in enumerate(data[start:], start + 1):
+            for end, byte in enumerate(data[start : start + longest], start + 1):
                 at = base[state] + byte + 1
                 if check[at] != state:
                     break
@@ -174,7 +178,9 @@ class Pieces:
         for w in words:
             ids = known.get(w)
             if ids is None:
-                ids = known[w] = array("i", self.best(w)).tobytes()
+                ids = array("i", self.best(w)).tobytes()
+                if len(w) <= KEPT_LENGTH:
+                    known[w] = ids
             out.append(ids)
         return np.frombuffer(b"".join(out), np.int32)
 
@@ -190,7 +196,7 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
 
 
-_held: dict[int, Pieces] = {}
+_held: dict[str, Pieces] = {}
 
 
 def _shared(docs: DataFrame, pieces: list[tuple[str, float]]):
@@ -198,7 +204,7 @@ def _shared(docs: DataFrame, pieces: list[tuple[str, float]]):
     vocabulary is a few hundred thousand entries at most."""
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
 
-    key = hash(tuple(pieces[:1000])) ^ len(pieces)
+    key = hashlib.sha256(repr(pieces).encode()).hexdigest()
 
     def keyed() -> Pieces:
         if key not in _held:

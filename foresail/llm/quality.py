@@ -31,7 +31,6 @@ CHUNK = 512  # windows a chunk
 PAD = 256
 PER_LABEL = 1500
 TRAIN_BYTES = 60_000
-TRAIN_CHUNKS = 20  # most chunks of a text in training, evenly over the whole text
 EPOCHS = 8
 BATCH = 24
 SHORT = 2  # stretches of each good text
@@ -125,10 +124,7 @@ def train(rows: list, seed: int = SEED) -> Network:
     texts = [np.frombuffer((r[1] or "").encode(), np.uint8) for r in rows]
     places = []
     for t in texts:
-        s = chunk_starts(len(t))
-        if len(s) > TRAIN_CHUNKS:
-            s = s[np.linspace(0, len(s) - 1, TRAIN_CHUNKS).round().astype(int)]
-        places.append(s)
+        places.append(chunk_starts(len(t)))
     params = {"filters": net.filters, "shift": net.shift, "weights": net.weights, "bias": np.zeros(1)}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
     total, step = EPOCHS * -(-len(rows) // BATCH), 0

@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -335,10 +337,12 @@ class Scanner:
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """Base spans and all spans."""
         base = base_spans(text)
+        starts = [a for a, _, _ in base]  # in order; the furthest end up to each one
+        ends = [0, *accumulate((b for _, _, b in base), max)]
         added = [
             (s, 3, e)
             for s, e in self.learned(text)
-            if e - s >= ADDED_CHARS and not any(a < e and b > s for a, _, b in base)
+            if e - s >= ADDED_CHARS and ends[bisect_left(starts, e)] <= s
         ]
         return base, sorted(base + added)
 
@@ -367,8 +371,8 @@ def learn(docs: DataFrame) -> Field | None:
     has = F.col("text").rlike(ANY_BASE)
     slots = short.groupBy(has.alias("has"), F.pmod("pick", F.lit(SAMPLE)).alias("slot"))
     chosen = slots.agg(F.min("pick").alias("pick")).select("pick")
-    rows = short.join(F.broadcast(chosen), "pick").select("text", "pick").collect()
-    return train([t for t, _ in sorted({(r["text"], r["pick"]) for r in rows}, key=lambda x: x[1])])
+    rows = short.join(F.broadcast(chosen), "pick").groupBy("pick").agg(F.min("text").alias("text")).collect()
+    return train([r["text"] for r in sorted(rows, key=lambda r: r["pick"])])
 
 
 def scan(docs: DataFrame, model: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
