@@ -365,10 +365,11 @@ def override_audit(s: Source):
     "fp24_publication_audit",
     "publication_id publication_version:i approval_id override_id decided_by revision_id prior_publication_id "
     "replacement_publication_id revision_type",
-    """select p.publication_id, p.publication_version, p.approval_id, a.override_id, a.decided_by, r.*
+    """select p.publication_id, p.publication_version, p.approval_id, a.override_id, a.decided_by, r.* exclude (either_id)
        from publications p join approvals a using (approval_id)
-       left join revisions r on p.publication_id = r.prior_publication_id
-         or p.publication_id = r.replacement_publication_id""",
+       left join (select *, prior_publication_id as either_id from revisions
+                  union all select *, replacement_publication_id from revisions
+                  where replacement_publication_id <> prior_publication_id) r on p.publication_id = r.either_id""",
 )
 def publication_audit(s: Source):
     return pu.publication_audit(s.rel("publications"), s.rel("outputs"), s.rel("approvals"), s.rel("revisions"))

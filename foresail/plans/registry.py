@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
@@ -103,11 +104,15 @@ def _needed(sql: str, known: dict[str, str]) -> list[str]:
     return order
 
 
-def with_relations(sql: str, known: dict[str, str]) -> str:
+def with_relations(sql: str, known: dict[str, str], once: bool = False) -> str:
+    """``sql`` with the relations it uses; with ``once`` the checking engine evaluates those
+    that are mentioned several times a single time, not for every mention."""
     names = _needed(sql, known)
     if not names:
         return sql
-    ctes = ",\n".join(f"{n} as ({known[n]})" for n in names)
+    words = Counter(re.findall(r"[a-z_][a-z0-9_]*", " ".join([sql, *[known[n] for n in names]])))
+    kept = {n for n in names if once and words[n] > 1 and not re.search(rf"\b{n}\b", known[n])}
+    ctes = ",\n".join(f"{n} as {'materialized ' * (n in kept)}({known[n]})" for n in names)
     return f"with recursive {ctes}\n{sql}"
 
 
@@ -115,7 +120,7 @@ def oracle(q: Query) -> str | None:
     if q.sql is None:
         return None
     body = f"select {_present_sql(q.columns)} from ({q.sql}) as result"
-    return with_relations(body, SHARED | MIRRORS)
+    return with_relations(body, SHARED | MIRRORS, once=True)
 
 
 class Source:
