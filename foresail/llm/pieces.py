@@ -256,10 +256,23 @@ def decode(encoded: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
 def round_trips(docs: DataFrame, pieces: list[tuple[str, float]], id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """doc_id, ids, n_tokens, round_trip: whether decoding gives the text again."""
-    out = decode(encode(docs, pieces, id_col, text_col), pieces)
-    return out.select(
-        "doc_id",
-        "ids",
-        F.size("ids").cast("long").alias("n_tokens"),
-        (F.col("decoded") == F.col("text")).alias("round_trip"),
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
+    model = _shared(docs, pieces)
+
+    # both ways in one function: texts and ids cross to Python and back once
+    def both(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            ids = [model().encode(t) for t in texts]
+            same = [model().decode(i.tolist()) == t for i, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()),
+                 pa.array(same, pa.bool_())],
+                ["doc_id", "ids", "n_tokens", "round_trip"],
+            )
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(both, f"doc_id {kind}, ids array<int>, n_tokens long, round_trip boolean")
