@@ -11,8 +11,11 @@ import datetime as dt
 import json
 import random
 import uuid
+import zlib
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
+from statistics import NormalDist
 from threading import Lock
 
 import numpy as np
@@ -498,115 +501,252 @@ def _split_point(n: int, test: float) -> int:
     return int(n * (1 - test))
 
 
-def _ar_forecast(y: np.ndarray, lags: int, diff: int, steps: int) -> np.ndarray | None:
-    """Autoregression on differences by least squares, rolled forward."""
-    z = np.diff(y, n=diff) if diff else y
-    if len(z) <= 2 * lags + 1:
-        return None
-    design = np.column_stack([np.ones(len(z) - lags)] + [z[lags - i - 1 : len(z) - i - 1] for i in range(lags)])
-    coef, *_ = np.linalg.lstsq(design, z[lags:], rcond=None)
-    window, ahead = list(z[-lags:]), []
-    for _ in range(steps):
-        value = coef[0] + sum(coef[i + 1] * window[-i - 1] for i in range(lags))
-        window.append(value)
-        ahead.append(value)
-    out = np.asarray(ahead)
-    tail = [y]
-    for _ in range(diff):
-        tail.append(np.diff(tail[-1]))
-    for level in range(diff - 1, -1, -1):
-        out = tail[level][-1] + np.cumsum(out)
+# The orders tried, differences (whole, weekly) and (own lags, shock lags).
+DIFFERENCES = ((0, 0), (1, 0), (0, 1), (1, 1))
+LAGS = (((1,), ()), ((1, 7), ()), ((1,), (1,)), ((1, 7), (1, 7)), ((1, 2, 7), (1, 7)))
+
+
+def _lagged(z: np.ndarray, lags: Sequence[int], start: int) -> np.ndarray:
+    return np.column_stack([z[start - k : len(z) - k] for k in lags]) if lags else np.empty((len(z) - start, 0))
+
+
+def _differenced(whole: int, seasonal: int, season: int) -> np.ndarray:
+    """Coefficients c of the filter (1 - B)^whole (1 - B^season)^seasonal, c[0] = 1."""
+    out = np.ones(1)
+    for _ in range(whole):
+        out = np.convolve(out, [1.0, -1.0])
+    for _ in range(seasonal):
+        out = np.convolve(out, np.r_[1.0, np.zeros(season - 1), -1.0])
     return out
 
 
+def _shocks(z: np.ndarray, order: int) -> np.ndarray:
+    """One-step errors of a long autoregression: estimates of the shocks."""
+    order = min(order, max(1, len(z) // 4))
+    x = np.column_stack([np.ones(len(z) - order), _lagged(z, range(1, order + 1), order)])
+    out = np.zeros(len(z))
+    out[order:] = z[order:] - x @ np.linalg.lstsq(x, z[order:], rcond=None)[0]
+    return out
+
+
+def _arma_fit(y: np.ndarray, season: int = 7):
+    """(filter, own lags, shock lags, coefficients, sigma, z, shocks) of least AICc.
+
+    Two stages: a long autoregression gives the shocks, then the differenced series is
+    regressed on its lags and lagged shocks. All candidates predict the same last values
+    of ``y``, so their errors compare whatever the differencing.
+    """
+    longest = max(max(own + shock) for own, shock in LAGS)
+    start = season + 1 + longest
+    if len(y) < start + 8:
+        return None
+    best = None
+    for whole, seasonal in DIFFERENCES:
+        c = _differenced(whole, seasonal, season)
+        z = np.convolve(y, c, "valid")
+        e = _shocks(z, 2 * season)
+        first = start - (len(c) - 1)
+        for own, shock in LAGS:
+            x = np.column_stack([np.ones(len(z) - first), _lagged(z, own, first), _lagged(e, shock, first)])
+            n, k = x.shape
+            if n <= k + 2:
+                continue
+            coef = np.linalg.lstsq(x, z[first:], rcond=None)[0]
+            sse = max(float(((z[first:] - x @ coef) ** 2).sum()), 1e-12)
+            aicc = n * np.log(sse / n) + 2 * k * n / (n - k - 1)
+            if best is None or aicc < best[0] - 1e-9:
+                best = (aicc, (c, own, shock, coef, np.sqrt(sse / (n - k)), z, e))
+    return best and best[1]
+
+
+def _arma_ahead(model, y: np.ndarray, steps: int, shock_now: float = 0.0) -> np.ndarray:
+    """Values after ``y``; later shocks are zero. With ``shock_now`` the first one is not."""
+    c, own, shock, coef, _, z, e = model
+    z, e, y = list(z), list(e), list(y)
+    size = len(y)
+    for step in range(steps):
+        new = shock_now if step == 0 else 0.0
+        value = coef[0] + sum(b * z[-k] for b, k in zip(coef[1:], own, strict=False))
+        value += sum(b * e[-k] for b, k in zip(coef[1 + len(own) :], shock, strict=True)) + new
+        z.append(value)
+        e.append(new)
+        y.append(value - sum(v * y[-k] for k, v in enumerate(c) if k))
+    return np.asarray(y[size:])
+
+
+def arma_forecast(y: np.ndarray, steps: int, coverage: float = 0.8):
+    """(values, half widths) or None: the width grows with the response to past shocks."""
+    model = _arma_fit(y)
+    if model is None:
+        return None
+    values = _arma_ahead(model, y, steps)
+    response = _arma_ahead(model, y, steps, 1.0) - values
+    width = NormalDist().inv_cdf(0.5 + coverage / 2) * model[4] * np.sqrt(np.cumsum(response**2))
+    return (values, width) if np.isfinite(values).all() else None
+
+
 def _series_schema(df: DataFrame, keys: Sequence[str], date: str) -> str:
     kinds = dict(df.dtypes)
     keyed = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     return (
         f"{keyed}, part string, date date, forecast_date date, forecast_horizon int, actual double, "
-        "prediction double, prediction_lower double, prediction_upper double"
+        "prediction double, prediction_lower double, prediction_upper double, status string, n_obs long"
     )
 
 
-def _emit(keys, ids, part, origin, dates, actual, values, band) -> pd.DataFrame:
-    rows = pd.DataFrame(
-        {
-            **{k: [v] * len(values) for k, v in zip(keys, ids)},
-            "part": part,
-            "date": origin,
-            "forecast_date": dates,
-            "forecast_horizon": range(1, len(values) + 1),
-            "actual": actual,
-            "prediction": values,
-        }
-    )
-    rows["prediction_lower"] = rows["prediction"] - band if band is not None else np.nan
-    rows["prediction_upper"] = rows["prediction"] + band if band is not None else np.nan
-    return rows
+def _emit(ids, part, origin, dates, actual, values, lower, upper) -> list[tuple]:
+    columns = zip(dates, range(1, len(values) + 1), actual, values, lower, upper, strict=True)
+    return [(*ids, part, origin, *row, None, None) for row in columns]
 
 
 def _per_series(df, keys, date, y, horizon, test, min_obs, fit) -> DataFrame:
-    """Holdout and forward forecasts of every series long enough to fit."""
+    """Holdout and forward forecasts of every series, and one status row for each.
+
+    A status row (part "status") says whether the series was fitted, was too short, or
+    failed, and how many values it has; a failed fit does not end the job.
+    """
     keys = list(keys)
     schema = _series_schema(df, keys, date)
     names = [f.split()[0].strip("`") for f in schema.split(", ")]
 
     def run(ids: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({n: pd.Series(dtype=object) for n in names})
-        pdf = pdf.dropna(subset=[y]).sort_values(date)
+        pdf = pdf.dropna(subset=[y, date]).sort_values(date)
         n, cut = len(pdf), _split_point(len(pdf), test)
-        if cut < min_obs or cut <= 0 or cut >= n:
-            return empty
-        values = pdf[y].to_numpy(dtype=float)
-        days = pd.to_datetime(pdf[date])
-        held = fit(days[:cut], values[:cut], days[cut:])
-        future = pd.Series(pd.date_range(days.iloc[-1] + pd.Timedelta(days=1), periods=horizon))
-        ahead = fit(days, values, future)
-        if held is None or ahead is None:
-            return empty
-        first = _emit(keys, ids, "holdout", days.iloc[cut - 1].date(), days[cut:].dt.date.to_numpy(), values[cut:], *held)
-        second = _emit(keys, ids, "forward", days.iloc[-1].date(), future.dt.date.to_numpy(), np.nan, *ahead)
-        return pd.concat([first, second], ignore_index=True)[names]
+        status, parts = "short", []
+        if min_obs <= cut < n and cut > 0:
+            values = pdf[y].to_numpy(dtype=float)
+            days = pd.to_datetime(pdf[date])
+            future = pd.Series(pd.date_range(days.iloc[-1] + pd.Timedelta(days=1), periods=horizon))
+            seed = zlib.crc32(repr(ids).encode())
+            try:
+                held = fit(days[:cut], values[:cut], days[cut:], seed)
+                ahead = fit(days, values, future, seed)
+            except (np.linalg.LinAlgError, FloatingPointError, ValueError):
+                held = ahead = None
+            status = "failed" if held is None or ahead is None else "fitted"
+            if status == "fitted":
+                parts = _emit(ids, "holdout", days.iloc[cut - 1].date(), days[cut:].dt.date, values[cut:], *held)
+                parts += _emit(ids, "forward", days.iloc[-1].date(), future.dt.date, [None] * horizon, *ahead)
+        out = pd.DataFrame([*parts, (*ids, "status", *[None] * 7, status, n)], columns=names)
+        return out.astype({"n_obs": "Int64", "forecast_horizon": "Int64"})
 
     return df.select(*keys, date, y).groupBy(*keys).applyInPandas(run, schema)
 
 
-def fit_series_ar(
-    df: DataFrame, keys: Sequence[str], date: str, y: str, h: int, order: tuple[int, int] = (1, 1),
-    test: float = 0.2, min_obs: int = 20,
+def series_forecasts(fitted: DataFrame) -> DataFrame:
+    return fitted.filter(F.col("part") != "status").drop("status", "n_obs")
+
+
+def series_status(fitted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, status, n_obs: one row a series, fitted or not."""
+    return fitted.filter(F.col("part") == "status").select(*keys, "status", "n_obs")
+
+
+def fit_series_arma(
+    df: DataFrame, keys: Sequence[str], date: str, y: str, h: int, coverage: float = 0.8,
+    test: float = 0.2, min_obs: int = 24,
 ) -> DataFrame:
-    """Per-series autoregression: holdout rows and ``h`` steps ahead."""
-    lags, diff = order
+    """Per-series seasonal ARMA with orders and differencing chosen by AICc: holdout rows,
+    ``h`` steps ahead, and a status row. Values are taken as equally spaced; fewer than 24
+    leave nothing to choose by."""
 
-    def fit(days, values, targets):
-        out = _ar_forecast(values, lags, diff, len(targets))
-        return None if out is None else (out, None)
+    def fit(days, values, targets, seed):
+        out = arma_forecast(values, len(targets), coverage)
+        return None if out is None else (out[0], out[0] - out[1], out[0] + out[1])
 
     return _per_series(df, keys, date, y, h, test, min_obs, fit)
 
 
-def _seasonal_design(days: pd.Series, start: pd.Timestamp, span: float, weekly: int, yearly: int) -> np.ndarray:
-    t = (days - start).dt.days.to_numpy(dtype=float)
-    columns = [np.ones(len(t)), t / span]
-    for period, terms in ((7.0, weekly), (365.25, yearly)):
-        for k in range(1, terms + 1):
-            columns += [np.sin(2 * np.pi * k * t / period), np.cos(2 * np.pi * k * t / period)]
-    return np.column_stack(columns)
+CHANGES, CHANGE_SPAN = 25, 0.8  # possible changes of slope, over the first part of the history
+PENALTIES = 10.0 ** np.arange(-4, 4)
+
+
+def _trend_design(t: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones(len(t)), t, np.maximum(t[:, None] - at, 0.0)])
+
+
+def _season_design(days: pd.Series, weekly: int, yearly: int) -> np.ndarray:
+    t = (days - pd.Timestamp("1970-01-01")).dt.days.to_numpy(dtype=float)
+    waves = [(7.0, k) for k in range(1, weekly + 1)] + [(365.25, k) for k in range(1, yearly + 1)]
+    angles = [2 * np.pi * k * t / period for period, k in waves]
+    return np.column_stack([f(a) for a in angles for f in (np.sin, np.cos)]) if angles else np.empty((len(t), 0))
+
+
+@dataclass
+class TrendModel:
+    """A piecewise trend plus seasons. ``changes`` are slope changes per unit of time,
+    which runs from 0 to 1 over the history."""
+
+    start: pd.Timestamp
+    span: float
+    at: np.ndarray
+    coef: np.ndarray
+    sigma: float
+    weekly: int
+    yearly: int
+
+    @property
+    def changes(self) -> np.ndarray:
+        return self.coef[2 : 2 + len(self.at)]
+
+    def time(self, days: pd.Series) -> np.ndarray:
+        return (days - self.start).dt.days.to_numpy(dtype=float) / self.span
+
+    def predict(self, days: pd.Series) -> np.ndarray:
+        x = np.column_stack([_trend_design(self.time(days), self.at), _season_design(days, self.weekly, self.yearly)])
+        return x @ self.coef
+
+    def simulated(self, days: pd.Series, runs: int, seed: int) -> np.ndarray:
+        """(runs, days) deviations: slope changes as often and as large as in the history
+        go on in the future, and noise is added."""
+        rng = np.random.default_rng(seed)
+        t = self.time(days)
+        ahead = max(float(t.max()) - 1.0, 0.0)
+        scale = float(np.abs(self.changes).mean()) if len(self.at) else 0.0
+        counts = rng.poisson(ahead * len(self.at) / CHANGE_SPAN, runs)
+        most = int(counts.max(initial=0))
+        where = 1.0 + ahead * rng.random((runs, most))
+        size = rng.laplace(0.0, scale or 1e-12, (runs, most)) * (np.arange(most) < counts[:, None])
+        drift = np.zeros((runs, len(t)))
+        for j in range(most):
+            drift += size[:, j, None] * np.maximum(t - where[:, j, None], 0.0)
+        return drift + rng.normal(0.0, self.sigma or 1e-12, drift.shape)
+
+
+def fit_trend(days: pd.Series, values: np.ndarray, weekly: int = 3, yearly: int = 2) -> TrendModel:
+    """Ridge on slope changes, the penalty chosen by generalised cross-validation."""
+    start = days.iloc[0]
+    span = float(max((days.iloc[-1] - start).days, 1))
+    n = len(values)
+    at = np.linspace(0, CHANGE_SPAN, min(CHANGES, max(1, n // 10)) + 1)[1:]
+    t = (days - start).dt.days.to_numpy(dtype=float) / span
+    x = np.column_stack([_trend_design(t, at), _season_design(days, weekly, yearly)])
+    kind = np.r_[0.0, 0.0, np.ones(len(at)), np.full(x.shape[1] - 2 - len(at), 1e-3)]
+    gram, moment, best = x.T @ x, x.T @ values, None
+    for penalty in PENALTIES:
+        ridge = gram + np.diag(penalty * kind + 1e-9 * n)
+        coef = np.linalg.solve(ridge, moment)
+        sse = float(((values - x @ coef) ** 2).sum())
+        free = n - float(np.trace(np.linalg.solve(ridge, gram)))
+        if free > 1 and (best is None or n * sse / free**2 < best[0]):
+            best = (n * sse / free**2, coef, np.sqrt(sse / free))
+    if best is None:
+        raise ValueError("more terms than values")
+    return TrendModel(start, span, at, best[1], float(best[2]), weekly, yearly)
 
 
 def fit_series_seasonal(
     df: DataFrame, keys: Sequence[str], date: str, y: str, h: int, weekly: int = 3, yearly: int = 2,
-    coverage: float = 0.8, ridge: float = 1e-3, test: float = 0.2, min_obs: int = 30,
+    coverage: float = 0.8, runs: int = 300, test: float = 0.2, min_obs: int = 60,
 ) -> DataFrame:
-    """Per-series trend and Fourier seasonality with a residual band."""
-
-    def fit(days, values, targets):
-        start = days.iloc[0]
-        span = max((days.iloc[-1] - start).days, 1)
-        x = _seasonal_design(days, start, span, weekly, yearly)
-        coef = np.linalg.solve(x.T @ x + ridge * np.eye(x.shape[1]), x.T @ values)
-        band = float(np.quantile(np.abs(values - x @ coef), coverage))
-        return _seasonal_design(targets, start, span, weekly, yearly) @ coef, band
+    """Per-series piecewise trend and Fourier seasons, with intervals from simulated
+    future changes; the draws are seeded by the series' keys."""
+
+    def fit(days, values, targets, seed):
+        model = fit_trend(days, values, weekly, yearly)
+        point = model.predict(targets)
+        low, high = np.quantile(model.simulated(targets, runs, seed), [(1 - coverage) / 2, (1 + coverage) / 2], axis=0)
+        return (point, point + low, point + high) if np.isfinite(point).all() else None
 
     return _per_series(df, keys, date, y, h, test, min_obs, fit)
 

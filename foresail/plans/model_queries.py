@@ -286,17 +286,81 @@ def attribution_sums(s: Source):
     )
 
 
-SERIES = "store_nbr:i part date:d forecast_date:d forecast_horizon:i actual:f prediction:f"
+SERIES = (
+    "store_nbr:i part date:d forecast_date:d forecast_horizon:i actual:f prediction:f prediction_lower:f prediction_upper:f"
+)
+# part keys sell on few days, so many of their series are short
+SHARED["part_day"] = """
+select item_nbr, date, sum(unit_sales) as sales from sales_raw group by item_nbr, date"""
+
+
+def arma(s: Source):
+    return once(s, "ml11", lambda: ml.fit_series_arma(rows(s), ["store_nbr"], "date", "sales", 7))
+
+
+def trend(s: Source):
+    return once(s, "ml12", lambda: ml.fit_series_seasonal(rows(s), ["store_nbr"], "date", "sales", 7))
 
 
 @query("ml11_series_autoregression", SERIES)
 def autoregression(s: Source):
-    return ml.fit_series_ar(s.rel("store_day"), ["store_nbr"], "date", "sales", 7)
+    return ml.series_forecasts(arma(s))
 
 
-@query("ml12_series_seasonal", f"{SERIES} prediction_lower:f prediction_upper:f")
+@query("ml12_series_seasonal", SERIES)
 def seasonal(s: Source):
-    return ml.fit_series_seasonal(s.rel("store_day"), ["store_nbr"], "date", "sales", 7)
+    return ml.series_forecasts(trend(s))
+
+
+def _series_rows_sql() -> str:
+    """Holdout rows are a fifth of a series, rounded up; a week follows its last day."""
+    return """with n as (select store_nbr, count(*) as n, floor(count(*) * 0.8::double)::bigint as cut, max(date) as last,
+                                list(date order by date) as days from model_rows group by 1)
+      select store_nbr, 'holdout' as part, n - cut as n_rows, 0 as n_missing, days[cut + 1] as first_date,
+             last as last_date, true as ordered from n
+      union all select store_nbr, 'forward', 7, 0, last + 1, last + 7, true from n"""
+
+
+def series_rows(fitted):
+    low, high = F.col("prediction_lower"), F.col("prediction_upper")
+    return ml.series_forecasts(fitted).groupBy("store_nbr", "part").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("prediction").isNull()).alias("n_missing"),
+        F.min("forecast_date").alias("first_date"), F.max("forecast_date").alias("last_date"),
+        F.every((low < F.col("prediction")) & (F.col("prediction") < high)).alias("ordered"),
+    )
+
+
+SERIES_ROWS = "store_nbr:i part n_rows:i n_missing:i first_date:d last_date:d ordered:b"
+
+
+@query("ml11_series_rows", SERIES_ROWS, _series_rows_sql())
+def arma_rows(s: Source):
+    return series_rows(arma(s))
+
+
+@query("ml12_series_rows", SERIES_ROWS, _series_rows_sql())
+def trend_rows(s: Source):
+    return series_rows(trend(s))
+
+
+def _status_sql(least: int) -> str:
+    return f"""select item_nbr, if(floor(count(*) * 0.8::double) >= {least}, 'fitted', 'short') as status, count(*) as n_obs
+               from part_day group by item_nbr"""
+
+
+STATUS = "item_nbr:i status n_obs:i"
+
+
+@query("ml11_series_status", STATUS, _status_sql(24))
+def arma_status(s: Source):
+    fitted = ml.fit_series_arma(s.rel("part_day"), ["item_nbr"], "date", "sales", 7)
+    return ml.series_status(fitted, ["item_nbr"])
+
+
+@query("ml12_series_status", STATUS, _status_sql(25))
+def trend_status(s: Source):
+    fitted = ml.fit_series_seasonal(s.rel("part_day"), ["item_nbr"], "date", "sales", 7, weekly=1, yearly=0, min_obs=25)
+    return ml.series_status(fitted, ["item_nbr"])
 
 
 def search_ledger(s: Source):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,13 +226,58 @@ def test_attributions_add_up_to_the_prediction(spark):
         assert sizes == sorted(sizes, reverse=True)
 
 
-def test_series_models_skip_short_series(spark):
+def test_series_models_tell_what_became_of_each_series(spark):
     rows = [(1, dt.date(2024, 1, 1) + dt.timedelta(days=i), float(i % 7)) for i in range(80)] + [(2, dt.date(2024, 1, 1), 1.0)]
+    rows += [(3, dt.date(2024, 1, 1) + dt.timedelta(days=i), float("inf")) for i in range(90)] + [(4, None, 1.0)]
     df = spark.createDataFrame(rows, "k int, date date, y double")
-    out = ml.fit_series_seasonal(df, ["k"], "date", "y", 7).collect()
-    assert {r.k for r in out} == {1}
-    assert sum(r.part == "forward" for r in out) == 7
-    assert all(r.prediction_lower <= r.prediction <= r.prediction_upper for r in out)
+    for fit in (ml.fit_series_seasonal, ml.fit_series_arma):
+        fitted = fit(df, ["k"], "date", "y", 7)
+        out = ml.series_forecasts(fitted).collect()
+        assert {r.k for r in out} == {1}
+        assert sum(r.part == "forward" for r in out) == 7
+        assert all(r.prediction_lower <= r.prediction <= r.prediction_upper for r in out)
+        told = {r.k: (r.status, r.n_obs) for r in ml.series_status(fitted, ["k"]).collect()}
+        assert told == {1: ("fitted", 80), 2: ("short", 1), 3: ("failed", 90), 4: ("short", 0)}
     drift = spark.createDataFrame([(1, dt.date(2024, 1, 1) + dt.timedelta(days=i), float(i)) for i in range(60)], df.schema)
-    ahead = ml.fit_series_ar(drift, ["k"], "date", "y", 3).filter("part = 'forward'").orderBy("forecast_horizon").collect()
+    ahead = ml.fit_series_arma(drift, ["k"], "date", "y", 3).filter("part = 'forward'").orderBy("forecast_horizon").collect()
     assert [r.prediction for r in ahead] == pytest.approx([60.0, 61.0, 62.0])
+
+
+def test_arma_learns_seasons_and_shocks():
+    rng = np.random.default_rng(3)
+    e = rng.normal(size=700)
+    week = np.array([0.0, 5, 9, 3, -4, -8, 2])
+    y = np.zeros(700)
+    for t in range(1, 700):
+        y[t] = 0.6 * y[t - 1] + e[t] + 0.5 * e[t - 1]
+    y = y + 50 + week[np.arange(700) % 7]
+    errors, naive, inside = [], [], []
+    for cut in range(560, 690, 10):
+        values, width = ml.arma_forecast(y[:cut], 7)
+        errors += list(np.abs(values - y[cut : cut + 7]))
+        naive += list(np.abs(y[cut - 7 : cut] - y[cut : cut + 7]))
+        inside += list(np.abs(values - y[cut : cut + 7]) <= width)
+        assert (np.diff(width) >= -1e-9).all()
+    assert np.mean(errors) < 0.85 * np.mean(naive)
+    assert 0.65 <= np.mean(inside) <= 0.95
+    assert ml.arma_forecast(y[:20], 7) is None
+
+
+def test_trend_finds_planted_changes():
+    days = pd.Series(pd.date_range("2020-01-01", periods=900))
+    t = np.arange(900.0)
+    level = 20 + 0.1 * t - 0.35 * np.maximum(t - 300, 0) + 0.5 * np.maximum(t - 600, 0)
+    y = level + 4 * np.sin(2 * np.pi * t / 7) + np.random.default_rng(0).normal(size=900)
+    model = ml.fit_trend(days, y, yearly=0)  # a year's waves could stand in for the changes
+    time = model.time(days)
+    trend = ml._trend_design(time, model.at) @ model.coef[: 2 + len(model.at)]
+    slope = np.diff(trend)
+    assert slope[100:250].mean() == pytest.approx(0.1, abs=0.03)
+    assert slope[350:550].mean() == pytest.approx(-0.25, abs=0.03)
+    assert slope[700:].mean() == pytest.approx(0.25, abs=0.03)
+    by_time = sorted(zip(np.abs(model.changes), model.at * model.span, strict=True), reverse=True)
+    assert {round(at / 300) for _, at in by_time[:2]} == {1, 2}
+    future = pd.Series(pd.date_range(days.iloc[-1] + pd.Timedelta(days=1), periods=60))
+    spread = np.quantile(model.simulated(future, 400, 1), [0.1, 0.9], axis=0)
+    assert (spread[1] - spread[0])[-10:].mean() > 1.2 * (spread[1] - spread[0])[:10].mean()
+    assert (model.simulated(future, 5, 2) == model.simulated(future, 5, 2)).all()
