@@ -6,6 +6,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -602,6 +603,36 @@ def csv_round_trip(s: Source):
     return tables.read_csv(s.spark, folder, tables.RAW_SCHEMAS["stores"])
 
 
+@query("io1_load_folder", "relation n_rows:i n_long:i id_sum:i text_sum:i", """
+    select 'raw_items' as relation, count(*) as n_rows, count(*) filter (item_nbr % 3 = 0) as n_long, sum(item_nbr) as id_sum,
+           sum(length(family) + if(item_nbr % 3 = 0, length('"a, b"' || chr(10) || chr(10) || 'c'), 0)) as text_sum from raw_items
+    union all
+    select 'raw_stores', count(*), 0, sum(store_nbr), sum(length(city) + length(state)) from raw_stores
+    union all select 'skipped', 1, 0, 0, 0""")
+def load_folder(s: Source):
+    """Two known tables, one with line ends and quotes inside its texts, and an unknown one."""
+    folder, target = scratch("incoming"), scratch("loaded")
+    long = F.concat("family", F.lit('"a, b"\n\nc'))
+    items = s.rel("raw_items").select(
+        "item_nbr", F.when(F.col("item_nbr") % 3 == 0, long).otherwise(F.col("family")).alias("family"), "class",
+        F.lit(None).cast("long").alias("perishable"),
+    )
+    for stem, df in (("items", items), ("stores", s.rel("raw_stores")), ("notes", s.rel("cutoff"))):
+        df.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(f"{folder}/{stem}.csv")
+    loaded = tables.load_csv_tables(s.spark, folder, target)
+    found = {stem: s.spark.read.parquet(path) for stem, path in loaded.items()}
+    told = lambda stem, key, text: found[stem].agg(
+        F.lit(f"raw_{stem}").alias("relation"), F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(text.contains("\n")).alias("n_long"), F.sum(key).alias("id_sum"), F.sum(F.length(text)).alias("text_sum"),
+    )
+    skipped = s.spark.range(1 if "notes" not in loaded else 0).select(
+        F.lit("skipped").alias("relation"), F.lit(1).alias("n_rows"), *[F.lit(0).alias(c) for c in ("n_long", "id_sum", "text_sum")]
+    )
+    return told("items", "item_nbr", F.col("family")).unionByName(
+        told("stores", "store_nbr", F.concat("city", "state"))
+    ).unionByName(skipped)
+
+
 HISTORY = "store_nbr:i region date:d sales:f"
 
 
@@ -671,6 +702,26 @@ def insert(s: Source):
     )
 
 
+@query("io9_insert_once_by_partition", "month n_rows:i n_ids:i first_insert:i second_insert:i", """
+    with m as (select strftime(target_date, '%Y-%m') as month, forecast_output_id from outputs)
+    select month, count(*) as n_rows, count(distinct forecast_output_id) as n_ids, max(f) as first_insert,
+           max(l) as second_insert
+    from m cross join (select count(*) filter (month < x) as f, count(*) filter (month = x) as l
+                       from m cross join (select max(month) as x from m)) group by month""")
+def insert_by_partition(s: Source):
+    """All months but the last, then the last two: only the last has new rows."""
+    path = scratch("months")
+    out = s.rel("outputs").withColumn("month", F.date_format("target_date", "yyyy-MM"))
+    last = out.agg(F.max("month")).first()[0]
+    before = out.filter(F.col("month") < last).agg(F.max("month")).first()[0]
+    first = writers.insert_once(out.filter(F.col("month") < last), path, "forecast_output_id", "month")
+    second = writers.insert_once(out.filter(F.col("month") >= before), path, "forecast_output_id", "month")
+    return s.spark.read.parquet(path).groupBy(F.col("month").cast("string").alias("month")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("forecast_output_id").alias("n_ids"),
+        F.lit(first).alias("first_insert"), F.lit(second).alias("second_insert"),
+    )
+
+
 @query("io10_upsert", "forecast_output_id override_value:f reason_code", """
     select forecast_output_id, case when reason_code = 'promotion' then override_value + 1 else override_value end
       as override_value, reason_code from overrides""")
@@ -710,6 +761,24 @@ def export(s: Source):
     return s.spark.read.parquet(path)
 
 
+@query("io12_export_csv", "forecast_run_id publication_version:i publication_id published_value:f refused:b", """
+    select sha256(forecast_run_id) as forecast_run_id, publication_version, publication_id, published_value, true as refused
+    from publications where publication_version = 1
+      and forecast_run_id = (select max(forecast_run_id) from publications)""")
+def export_csv(s: Source):
+    """CSV shards, read back with their declared types; a second export is refused."""
+    path = scratch("export-csv")
+    pubs = s.rel("publications").withColumn("forecast_run_id", F.sha2(F.col("forecast_run_id"), 256))
+    newest = s.rel("publications").agg(F.sha2(F.max("forecast_run_id"), 256).alias("r")).first()["r"]
+    writers.export_run(pubs, newest, 1, path, "csv")
+    try:
+        writers.export_run(pubs, newest, 1, path, "csv")
+        refused = False
+    except AnalysisException:
+        refused = True
+    return tables.read_csv(s.spark, path, pubs.schema).withColumn("refused", F.lit(refused))
+
+
 # --- streams -------------------------------------------------------------------------------------------
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 

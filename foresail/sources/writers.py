@@ -10,10 +10,9 @@ import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foresail.functions.expr import require, require_unique
 from foresail.session import checkpointed
 
 RUN_ID = re.compile(r"[0-9a-f]{64}")
@@ -58,6 +57,18 @@ def overwrite_partitions(df: DataFrame, path: str, partition: str | Sequence[str
     )
 
 
+def touched_part(existing: DataFrame, batch: DataFrame, partition: str) -> DataFrame:
+    """The rows of ``existing`` in partitions that ``batch`` has, pruned by Spark.
+
+    The batch's partition values, one row each and at most as many as the ledger has
+    folders, meet the partition column in a semi-join, and only matching folders are
+    read. The comparison holds for every value that is there: Spark prunes only where the
+    other side is filtered.
+    """
+    values = batch.select(partition).filter(F.length(F.col(partition).cast("string")) >= 0).distinct()
+    return existing.join(F.broadcast(values), partition, "left_semi")
+
+
 def merge_replace(
     df: DataFrame, path: str, keys: Sequence[str], partition: str, clear: Sequence = ()
 ) -> None:
@@ -68,17 +79,55 @@ def merge_replace(
     Only touched partitions are read and rewritten.
     """
     spark = df.sparkSession
-    require_unique(df, keys, "merge batch")
+    df = unique_or_fail(df, keys, "merge batch")
     existing = read_if_exists(spark, path)
     if existing is None:
-        return overwrite_partitions(df, path, partition)
-    touched = [row[0] for row in df.select(partition).distinct().collect()]
-    kept = existing.filter(F.col(partition).isin(touched))
+        return _failing_as_value_error(lambda: overwrite_partitions(df, path, partition))
+    kept = touched_part(existing, df, partition)
     if clear:
         kept = kept.filter(~F.col(partition).isin(list(clear)))
     kept = kept.join(df.select(*keys), list(keys), "left_anti").select(*df.columns)
     # the path is both read and overwritten, so the kept rows are cut loose first
-    overwrite_partitions(checkpointed(kept.unionByName(df)), path, partition)
+    merged = _failing_as_value_error(lambda: checkpointed(kept.unionByName(df)))
+    overwrite_partitions(merged, path, partition)
+
+
+BAD_BATCH = "rejected batch: "
+
+
+def unique_or_fail(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
+    """``df``, whose use fails on a NULL or repeated key: checked inside the job that
+    uses it, on the exchange by key that a later join on the key needs anyway."""
+    missing = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    stop = F.raise_error(F.lit(f"{BAD_BATCH}{what}: {', '.join(keys)} is null"))
+    whole = df.withColumn("_key_ok", F.when(missing, stop).otherwise(F.lit(1)))
+    again = F.raise_error(F.lit(f"{BAD_BATCH}{what} must have one row per {', '.join(keys)}"))
+    count = F.sum("_key_ok").over(Window.partitionBy(*keys))
+    # the check is part of a column that stays, so that it is not pruned away
+    first = df.columns[0]
+    checked = whole.withColumn("_count", count).withColumn(
+        first, F.when(F.col("_count") > 1, again).otherwise(F.col(first))
+    )
+    return checked.select(*df.columns)
+
+
+def _failing_as_value_error(run):
+    """The result of ``run``; a batch rejected inside Spark is a ValueError here."""
+    try:
+        return run()
+    except Exception as error:
+        found = re.search(re.escape(BAD_BATCH) + r"([^\n\[\]]*)", str(error))
+        if found:
+            raise ValueError(found[1].split(" SQLSTATE")[0].strip()) from error
+        raise
+
+
+def not_yet_stored(df: DataFrame, existing: DataFrame, id_column: str, partition: str | None = None) -> DataFrame:
+    """Rows of ``df`` whose id is not in ``existing``, of which only the batch's partitions
+    are read where ids never move between partitions."""
+    if partition is not None:
+        existing = touched_part(existing, df, partition)
+    return df.join(existing.select(id_column), id_column, "left_anti").select(*df.columns)
 
 
 def insert_once(
@@ -86,24 +135,19 @@ def insert_once(
 ) -> int:
     """Append rows whose id is not in the ledger yet; return how many.
 
-    A NULL or repeated id rejects the whole batch. Where the ledger is
-    partitioned (ids never move between partitions) only the partitions the
-    batch touches are read for the anti-join, so a daily append does not scan
-    the whole history. Re-running a lost append inserts nothing twice.
+    A NULL or repeated id rejects the whole batch. It is checked, and the new rows are
+    counted, in the one job that writes: a rejected batch fails it before it commits.
+    Where the ledger is partitioned only the partitions the batch touches are read, so a
+    daily append does not scan the whole history. Re-running a lost append inserts
+    nothing twice.
     """
-    spark = df.sparkSession
-    require(df, {f"{id_column} is null": F.col(id_column).isNull()}, "insert batch")
-    require_unique(df, [id_column], "insert batch")
-    fresh = df
-    existing = read_if_exists(spark, path)
+    fresh = unique_or_fail(df, [id_column], "insert batch")
+    existing = read_if_exists(df.sparkSession, path)
     if existing is not None:
-        if partition is not None:
-            touched = [row[0] for row in df.select(partition).distinct().collect()]
-            existing = existing.filter(F.col(partition).isin(touched))
-        fresh = df.join(existing.select(id_column), id_column, "left_anti").select(*df.columns)
+        fresh = not_yet_stored(fresh, existing, id_column, partition)
     seen = Observation()
     counted = fresh.observe(seen, F.count(F.lit(1)).alias("added"))
-    write(counted, path, "append", [partition] if partition else ())
+    _failing_as_value_error(lambda: write(counted, path, "append", [partition] if partition else ()))
     return seen.get["added"]
 
 
@@ -115,23 +159,21 @@ def upsert(
     A NULL in the batch leaves the stored field as it is. With
     ``update_matched=False`` existing keys are left alone altogether.
     """
-    spark = df.sparkSession
-    require(df, {f"{key} is null": F.col(key).isNull()}, "upsert batch")
-    require_unique(df, [key], "upsert batch")
     if not update_matched:
         insert_once(df, path, key, partition)
         return
-    existing = read_if_exists(spark, path)
+    df = unique_or_fail(df, [key], "upsert batch")
+    existing = read_if_exists(df.sparkSession, path)
     if existing is None:
-        return write(df, path, "append", [partition] if partition else ())
+        _failing_as_value_error(lambda: write(df, path, "append", [partition] if partition else ()))
+        return
     if partition is not None:
-        touched = [row[0] for row in df.select(partition).distinct().collect()]
-        existing = existing.filter(F.col(partition).isin(touched))
-    merged = merge_rows(existing, df, key)
+        existing = touched_part(existing, df, partition)
+    merged = _failing_as_value_error(lambda: checkpointed(merge_rows(existing, df, key)))
     if partition is None:
-        write(checkpointed(merged), path, "replace")
+        write(merged, path, "replace")
     else:
-        overwrite_partitions(checkpointed(merged), path, partition)
+        overwrite_partitions(merged, path, partition)
 
 
 def merge_rows(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
