@@ -663,21 +663,77 @@ LEDGER_IDS = {
     "performance": "model_run_id",
     "predictions": "prediction_id",
     "backtest_predictions": "prediction_id",
+    "backtest_metrics": "metric_id",
+    "backtest_runs": "backtest_run_id",
 }
-def typed(df: DataFrame, schema: StructType | str) -> DataFrame:
-    """Cast a ledger's columns to a declared schema; a bad value fails the read."""
+
+# Column names and types of the ledgers that other systems read.
+LEDGER_SCHEMAS = {
+    "overrides": "override_id string not null, idempotency_key string, forecast_output_id string not null, "
+    "forecast_run_id string, override_value double not null, reason_code string, comment string, "
+    "overridden_at timestamp, overridden_by string",
+    "approvals": "approval_id string not null, idempotency_key string, forecast_output_id string not null, "
+    "forecast_run_id string, override_id string, decision string not null, approved_value double, reason_code string, "
+    "comment string, decided_at timestamp, decided_by string",
+    "publications": "publication_id string not null, idempotency_key string, forecast_output_id string not null, "
+    "forecast_run_id string, approval_id string, publication_version int not null, published_value double, "
+    "destination string, delivery_status string, delivery_reference string, published_at timestamp, published_by string",
+    "revisions": "revision_id string not null, prior_publication_id string, replacement_publication_id string, "
+    "revision_type string not null, reason_code string, revised_at timestamp, revised_by string",
+    "delivery_events": "delivery_event_id string not null, forecast_run_id string, publication_version int, "
+    "destination string, delivery_status string not null, delivery_attempt int, delivery_reference string, "
+    "error_code string, error_message string, occurred_at timestamp, occurred_by string",
+    "backtest_runs": "backtest_run_id string not null, backtest_contract_name string, backtest_contract_hash string, "
+    "model_config_name string, model_family string, model_type string, target string, grain string, "
+    "metric_policy_json string, origin_start date, origin_end date, prediction_count long, status string, "
+    "created_at timestamp",
+    "backtest_metrics": "metric_id string not null, backtest_run_id string not null, backtest_contract_name string, "
+    "backtest_contract_hash string, forecast_origin date, horizon int, baseline_name string, segment_key_json string, "
+    "eligible_count long, prediction_count long, wape double, mae double, mase double, rmsse double, bias double, "
+    "prediction_completeness double, interval_coverage double, created_at timestamp",
+    "backtest_predictions": "prediction_id string not null, backtest_run_id string not null, "
+    "backtest_contract_name string, backtest_contract_hash string, forecast_origin date, target_date date, horizon int, "
+    "store_nbr long, region string, baseline_name string, actual double, prediction double, prediction_p10 double, "
+    "prediction_p50 double, prediction_p90 double, feature_availability_hash string",
+}
+
+
+def typed(df: DataFrame, schema: StructType | str, extras: str = "drop") -> DataFrame:
+    """A ledger's columns in the types of a declared schema.
+
+    A value that does not fit its type, or a NULL where the schema has none, fails the
+    read. ``extras`` is the rule for columns that the schema does not name, as a writer of
+    a later version may add them: "drop", "keep" (after the declared ones) or "refuse".
+    """
     kinds = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     require_columns(df, kinds.fieldNames(), "ledger")
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds])
+    names = {n.lower() for n in kinds.fieldNames()}
+    added = [c for c in df.columns if c.lower() not in names]
+    if extras not in ("drop", "keep", "refuse"):
+        raise ValueError("extras must be drop, keep or refuse")
+    if added and extras == "refuse":
+        raise ValueError(f"ledger has undeclared columns: {added}")
+
+    def column(f) -> Column:
+        value, kind = F.col(f.name), f.dataType.simpleString()
+        read = F.expr(f"try_cast(`{f.name}` as {kind})")
+        bad = F.raise_error(F.concat(F.lit(f"ledger column {f.name} is not {kind}: "), value.cast("string")))
+        out = F.when(value.isNotNull() & read.isNull(), bad).otherwise(read)
+        if not f.nullable:
+            out = F.when(value.isNull(), F.raise_error(F.lit(f"ledger column {f.name} is null"))).otherwise(out)
+        return out.cast(f.dataType).alias(f.name)
+
+    return df.select(*[column(f) for f in kinds], *(added if extras == "keep" else ()))
 
 
 def ledger(spark: SparkSession, path: str, name: str, partition_filter: Column | None = None,
-           schema: StructType | str | None = None) -> DataFrame:
-    """A ledger relation; the identity column must be there. Types are those stored,
-    or those of ``schema`` where a ledger came in as text."""
+           schema: StructType | str | None = None, extras: str = "drop") -> DataFrame:
+    """A ledger relation; the identity column must be there. It is read in the types of
+    ``schema``, or of its declared one; a ledger without either keeps those stored."""
     if name not in LEDGER_IDS:
         raise ValueError(f"unknown ledger {name!r}")
     df = spark.read.parquet(f"{path}/{name}")
     require_columns(df, [LEDGER_IDS[name]], f"ledger {name}")
     kept = df if partition_filter is None else df.filter(partition_filter)
-    return kept if schema is None else typed(kept, schema)
+    schema = schema or LEDGER_SCHEMAS.get(name)
+    return kept if schema is None else typed(kept, schema, extras)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from foresail.operators import ledger as le
 from foresail.sources import tables, writers
 
 
@@ -145,3 +146,25 @@ def test_a_quote_left_open_is_an_error(spark, tmp_path):
         tables.read_csv(spark, str(tmp_path / "bad.csv"), "k long, t string")
     (tmp_path / "none.csv").write_text("")
     assert tables.read_csv(spark, str(tmp_path / "none.csv"), "k long, t string").collect() == []
+
+
+def test_declared_ledgers_refuse_bad_values(spark, tmp_path):
+    row = {"override_id": "o1", "idempotency_key": "k", "forecast_output_id": "f", "forecast_run_id": "r",
+           "override_value": "1.5", "reason_code": None, "comment": "c", "overridden_at": "2024-01-01 08:00:00",
+           "overridden_by": "p", "extra": "e"}
+
+    def read(extras="drop", **changes):
+        df = spark.createDataFrame([tuple((row | changes).values())], ", ".join(f"{c} string" for c in row))
+        df.write.mode("overwrite").parquet(str(tmp_path / "overrides"))
+        return le.ledger(spark, str(tmp_path), "overrides", extras=extras)
+
+    good = read()
+    assert good.schema["override_value"].dataType.simpleString() == "double" and "extra" not in good.columns
+    assert good.first().override_value == 1.5
+    assert read("keep").columns[-1] == "extra"
+    with pytest.raises(ValueError, match="undeclared"):
+        read("refuse")
+    for bad, why in (({"override_value": "many"}, "override_value is not double"), ({"overridden_at": "late"}, "timestamp"),
+                     ({"override_id": None}, "override_id is null")):
+        with pytest.raises(Exception, match=why):
+            read(**bad).collect()
