@@ -2,8 +2,8 @@
 
 Texts are equal when identical after every character of ``[\\x20\\x09-\\x0D]`` is
 deleted. Rows are refined by length, then by a hash of the first characters, then by
-the full digest; a row leaves as soon as it is alone in its group, so only rows that
-survive both cheap keys are shuffled by digest.
+the full digest; a row leaves with its result as soon as it is alone in its group, so
+only rows that survive both cheap keys are shuffled by digest.
 
 Defined results: a null text counts as empty, and empty texts are equal to each other.
 Of equal texts the row with most code points in its original text stays, then the
@@ -34,10 +34,12 @@ def digest(text: Column) -> Column:
     return F.sha2(normalised(text), 256)
 
 
-def shared(rows: DataFrame, *keys: str) -> DataFrame:
-    """The rows whose key another row has too. Counts are combined before the shuffle."""
-    groups = rows.groupBy(*keys).count().where(F.col("count") > 1).select(*keys)
-    return rows.join(groups, list(keys), "left_semi")
+def refined(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with ``company``: whether another row has the same keys. Counts are
+    combined before the shuffle, and groups of one row take no part in the join."""
+    groups = rows.groupBy(*keys).count().where(F.col("count") > 1)
+    groups = groups.select(*keys, F.lit(True).alias("company"))
+    return rows.join(groups, list(keys), "left").withColumn("company", F.coalesce("company", F.lit(False)))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,21 +57,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.sha2("norm", 256).alias("text_sha256"),
     )
     rows = written(rows, "exact-keys")
-    left = shared(shared(rows, "n_norm"), "n_norm", "prefix")
+    by_length = refined(rows, "n_norm")
+    alone = by_length.where(~F.col("company"))
+    by_prefix = written(refined(by_length.where("company").drop("company"), "n_norm", "prefix"), "exact-refined")
+    survivors = by_prefix.where("company")
     best = F.min(F.struct(-F.col("n_points"), F.col("doc_id").isNull(), F.col("doc_id")))
-    groups = (
-        left.groupBy("text_sha256")
-        .agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-        .where(F.col("group_size") > 1)
-        .select("text_sha256", F.col("best.doc_id").alias("keep_id"), "group_size")
-    )
-    out = rows.join(groups, "text_sha256", "left")
-    keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    groups = survivors.groupBy("text_sha256").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    groups = groups.select("text_sha256", F.col("best.doc_id").alias("keep_id"), "group_size")
+    # rows that left early are their own groups and are not shuffled by digest
+    alone = alone.unionByName(by_prefix.where(~F.col("company")))
+    own = alone.select("doc_id", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).alias("group_size"))
+    out = survivors.join(groups, "text_sha256").select("doc_id", "text_sha256", "keep_id", "group_size").unionByName(own)
     return out.select(
         "doc_id",
-        keep_id.alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep_id).alias("kept"),
+        "keep_id",
+        F.col("group_size").cast("long").alias("group_size"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256",
     )
 

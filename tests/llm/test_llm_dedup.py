@@ -56,6 +56,18 @@ def test_exact_dedup_matches_brute_force(docs):
     assert by_row(left, "doc_id") == sorted([(w[0],) for w in want if w[3]], key=str)
 
 
+def test_rows_that_leave_early_are_not_shuffled_by_digest(spark):
+    rows = [(i, "x" * (i + 1)) for i in range(40)] + [(100 + i, f"{i:064d}tail") for i in range(30)]
+    rows += [(200 + i, "a copy of a text") for i in range(5)] + [(300, "a copy  of a text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = exact_dedup.exact_dedup(df)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in out.collect()}
+    assert got == {d: (d, 1) if d < 200 else (300, 6) for d, _ in rows}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.rindex("Final Plan") :] if "Final Plan" in plan else plan
+    assert len(re.findall(r"hashpartitioning\(text_sha256", plan.split("Initial Plan")[0])) <= 2
+
+
 def shingle_set(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     k = min(5, len(words))
