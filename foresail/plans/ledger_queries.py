@@ -554,7 +554,7 @@ select baseline_name, backtest_run_id, if(baseline_name = 'gbt_store', 'store_da
 from board_origins where region <> 'ASIA' group by baseline_name, backtest_run_id, horizon
 union all
 select 'naive_' || region, null, 'trees', 'BOOSTED', 'region-day', 1, 'mae', 'holdout', max(date)::timestamp,
-       avg(abs(p - a)), sqrt(avg(pow(p - a, 2))), 1 - sum(pow(p - a, 2)) / (var_pop(a) * count(*)),
+       avg(abs(p - a)), sqrt(avg(pow(p - a, 2))), 1 - sum(pow(p - a, 2)) / nullif(var_pop(a) * count(*), 0),
        sum(abs(p - a)) / sum(a), null, null, null, null
 from (select region, date, sum(prediction) as p, sum(actual) as a from recent_naive group by region, date) group by region"""
 MIRRORS["board"] = """
