@@ -755,6 +755,51 @@ def generic(s: Source):
     return out
 
 
+@query("dq_unaltered_relations", "check n_checked:i violations:i", """
+    select 'dq1 one champion' as "check", count(*) filter (is_champion) as n_checked, 0 as violations from champion_board
+    union all select 'dq2 company sales', count(distinct date), 0 from stage_train
+    union all select 'dq3 partition key', count(*), 0 from board
+    union all select 'dq6 registered runs', count(*), count(*) filter (contract_enforced and forecast_run_id not in
+      (select forecast_run_id from runs)) from outputs
+    union all select 'dq10 fact count', count(*), 0 from sales_fact
+    union all select 'dq11 split boundary', count(distinct date), (count(distinct date) <> 16 or min(date) <>
+      (select max(date) + 1 from raw_train))::int from raw_test
+    union all select 'dq12 relationship', count(*), 0 from sales_raw
+    union all select 'dq12 accepted', count(*), count(*) filter (confidence_flag not in ('low', 'medium', 'high')) from outputs
+    union all select 'dq12 unique', count(*), count(*) - count(distinct forecast_output_id) from outputs
+    union all select 'dq12 not_null', count(*), count(*) filter (forecast_run_id is null) from outputs""")
+def unaltered(s: Source):
+    """The rules of the checks above on the relations as they are, whole."""
+    from foresail.operators import lifecycle as lc
+
+    scores, outputs, raw = board(s), s.rel("outputs"), s.rel("sales_raw")
+    best = lc.champions(scores)
+    company = fe.last_sum(fe.daily_agg(s.fact, "company"), [], "date", "sales_company")
+    checks = {
+        "dq1 one champion": (best.filter("is_champion"), dq.check_one_champion(best)),
+        "dq2 company sales": (s.train.select("date").distinct(), dq.check_company_sales(s.train, company)),
+        "dq3 partition key": (scores, dq.check_partition_key(scores)),
+        "dq6 registered runs": (outputs, dq.check_registered_runs(outputs, s.rel("runs"))),
+        "dq10 fact count": (s.fact, dq.check_fact_count(s.fact, s.train, s.test)),
+        "dq11 split boundary": (
+            s.rel("raw_test").select("date").distinct(), dq.check_split_boundary(s.rel("raw_train"), s.rel("raw_test"))
+        ),
+        "dq12 relationship": (raw, dq.check_relationship(raw, "store_nbr", s.rel("raw_stores"), "store_nbr")),
+        "dq12 accepted": (outputs, dq.check_accepted(outputs, "confidence_flag", ["low", "medium", "high"])),
+        "dq12 unique": (outputs, dq.check_unique(outputs, ["forecast_output_id"])),
+        "dq12 not_null": (outputs, dq.check_not_null(outputs, ["forecast_run_id"])),
+    }
+    out = None
+    for name, (checked, found) in checks.items():
+        each = [df.select(F.lit(c).alias("kind")) for df, c in ((checked, "n"), (found, "v"))]
+        row = each[0].unionByName(each[1]).agg(
+            F.lit(name).alias("check"), F.count_if(F.col("kind") == "n").alias("n_checked"),
+            F.count_if(F.col("kind") == "v").alias("violations"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(
     "dq13_publication_report",
     "forecast_run_id output_count:i entity_count:i invalid_horizon_count:i missing_lineage_count:i "
