@@ -10,8 +10,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foresail.contracts import BacktestContract, ForecastContract, RunPins
+from foresail.contracts import BacktestContract, ForecastContract, HierarchySpec, RunPins
 from foresail.operators import batch as ba
+from foresail.operators import hierarchy as hi
 from foresail.operators import models as ml
 from foresail.operators import splits as sp
 from foresail.plans.backtest_queries import contract, residual_rows
@@ -552,6 +553,49 @@ def staged_batch(s: Source):
     return staged(s)[0].rows
 
 
+TREE_BATCH = ForecastContract("node_batch", ("node_id",), (1, 7, 14), reconciliation_policy="bottom_up")
+
+
+@query(
+    "fp4_staged_hierarchy",
+    "entity_key_json horizon:i target_date:d prediction_p10:f prediction_p50:f prediction_p90:f forecast_status "
+    "reconciliation_method",
+    """select to_json({'node_id': node})::varchar as entity_key_json, horizon,
+              (select train_end from cutoff) + horizon as target_date, sum(greatest(last_sales - r, 0)) as prediction_p10,
+              sum(last_sales) as prediction_p50, sum(last_sales + r) as prediction_p90, 'draft' as forecast_status,
+              'bottom_up' as reconciliation_method
+       from (select last_sales, b.horizon, coalesce(h.radius, p.radius) as r,
+                    unnest(['company:all', 'region:' || state, 'store:' || b.store_nbr]) as node
+             from staged_population b join raw_stores st using (store_nbr) cross join ca_pooled p
+             left join ca_radius h on h.horizon = b.horizon and h.n >= 20 where b.n >= 28)
+       group by node, horizon""",
+)
+def staged_hierarchy(s: Source):
+    """Stores, regions and the company as one batch, reconciled from the stores upward."""
+    origin = s.train_end
+    heads = s.rel("store_day").groupBy("store_nbr").agg(
+        F.max("region").alias("region"), F.max_by("sales", "date").alias("prediction"), F.count(F.lit(1)).alias("n")
+    )
+    heads = checkpointed(heads.filter("n >= 28"))
+    levels = (("company", ()), ("region", ("region",)), ("store", ("store_nbr",)))
+    nodes, edges = hi.build_hierarchy(heads.select("store_nbr", "region"), levels, "demand", "v1")
+    leaf = heads.select(
+        "store_nbr", "prediction", F.lit(origin).alias("date"), F.md5(F.col("store_nbr").cast("string")).alias("prediction_id"),
+        F.explode(F.array(*[F.lit(h) for h in TREE_BATCH.horizons])).alias("forecast_horizon"),
+    )
+    text = {n: F.lit(n) for n in ("model_id", "config_name", "model_type", "model_artifact_uri", "model_run_id")}
+    pred = hi.expand_leaves(leaf, nodes, edges, ["store_nbr"], ["date", "forecast_horizon"]).withColumns(text)
+    pred = checkpointed(pred)
+    population = pred.select("node_id", "date", "forecast_horizon").withColumns(
+        {"is_eligible": F.lit(True), "ineligibility_reason": F.lit(None).cast("string")}
+    )
+    calib = residual_rows(s).select("entity_key_json", "horizon", "actual", "prediction")
+    at = F.lit(dt.datetime.combine(origin, dt.time(6)))
+    tree = ba.Hierarchy(HierarchySpec("demand", "v1", ("company", "region", "store")), nodes, edges)
+    pins = RunPins("cand", "mr", "v1", "fa", origin, "sha")
+    return ba.run_batch(pred, calib, population, TREE_BATCH, pins, at, tree).rows
+
+
 @query("fp4_stage_records", "stage_name stage_position:i stage_status input_row_count:i output_row_count:i", """
     select stage_name, stage_position, 'completed' as stage_status, n as input_row_count, n as output_row_count
     from stage_names cross join (select count(*) as n from staged_population where n >= 28)""")
