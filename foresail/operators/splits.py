@@ -13,6 +13,7 @@ from foresail.functions.expr import require_columns
 from foresail.functions.ranks import kth_values
 from foresail.operators.features import declared_features
 
+MAX_LEVELS = 2000
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
@@ -25,15 +26,17 @@ def feature_matrix(
 ) -> tuple[DataFrame, list[str]]:
     """Numeric feature columns, one-hot categories, complete rows only.
 
-    The category values and the all-NULL test come from one aggregate each;
-    category sets are dimension values (weekday, store type), not entity keys.
+    Categories are dimension values (weekday, store type), each a column of the matrix;
+    a column with more than MAX_LEVELS of them is an entity key and is refused.
     """
     require_columns(df, [target], "feature input")
     cats = [c for c in categorical if c in df.columns]
     levels = {}
-    if cats:
-        found = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cats]).first()
-        levels = {c: found[c] for c in cats}
+    for c in cats:
+        found = df.filter(F.col(c).isNotNull()).select(c).distinct().limit(MAX_LEVELS + 1).collect()
+        if len(found) > MAX_LEVELS:
+            raise ValueError(f"{c} has more than {MAX_LEVELS} values and is no category")
+        levels[c] = sorted(r[0] for r in found)
     coded = {
         _clean(f"{c}_{v}"): (F.coalesce(F.col(c) == F.lit(v), F.lit(False))).cast("int")
         for c in cats
