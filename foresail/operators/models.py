@@ -175,6 +175,7 @@ def check_horizon_batch(pred: DataFrame, keys: Sequence[str], horizons: Sequence
         raise ValueError("every entity must contain every configured horizon exactly once")
 
 
+# The columns of the prediction ledger, in its order.
 STANDARD_COLUMNS = (
     "prediction_id",
     "predict_run_id",
