@@ -177,12 +177,15 @@ def scope(
 
 def published_page(
     pbr: DataFrame,
-    scope_row: Mapping[str, object],
+    scope_row: Mapping[str, object] | None,
     filters: Mapping[str, object],
     limit: int,
     after: Sequence | None = None,
 ) -> DataFrame:
-    """One page of a version's rows; an incomplete version is an error."""
+    """One page of a version's rows; an incomplete version is an error. Without a version,
+    as when none was delivered yet, the page is empty."""
+    if scope_row is None:
+        return pbr.limit(0)
     version = all_of(
         [F.col(k) == F.lit(scope_row[k]) for k in ("forecast_run_id", "publication_version", "destination")]
     )

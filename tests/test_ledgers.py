@@ -281,3 +281,9 @@ def test_trend_finds_planted_changes():
     spread = np.quantile(model.simulated(future, 400, 1), [0.1, 0.9], axis=0)
     assert (spread[1] - spread[0])[-10:].mean() > 1.2 * (spread[1] - spread[0])[:10].mean()
     assert (model.simulated(future, 5, 2) == model.simulated(future, 5, 2)).all()
+
+
+def test_a_page_without_a_delivered_version_is_empty(spark):
+    rows = spark.createDataFrame([("r", 1, "warehouse", "p")], "forecast_run_id string, publication_version int, destination string, publication_id string")
+    page = rm.published_page(rows, None, {"horizon": [1]}, 20)
+    assert page.columns == rows.columns and page.isEmpty()
