@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from foresail.operators import checks as dq
 from foresail.operators import hierarchy as hi
+from foresail.session import stored
 
 TREE = {"company": ["store_1", "store_2"], "store_1": ["sku_1", "sku_2"], "store_2": ["sku_3"]}
 WEIGHTS = {"store_1": 0.6, "store_2": 0.4, "sku_1": 0.25, "sku_2": 0.75, "sku_3": 1.0}
@@ -139,3 +141,21 @@ def test_reconciliation_plans_are_short(spark):
         text = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
         assert text.count("Scan ") < 40
+
+
+@pytest.mark.parametrize("method", ["bottom_up", "top_down", "middle_out", "mint"])
+def test_rows_of_leaves_are_not_shuffled(spark, graph, method):
+    """Reconciled without the checks, only the sums of inner nodes go through an exchange."""
+    fc = spark.createDataFrame([("g", n, 1.0) for n in NODES], "g string, node_id string, v double")
+    out = hi.reconcile(stored(fc), *graph, method, ["g"], ["v"], middle_level="store", check=False)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [node_id" not in plan
+    assert plan.count("Exchange hashpartitioning(g#") <= 3
+    assert out.count() == len(NODES)
+
+
+def test_distinct_texts_with_shared_hashes(spark):
+    rows = spark.createDataFrame([(v,) for v in ["a", "b", "b", None, "c", "c", "c"]], "v string")
+    assert dq.distinct_texts(rows, "v", "n").first().n == 3
+    assert dq.distinct_texts(rows.filter("v = 'a' or v is null"), "v", "n").first().n == 1
+    assert dq.distinct_texts(rows.limit(0), "v", "n").first().n == 0
