@@ -7,6 +7,7 @@ from collections import namedtuple
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
@@ -197,3 +198,24 @@ def test_stream_reads_each_part_as_a_whole(spark, monkeypatch):
     got = entry.queries()["ss1_stream_insert_once"](spark, SF)
     assert batches == [1, 1, 1]
     assert got.count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_trees_on_cells_are_trees_on_rows(spark):
+    """Whole samples: the fit on cells predicts what a fit on all binned rows does."""
+    df = panel(spark).withColumn("label", F.col("y"))
+    edges = ml.bin_edges(df, ["x"], 8)
+    assert len(edges[0]) <= 9
+    binned = Bucketizer(splits=edges[0], inputCol="x", outputCol="_bin_x").transform(df)
+    few = ml.cells(binned, ["_bin_x"]).collect()
+    assert len(few) < df.count()
+    for power in (0, 1, 2):
+        total = df.agg(F.sum(F.pow("y", F.lit(power)))).first()[0]
+        assert sum(r._weight * r.label**power for r in few) == pytest.approx(total)
+    tree = GBTRegressor(maxIter=4, maxDepth=3, maxBins=8, seed=1)
+    got = ml._fit(tree, df, ["x"], "y").transform(df)
+    plain = VectorAssembler(inputCols=["_bin_x"], outputCol="features")
+    want = tree.fit(plain.transform(binned)).transform(plain.transform(df.join(binned, df.columns)))
+    both = got.select("store_nbr", "date", "prediction").join(
+        want.select("store_nbr", "date", F.col("prediction").alias("w")), ["store_nbr", "date"]
+    ).toPandas()
+    assert len(both) == df.count() and np.allclose(both.prediction, both.w)
