@@ -156,3 +156,56 @@ def test_feature_matrix_drops_empty_columns_and_incomplete_rows(spark):
     matrix, features = sp.feature_matrix(df, "y", categorical=["kind"])
     assert features == ["x", "kind_a_b", "kind_c"]
     assert sorted((r.y, r.kind_a_b, r.kind_c) for r in matrix.collect()) == [(1.0, 1, 0), (3.0, 0, 1)]
+
+
+def test_whole_series_wait_for_the_batch_they_end_in():
+    import pyarrow as pa
+
+    from foresail.operators.rolling import whole_series
+
+    ids = [None, None, 1, 1, 1, 1, 1, 2, 3, 3]
+    for size in (1, 2, 3, 10):
+        table = pa.table({"k": pa.array(ids), "i": list(range(10))})
+        got = list(whole_series(iter(table.to_batches(max_chunksize=size)), ["k"]))
+        assert [i for t, _ in got for i in t["i"].to_pylist()] == list(range(10))
+        assert not set(got[0][0]["k"].to_pylist()) & {k for t, _ in got[1:] for k in t["k"].to_pylist()}
+        runs = [(t["k"].to_pylist()[j], int(n)) for t, number in got for j, n in enumerate(number)]
+        assert len(set(zip([r[0] for r in runs], [r[1] for r in runs], strict=True))) == 4
+
+
+def test_feature_table_needs_no_window_and_equals_the_windows(spark, series):
+    """One pass over sorted series; a Window re-copies every row for each step (failed before)."""
+    _, df = series
+    spec = fe.FeatureSpec("m", ("store_nbr",), exact_leads=(1, 7), exact_lead_sum=7, lead_rows=(14, 28, 60, 90))
+    table = fe.rolling_features(df, spec)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "MapInArrow" in plan
+    keys = ["store_nbr"]
+    plain = fe.lead_rows(fe.lead_exact(df, keys, "date", "m", (1,)), keys, "date", "m", (14, 28, 60, 90))
+    plain = fe.prior_sum(fe.last_stddev(fe.last_avg(fe.last_sum(plain, keys, "date", "m"), keys, "date", "m"), keys, "date", "m"), keys, "date", "m")
+    plain = fe.dow_avg(calendar_parts(plain), keys, "date", "m")
+    columns = sorted(c for c in plain.columns if c.startswith(("m_", "avg_", "stddev_")))
+    assert set(columns) <= set(table.columns)
+    left = table.orderBy("store_nbr", "date").select(*columns).collect()
+    right = plain.orderBy("store_nbr", "date").select(*columns).collect()
+    for a, b in zip(left, right, strict=True):
+        for c in columns:
+            assert a[c] == (None if b[c] is None else pytest.approx(b[c], abs=1e-9)), c
+    cum = {(r.store_nbr, r.date): r for r in table.collect()}
+    for (store, day), r in cum.items():
+        near = [cum.get((store, day + dt.timedelta(days=k))) for k in range(1, 8)]
+        near = [x.m for x in near if x is not None and x.m is not None]
+        assert r.m_n7d_cum == (sum(near) if near else None)
+
+
+def test_quick_rounding_is_exact(spark):
+    from foresail.plans.registry import rounded
+
+    rng = random.Random(3)
+    values = [0.0, -0.0, 0.5e-6, 1.5e-6, -2.5e-6, 1e300, -1e13, 2.0**40, 1 / 3, float("nan"), float("inf"), None]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randint(-8, 14) for _ in range(4000)]
+    values += [round(rng.uniform(-100, 100), 7) for _ in range(4000)] + [k / 2e6 for k in range(-500, 500)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for places in (3, 4, 6, 9):
+        wrong = df.filter(~(rounded(F.col("x"), places) + 0.0).eqNullSafe(F.round("x", places) + 0.0))
+        assert wrong.count() == 0
