@@ -243,6 +243,48 @@ def test_series_models_tell_what_became_of_each_series(spark):
     assert [r.prediction for r in ahead] == pytest.approx([60.0, 61.0, 62.0])
 
 
+def test_series_of_one_length_are_fitted_side_by_side(spark):
+    """A group and a call for each series is what made a million short series slow."""
+    rng = np.random.default_rng(5)
+    y = rng.poisson(4, (30, 60)).astype(float)
+    y[0], y[1] = 3.0, np.arange(60.0)  # columns that depend on one another
+    y[2, 7] = np.inf
+    values, width, fitted = ml.arma_forecasts(y, 9)
+    assert list(np.flatnonzero(~fitted)) == [2]
+    for i in np.flatnonzero(fitted):
+        alone = ml.arma_forecast(y[i], 9)
+        assert values[i] == pytest.approx(alone[0]) and width[i] == pytest.approx(alone[1], abs=1e-9)
+    days = pd.Series(pd.date_range("2024-01-01", periods=60))
+    numbers = np.tile(ml._day_numbers(days), (30, 1))
+    numbers[4] = numbers[4] * 2
+    keep = [i for i in range(30) if i != 2]
+    together = ml.fit_trends(numbers[keep], y[keep], 1, 0)
+    assert together.fitted.all()
+    alone = ml.fit_trend(days, y[5], 1, 0)
+    assert together.coef[keep.index(5)] == pytest.approx(alone.coef) and together.sigma[keep.index(5)] == pytest.approx(alone.sigma)
+    rows = [(i, d.date(), float(v)) for i in keep for d, v in zip(days, y[i], strict=True)] + [(None, dt.date(2024, 1, 1), 1.0)]
+    df = spark.createDataFrame(rows, "k int, date date, y double")
+    for fit in (ml.fit_series_arma, ml.fit_series_seasonal):
+        out = fit(df, ["k"], "date", "y", 7, min_obs=24)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+        told = {r.k: (r.status, r.n_obs) for r in ml.series_status(out, ["k"]).collect()}
+        assert told == {i: ("fitted", 60) for i in keep} | {None: ("short", 1)}
+        held = ml.series_forecasts(out).filter("part = 'holdout' and k = 1").orderBy("forecast_horizon").collect()
+        assert [(r.actual, r.forecast_horizon) for r in held] == [(48.0 + i, i + 1) for i in range(12)]
+        assert {r.date for r in held} == {dt.date(2024, 2, 17)} and held[0].forecast_date == dt.date(2024, 2, 18)
+
+
+def test_simulated_changes_add_a_slope_from_their_place_on():
+    t, changes, runs = np.array([1.01, 1.1, 1.3, 1.5]), np.array([0.5, -2.0, 1.0]), 40
+    rng = np.random.default_rng(9)
+    counts = rng.poisson(0.5 * len(changes) / ml.CHANGE_SPAN, runs)
+    most = int(counts.max())
+    where = 1.0 + 0.5 * rng.random((runs, most))
+    size = rng.laplace(0.0, np.abs(changes).mean(), (runs, most)) * (np.arange(most) < counts[:, None])
+    plain = (size[:, :, None] * np.maximum(t - where[:, :, None], 0.0)).sum(1) + rng.normal(0.0, 0.3, (runs, 4))
+    assert ml._deviations(t, changes, 0.3, runs, 9) == pytest.approx(plain, abs=1e-12)
+
+
 def test_arma_learns_seasons_and_shocks():
     rng = np.random.default_rng(3)
     e = rng.normal(size=700)
