@@ -325,6 +325,37 @@ def test_trend_finds_planted_changes():
     assert (model.simulated(future, 5, 2) == model.simulated(future, 5, 2)).all()
 
 
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_event_flags_do_not_shuffle_a_row_per_store_and_day(spark, few, monkeypatch):
+    from foresail.operators import staging as st
+
+    monkeypatch.setattr(st, "FEW_PAIR_DAYS", few)
+    stores = spark.createDataFrame(
+        [(1, "Quito", "Pichincha"), (2, "Quito", "Pichincha"), (3, None, "Guayas"), (4, None, None)],
+        "store_nbr int, city string, state string",
+    )
+    d = [dt.date(2020, 1, i) for i in (1, 2, 3)]
+    events = spark.createDataFrame(
+        [
+            (d[0], "National", "Holiday", "Ecuador", "a", False), (d[1], "Local", "Transfer", "Quito", "b", False),
+            (d[1], "Regional", "Holiday", "Guayas", "c", False), (d[2], "Regional", "Holiday", "Pichincha", "d", False),
+            (None, "Local", "Holiday", "Quito", "e", False), (d[2], "Local", "Additional", None, "f", False),
+        ],
+        "date date, locale string, type string, locale_name string, description string, transferred boolean",
+    )
+    flags = st.store_event_flags(stores, st.stage_events(events), match_col="locale_name")
+    fired = {(r.store_nbr, r.date.day, f) for r in flags.collect() for f in st.EVENT_FLAGS if r[f]}
+    national = next(f for f, kind in st.EVENT_FLAGS.items() if kind == ("National", "Holiday"))
+    regional = next(f for f, kind in st.EVENT_FLAGS.items() if kind == ("Regional", "Holiday"))
+    assert fired == {(i, 1, national) for i in (1, 2, 3, 4)} | {
+        (1, 2, "is_local_transfer"), (2, 2, "is_local_transfer"), (3, 2, regional), (1, 3, regional), (2, 3, regional)
+    }
+    assert flags.count() == 12
+    plan = flags._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("inline(_days")[0].count("RepartitionByExpression") == 0  # nothing is dealt again after the lists
+    assert "inline(_days" in plan
+
+
 def test_a_page_without_a_delivered_version_is_empty(spark):
     rows = spark.createDataFrame([("r", 1, "warehouse", "p")], "forecast_run_id string, publication_version int, destination string, publication_id string")
     page = rm.published_page(rows, None, {"horizon": [1]}, 20)
