@@ -72,3 +72,12 @@ def test_query_matches_its_oracle(spark, duck, name):
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_relations_that_several_rules_read_are_made_once(spark):
+    from foresail.plans.monitoring_queries import unaltered
+    from foresail.plans.registry import Source
+
+    plan = unaltered(Source(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    # 105 reads of the fact table before, one or more for every rule and its count
+    assert plan.count("Relation [l_orderkey") <= 20
