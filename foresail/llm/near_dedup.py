@@ -29,7 +29,7 @@ other. An empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import add
 
 import numpy as np
@@ -46,6 +46,7 @@ BAND = 2  # permutations a band, of two values each
 LIKE = 75  # percent
 SEED = 4
 SKETCH = 1024  # permutations of a node's sketch: one bit of each minimum and maximum
+SKETCH_CELLS = 1 << 16  # hashes of several permutations worked on at once
 # Bits of two sketches that may differ: at the least similarity of a link an eighth is
 # expected; 6.3 standard deviations more are passed by all but 1 of a thousand million.
 SKETCH_OFF = int(2 * SKETCH / 8 + 6.3 * (2 * SKETCH * 7 / 64) ** 0.5)
@@ -85,15 +86,24 @@ def signatures(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(values: np.ndarray) -> np.ndarray:
-    """One bit of the minimum and of the maximum under each of SKETCH permutations."""
+@lru_cache(1)
+def sketch_permutations() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED + 1)
     draw = rng.integers(0, 1 << 31, size=(2, SKETCH), dtype=np.uint32)
+    return (draw[0] * np.uint32(2) + np.uint32(1))[:, None], draw[1][:, None]
+
+
+def sketch(values: np.ndarray) -> np.ndarray:
+    """One bit of the minimum and of the maximum under each of SKETCH permutations."""
+    a, b = sketch_permutations()
     short = (values >> np.uint64(32)).astype(np.uint32)
     ends = np.empty((SKETCH, 2), np.uint32)
-    for k, (a, b) in enumerate(zip(draw[0] * np.uint32(2) + np.uint32(1), draw[1], strict=True)):
-        moved = short * a + b
-        ends[k] = moved.min(), moved.max()
+    step = max(1, SKETCH_CELLS // len(short))
+    for k in range(0, SKETCH, step):
+        moved = short * a[k : k + step]
+        moved += b[k : k + step]
+        ends[k : k + step, 0] = moved.min(axis=1)
+        ends[k : k + step, 1] = moved.max(axis=1)
     ends = (ends ^ (ends >> np.uint32(16))) * np.uint32(0x85EBCA6B)
     return np.packbits((ends >> np.uint32(31)).astype(bool)).view(np.int64)
 

@@ -228,3 +228,27 @@ def test_contamination_matches_brute_force(spark):
     assert by_row(left, "doc_id") == sorted([(w[0],) for w in want if not w[5]], key=str)
     cleaned = dict(by_row(decontaminate.remove_spans(docs.where("doc_id in (1, 2, 3)"), found), "doc_id", "text"))
     assert cleaned == {1: "x " * 10 + "y", 2: "a here", 3: None}
+
+
+def test_sketch_works_on_many_permutations_at_once(monkeypatch):
+    """One pass a permutation cost 3 ms a node, however short its text."""
+    import time
+
+    import numpy as np
+
+    from foresail.llm import near_dedup as nd
+
+    rng = np.random.default_rng(nd.SEED + 1)
+    a, b = rng.integers(0, 1 << 31, size=(2, nd.SKETCH), dtype=np.uint32)
+    values = np.random.default_rng(1).integers(0, 1 << 63, 500, dtype=np.uint64)
+    short = (values >> np.uint64(32)).astype(np.uint32)
+    ends = np.array([[f(short * (x * np.uint32(2) + np.uint32(1)) + y) for f in (np.min, np.max)] for x, y in zip(a, b, strict=True)])
+    ends = (ends ^ (ends >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    plain = np.packbits((ends >> np.uint32(31)).astype(bool)).view(np.int64)
+    for cells in (1, 1000, 1 << 16):
+        monkeypatch.setattr(nd, "SKETCH_CELLS", cells)
+        assert (nd.sketch(values) == plain).all()
+    start = time.process_time()
+    for _ in range(20):
+        nd.sketch(values[:20])
+    assert time.process_time() - start < 0.03
