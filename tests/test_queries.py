@@ -81,3 +81,11 @@ def test_relations_that_several_rules_read_are_made_once(spark):
     plan = unaltered(Source(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
     # 105 reads of the fact table before, one or more for every rule and its count
     assert plan.count("Relation [l_orderkey") <= 20
+
+
+def test_calibration_scores_the_backtest_once(spark):
+    from foresail.plans.backtest_queries import horizon_calibrated
+    from foresail.plans.registry import Source
+
+    plan = horizon_calibrated(Source(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan  # points were scored again beside the residuals and their check
