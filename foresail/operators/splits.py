@@ -12,6 +12,7 @@ from foresail.contracts import FeatureRule
 from foresail.functions.expr import require_columns
 from foresail.functions.ranks import kth_values
 from foresail.operators.features import declared_features
+from foresail.session import stored
 
 MAX_LEVELS = 2000
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
@@ -129,7 +130,8 @@ def date_split(df: DataFrame, date: str, test: float) -> tuple[DataFrame, DataFr
 def entity_split(df: DataFrame, keys: Sequence[str], date: str, test: float) -> tuple[DataFrame, DataFrame]:
     """Per entity the first rows by date train; too short entities drop out.
 
-    An entity has one row per date, so its window partition is bounded.
+    An entity has one row per date, so its window partition is bounded. Rows are
+    placed once and stored: both parts in one task would hold its sorts twice.
     """
     entity = Window.partitionBy(*keys)
     placed = df.withColumns(
@@ -140,8 +142,8 @@ def entity_split(df: DataFrame, keys: Sequence[str], date: str, test: float) ->
     )
     cut = F.floor(F.col("_n") * (1 - test))
     usable = placed.filter((cut > 0) & (cut < F.col("_n")))
-    train, held = usable.filter(F.col("_k") <= cut), usable.filter(F.col("_k") > cut)
-    return train.drop("_n", "_k"), held.drop("_n", "_k")
+    usable = stored(usable.withColumn("_train", F.col("_k") <= cut).drop("_n", "_k"))
+    return usable.filter("_train").drop("_train"), usable.filter("not _train").drop("_train")
 
 
 # --- point in time ------------------------------------------------------------------------

@@ -209,3 +209,12 @@ def test_quick_rounding_is_exact(spark):
     for places in (3, 4, 6, 9):
         wrong = df.filter(~(rounded(F.col("x"), places) + 0.0).eqNullSafe(F.round("x", places) + 0.0))
         assert wrong.count() == 0
+
+
+def test_entity_split_places_rows_once(spark):
+    rows = [(k, FIRST + dt.timedelta(days=i), float(i)) for k, n in ((1, 10), (2, 5), (3, 1)) for i in range(n)]
+    train, held = sp.entity_split(spark.createDataFrame(rows, "k int, date date, m double"), ["k"], "date", 0.2)
+    both = train.unionByName(held)
+    assert "Window" not in both._jdf.queryExecution().optimizedPlan().toString()
+    assert (train.count(), held.count(), train.columns) == (12, 3, ["k", "date", "m"])
+    assert sorted((r.k, r.m) for r in held.collect()) == [(1, 8.0), (1, 9.0), (2, 4.0)]
