@@ -20,7 +20,10 @@ Vectors are linked where their cosine is LIKE or more, in double precision.
   least node that it reaches within the task; components are the union of these.
 
 The work is (rows x shards) searches. A shard holds SHARD nodes at most on average, so a
-task needs the two matrices, the graphs and 134 MB of bits, whatever the table's size.
+task needs the two matrices, the graphs and 134 MB of bits, whatever the table's size;
+comparisons and pairs are looked at FLAGS at a time. A shard travels as rows of PIECE nodes
+each, and its vectors in single precision where that holds them exactly, so that the JVM
+neither keeps nor sorts rows of many megabytes.
 
 Defined results: a vector that is null, empty, zero, holds null or non-finite components,
 or has a squared norm that doubles cannot hold links with nothing and is a component by itself; vectors of different length
@@ -37,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foresail.llm.graph import BATCH, Graph, built
+from foresail.llm.graph import BATCH, LINKS, Graph, built
 from foresail.llm.near_dedup import components
 from foresail.llm.common import written
 from foresail.llm.vectors import finite, matrix, numbers, shard_count
@@ -50,39 +53,53 @@ AUDIT, AUDITED = 0.99, 256
 ROUNDING = 2e-5  # more than 64 to 4096 products in single precision can be off
 TASKS = 20_000  # partitions at most; more pairs of shards share them
 EDGES = 1 << 20  # pairs looked at together when components are closed
+FLAGS = 1 << 22  # comparisons, and flags of pairs, held at once
+PIECE = 2048  # nodes of a shard that are one row
 
-SHARDS = "dim int, shard int, nodes binary, weights binary, vectors binary, links binary, sizes array<int>"
+SHARDS = "dim int, shard int, piece int, nodes binary, weights binary, single boolean, vectors binary, links array<binary>"
 FOUND = "node long, n_links long, root long"
 
 
 def shard_rows(keys, table):
-    """One row for a shard: its nodes in order of level and the neighbour tables."""
+    """The rows of a shard: its nodes in order of level and the neighbour tables."""
     table = table.sort_by("node")
     exact = matrix(table["vector"])
     unit = (exact / np.linalg.norm(exact, axis=1)[:, None]).astype(np.float32)
     order, layers = built(unit, seed=keys[1].as_py())
+    nodes, weights, exact = numbers(table["node"])[order], numbers(table["weight"])[order], exact[order]
+    with np.errstate(over="ignore"):
+        narrow = exact.astype(np.float32)
+    single = bool((narrow == exact).all())
+    vectors = narrow if single else exact
+    layers = [layer.astype(np.int32) for layer in layers]
+    parts = [slice(at, at + PIECE) for at in range(0, len(nodes), PIECE)]
     return pa.table({
-        "dim": pa.array([keys[0].as_py()], pa.int32()),
-        "shard": pa.array([keys[1].as_py()], pa.int32()),
-        "nodes": [numbers(table["node"])[order].tobytes()],
-        "weights": [numbers(table["weight"])[order].tobytes()],
-        "vectors": [exact[order].tobytes()],
-        "links": [b"".join(layer.astype(np.int32).tobytes() for layer in layers)],
-        "sizes": pa.array([[v for layer in layers for v in layer.shape]], pa.list_(pa.int32())),
+        "dim": pa.array([keys[0].as_py()] * len(parts), pa.int32()),
+        "shard": pa.array([keys[1].as_py()] * len(parts), pa.int32()),
+        "piece": pa.array(range(len(parts)), pa.int32()),
+        "nodes": pa.array([nodes[p].tobytes() for p in parts], pa.binary()),
+        "weights": pa.array([weights[p].tobytes() for p in parts], pa.binary()),
+        "single": pa.array([single] * len(parts), pa.bool_()),
+        "vectors": pa.array([vectors[p].tobytes() for p in parts], pa.binary()),
+        "links": pa.array([[layer[p].tobytes() for layer in layers] for p in parts], pa.list_(pa.binary())),
     })
 
 
 class Shard:
-    def __init__(self, row: dict):
-        self.nodes = np.frombuffer(row["nodes"], np.int64)
-        self.weights = np.frombuffer(row["weights"], np.int64)
-        self.exact = np.frombuffer(row["vectors"], np.float64).reshape(len(self.nodes), -1)
+    def __init__(self, table: pa.Table):
+        rows = table.sort_by("piece").to_pylist()
+        joined_up = lambda parts, kind: np.frombuffer(b"".join(parts), kind)
+        self.nodes = joined_up((r["nodes"] for r in rows), np.int64)
+        self.weights = joined_up((r["weights"] for r in rows), np.int64)
+        kind = np.float32 if rows[0]["single"] else np.float64
+        vectors = joined_up((r["vectors"] for r in rows), kind).reshape(len(self.nodes), -1)
+        self.exact = vectors.astype(np.float64)
         self.norm = np.linalg.norm(self.exact, axis=1)
         unit = (self.exact / self.norm[:, None]).astype(np.float32)
-        flat, at, layers = np.frombuffer(row["links"], np.int32), 0, []
-        for n, links in zip(row["sizes"][::2], row["sizes"][1::2], strict=True):
-            layers.append(flat[at : at + n * links].reshape(n, links).astype(np.int64))
-            at += n * links
+        layers = []
+        for level in range(len(rows[0]["links"])):
+            flat = joined_up((r["links"][level] for r in rows), np.int32)
+            layers.append(flat.reshape(-1, LINKS if level else 2 * LINKS).astype(np.int64))
         self.graph = Graph(unit, layers)
 
     def __len__(self):
@@ -90,45 +107,60 @@ class Shard:
 
 
 def near(queries: np.ndarray, exact: np.ndarray, shard: Shard, width: int):
-    """(query, node) of the links that a search of ``width`` finds, in any order."""
-    graph, least = shard.graph, LIKE - ROUNDING
-    if 4 * width >= len(shard):
-        q, v = np.nonzero(queries @ graph.x.T >= least)
-    else:
-        nodes, sims = graph.search(queries, width)
-        r, c = np.nonzero(sims >= least)
-        q, v = r, nodes[r, c]
-        wide = np.flatnonzero(sims[:, -1] >= least)
-        if len(wide):
-            inside = np.isin(q, wide)
-            more_q, more_v = _widened(queries[wide], graph, np.unique(v[inside]), least)
-            q = np.concatenate([q[~inside], wide[more_q]])
-            v = np.concatenate([v[~inside], more_v])
-    sims = np.empty(len(q), np.float64)
-    for lo in range(0, len(q), EDGES):
-        part = slice(lo, lo + EDGES)
-        sims[part] = np.einsum("ij,ij->i", queries[q[part]], graph.x[v[part]])
-    close = np.abs(sims - LIKE) <= ROUNDING
-    a, b = exact[q[close]], shard.exact[v[close]]
-    sims[close] = np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * shard.norm[v[close]])
-    linked = sims >= LIKE
-    return q[linked], v[linked]
+    """(query, node) of the links that a search of ``width`` finds, in parts and any order."""
+    for q, v in _likely(queries, shard.graph, width):
+        sims = np.empty(len(q), np.float64)
+        for lo in range(0, len(q), EDGES):
+            part = slice(lo, lo + EDGES)
+            sims[part] = np.einsum("ij,ij->i", queries[q[part]], shard.graph.x[v[part]])
+        close = np.abs(sims - LIKE) <= ROUNDING
+        a, b = exact[q[close]], shard.exact[v[close]]
+        sims[close] = np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * shard.norm[v[close]])
+        linked = sims >= LIKE
+        yield q[linked], v[linked]
+
+
+def _likely(queries, graph, width):
+    """Pairs that are links, or too close to the limit to tell in single precision."""
+    least = LIKE - ROUNDING
+    if 4 * width >= len(graph.x):
+        for q, v in _compared(queries, graph, np.arange(len(graph.x)), least):
+            yield q, v
+        return
+    nodes, sims = graph.search(queries, width)
+    r, c = np.nonzero(sims >= least)
+    v = nodes[r, c]
+    wide = np.flatnonzero(sims[:, -1] >= least)
+    inside = np.isin(r, wide)
+    yield r[~inside], v[~inside]
+    if len(wide):
+        for q, more in _widened(queries[wide], graph, np.unique(v[inside]), least):
+            yield wide[q], more
+
+
+def _compared(queries, graph, nodes, least):
+    """Likely links between the queries and ``nodes``, FLAGS comparisons at a time."""
+    step = max(1, FLAGS // max(1, len(queries)))
+    for lo in range(0, len(nodes), step):
+        part = nodes[lo : lo + step]
+        q, v = np.nonzero(queries @ graph.x[part].T >= least)
+        yield q, part[v]
 
 
 def _widened(queries, graph, start, least):
     """All links of the queries that can be reached from ``start`` over links."""
     known = np.zeros(len(graph.x), bool)
     known[start] = True
-    frontier, out_q, out_v = start, [], []
+    frontier = start
     while len(frontier):
-        q, v = np.nonzero(queries @ graph.x[frontier].T >= least)
-        out_q.append(q)
-        out_v.append(frontier[v])
-        near_by = graph.layers[0][frontier[np.unique(v)]].ravel()
+        hit = np.zeros(len(graph.x), bool)
+        for q, v in _compared(queries, graph, frontier, least):
+            hit[v] = True
+            yield q, v
+        near_by = graph.layers[0][hit].ravel()
         near_by = np.unique(near_by[near_by >= 0])
         frontier = near_by[~known[near_by]]
         known[frontier] = True
-    return np.concatenate(out_q), np.concatenate(out_v)
 
 
 def audited_width(source: Shard, target: Shard, seed: int) -> int:
@@ -144,18 +176,29 @@ def audited_width(source: Shard, target: Shard, seed: int) -> int:
         turn -= (turn * x).sum(1)[:, None] * x
         turn /= np.linalg.norm(turn, axis=1)[:, None]
         probes = (LIKE + 1e-9) * x + np.sqrt(1 - (LIKE + 1e-9) ** 2) * turn
-    true = len(near(queries, exact, target, len(target))[0])
-    width = WIDTH
+    links_at = lambda width: sum(len(q) for q, _ in near(queries, exact, target, width))
+    true, width = links_at(len(target)), WIDTH
     while 4 * width < len(target):
-        links = len(near(queries, exact, target, width)[0])
-        q, v = near(probes.astype(np.float32), probes, target, width)
-        hits = len(np.unique(q[aim[q] == v]))
+        links = links_at(width)
+        hit = np.zeros(len(aim), bool)
+        for q, v in near(probes.astype(np.float32), probes, target, width):
+            hit[q[aim[q] == v]] = True
+        hits = hit.sum()
         if links >= AUDIT * true and hits >= AUDIT * len(aim):
             break
         width *= 2
     return width
 
 
+def _by_rows(r, columns):
+    """(rows, each pair's place among them, pairs) of as many rows as FLAGS flags have room for."""
+    used, back = np.unique(r, return_inverse=True)
+    step = max(1, FLAGS // max(1, columns))
+    for lo in range(0, len(used), step):
+        own = slice(None) if len(used) <= step else np.flatnonzero((back >= lo) & (back < lo + step))
+        yield used[lo : lo + step], back[own] - lo, own
+
+
 class Bits:
     """Found pairs (row, column); untouched pages of the zeroed matrix cost nothing."""
 
@@ -165,41 +208,42 @@ class Bits:
 
     def add_rows(self, at: int, n: int, r, c) -> None:
         """Pairs of the rows from ``at``, which need not be in order."""
-        if len(r):
-            used, back = np.unique(r, return_inverse=True)
+        for used, back, own in _by_rows(r, self.columns):
             flags = np.zeros((len(used), self.columns), bool)
-            flags[back, c] = True
+            flags[back, c[own]] = True
             self.bits[at + used] |= np.packbits(flags, axis=1)
 
     def add_columns(self, at: int, n: int, r, c) -> None:
         """Pairs of the columns from ``at``, a multiple of 8; ``c`` counts from there."""
-        if len(r):
-            used, back = np.unique(r, return_inverse=True)
+        for used, back, own in _by_rows(r, n):
             flags = np.zeros((len(used), n), bool)
-            flags[back, c] = True
+            flags[back, c[own]] = True
             packed = np.packbits(flags, axis=1)
             self.bits[used, at // 8 : at // 8 + packed.shape[1]] |= packed
 
     def chunks(self):
-        """(rows, columns) of the pairs, about EDGES at a time, in order of rows."""
-        touched = np.flatnonzero(self.bits.any(1))
-        counts = np.bitwise_count(self.bits[touched]).sum(1, dtype=np.int64)
-        parts = np.cumsum(counts) // EDGES
-        for part in np.split(touched, np.flatnonzero(np.diff(parts)) + 1):
-            if len(part):
-                r, c = np.nonzero(np.unpackbits(self.bits[part], axis=1, count=self.columns))
-                yield part[r], c
+        """(rows, columns) of the pairs, in order of rows: of as many rows as FLAGS flags
+        have room for, and about EDGES pairs."""
+        step = max(1, FLAGS // max(1, self.columns))
+        for at in range(0, len(self.bits), step):
+            touched = at + np.flatnonzero(self.bits[at : at + step].any(1))
+            counts = np.bitwise_count(self.bits[touched]).sum(1, dtype=np.int64)
+            parts = np.cumsum(counts) // EDGES
+            for part in np.split(touched, np.flatnonzero(np.diff(parts)) + 1):
+                if len(part):
+                    r, c = np.nonzero(np.unpackbits(self.bits[part], axis=1, count=self.columns))
+                    yield part[r], c
 
 
 def _found(source: Shard, target: Shard, bits: Bits, seed: int, by_row: bool) -> None:
     width = audited_width(source, target, seed)
     for at in range(0, len(source), BATCH):
         part = slice(at, min(at + BATCH, len(source)))
-        q, v = near(source.graph.x[part], source.exact[part], target, width)
-        if by_row:
-            bits.add_rows(at, part.stop - at, q, v)
-        else:
-            bits.add_columns(at, part.stop - at, v, q)
+        for q, v in near(source.graph.x[part], source.exact[part], target, width):
+            if by_row:
+                bits.add_rows(at, part.stop - at, q, v)
+            else:
+                bits.add_columns(at, part.stop - at, v, q)
 
 
 def joined(left: Shard, right: Shard, same: bool, seed: int):
@@ -245,8 +289,8 @@ def _closed(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 def _pair(keys, lefts, rights):
     a, b = keys[1].as_py(), keys[2].as_py()
-    right = Shard(rights.to_pylist()[0])
-    left = right if a == b else Shard(lefts.to_pylist()[0])
+    right = Shard(rights)
+    left = right if a == b else Shard(lefts)
     nodes, links, roots = joined(left, right, a == b, 2 * (a * 100_003 + b))
     return pa.table({"node": nodes, "n_links": links, "root": roots})
 
@@ -275,13 +319,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     dealt = nodes.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("node"), "shards").cast("int"))
     dealt = dealt.select("dim", "shard", "node", "weight", "vector")
     shards = dealt.repartition(shard_tasks, "dim", "shard").groupBy("dim", "shard")
-    shards = written(shards.applyInArrow(shard_rows, SHARDS), "vector-shards").join(sizes, "dim")
+    # rows of shards are heavy and their numbers few: joins by number must not shuffle the rows
+    shards = written(shards.applyInArrow(shard_rows, SHARDS), "vector-shards").join(F.broadcast(sizes), "dim")
+    present = shards.select("dim", "shard").distinct()
 
     lefts = shards.withColumns({"a": F.col("shard"), "b": F.explode(F.sequence("shard", F.col("shards") - 1))})
     rights = shards.withColumns({"b": F.col("shard"), "a": F.explode(F.sequence(F.lit(0), "shard"))})
     # a shard may be empty, and then has no row; the pairs of the others remain
-    lefts = lefts.join(shards.select("dim", F.col("shard").alias("b")), ["dim", "b"], "left_semi")
-    rights = rights.join(shards.select("dim", F.col("shard").alias("a")), ["dim", "a"], "left_semi")
+    lefts = lefts.where("shard < b")  # a shard meets itself with its right rows alone
+    lefts = lefts.join(F.broadcast(present.select("dim", F.col("shard").alias("b"))), ["dim", "b"], "left_semi")
+    rights = rights.join(F.broadcast(present.select("dim", F.col("shard").alias("a"))), ["dim", "a"], "left_semi")
     rights = rights.toDF(*rights.columns)  # columns of their own: both sides are one table
     by = ["dim", "a", "b"]
     lefts, rights = (side.repartition(pair_tasks, *by).groupBy(*by) for side in (lefts, rights))

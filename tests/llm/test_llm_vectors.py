@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,56 @@ def test_near_vectors_of_odd_rows(spark):
     assert [tuple(r) for r in empty.collect()] == [(1, 0, 1, True)]
 
 
+def shard_of(x: np.ndarray, number: int = 0):
+    table = pa.table({"node": np.arange(len(x)), "weight": np.ones(len(x), np.int64), "vector": list(x)})
+    return dedup.shard_rows((pa.scalar(x.shape[1]), pa.scalar(number)), table)
+
+
+def test_flags_of_pairs_are_looked_at_in_bounded_parts(monkeypatch):
+    """Rows with one pair each are not spread out to flags all at once."""
+    monkeypatch.setattr(dedup, "FLAGS", 1 << 16, raising=False)
+    n, unpack, flags = 2048, np.unpackbits, []
+    bits = dedup.Bits(n, n)
+    at = np.arange(n)
+    bits.add_rows(0, n, at, at[::-1])
+
+    def counted(*args, **more):
+        out = unpack(*args, **more)
+        flags.append(out.size)
+        return out
+
+    monkeypatch.setattr(dedup.np, "unpackbits", counted)
+    found = [np.stack(part) for part in bits.chunks()]
+    assert max(flags) <= 1 << 16
+    assert (np.concatenate(found, axis=1) == [at, at[::-1]]).all()
+
+
+@pytest.mark.parametrize("width", [8, 1000])
+def test_links_of_a_crowd_come_in_bounded_parts(monkeypatch, width):
+    monkeypatch.setattr(dedup, "FLAGS", 1 << 14)
+    x = crowd(1500, 8, 5).astype(np.float64)
+    shard = dedup.Shard(shard_of(x))
+    parts = list(dedup.near(shard.graph.x, shard.exact, shard, width))
+    assert max(len(q) for q, _ in parts) <= 1 << 14
+    found = {(a, b) for q, v in parts for a, b in zip(q.tolist(), v.tolist(), strict=True)}
+    links, _ = cosine_links(x)
+    assert len(found) == sum(len(q) for q, _ in parts) >= 0.99 * (links.sum() + len(x))
+
+
+@pytest.mark.parametrize("factor", [1.0, 1 / 3])
+def test_a_shard_travels_in_pieces(factor):
+    """No row holds more than a piece, and vectors come back exactly, also those that
+    single precision cannot hold."""
+    x = crowd(5000, 16, 2).astype(np.float64) * factor
+    rows = shard_of(x)
+    assert rows.num_rows == -(-len(x) // dedup.PIECE) and rows["single"][0].as_py() == (factor == 1.0)
+    shard = dedup.Shard(rows.take(list(range(rows.num_rows))[::-1]))
+    assert (shard.exact == x[shard.nodes]).all() and (shard.weights == 1).all()
+    order, layers = graph.built((x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32), 0)
+    assert (shard.nodes == order).all()
+    assert all((a == b).all() for a, b in zip(shard.graph.layers, layers, strict=True))
+
+
 def test_near_vectors_agree_with_sql(spark):
     rows = [(i, v.tolist(), 0) for i, v in enumerate(crowd(300, 8, 5))] + [(300, [0.0] * 8, 1)]
     df = frame(spark, rows)
