@@ -87,11 +87,24 @@ POPULATION = "n_rows:i n_keys:i n_missing:i first_date:d last_date:d"
 
 
 def population(predictions, keys, by=()):
-    """Rows, distinct keys and rows without a prediction of a scored relation."""
-    return predictions.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_distinct(*keys).alias("n_keys"),
-        F.count_if(F.col("prediction").isNull() | F.isnan("prediction")).alias("n_missing"),
-        F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+    """Rows, distinct keys and rows without a prediction of a scored relation.
+
+    The last key is a date. Days of a series are counted as bits of words of 64 days, which
+    tasks combine before the shuffle, so it has a row for each word and none for each day."""
+    *series, date = keys
+    day, whole = F.unix_date(date), F.lit(True)
+    for key in series:
+        whole = whole & F.col(key).isNotNull()
+    bit = F.expr(f"shiftleft(1L, cast(pmod(unix_date(`{date}`), 64) as int))")
+    words = predictions.groupBy(*by, *series, F.floor(day / 64).alias("_word")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.bit_or(F.when(whole, bit)).alias("_days"),
+        F.count_if(F.col("prediction").isNull() | F.isnan("prediction")).alias("_missing"),
+        F.min(date).alias("_first"), F.max(date).alias("_last"),
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return words.groupBy(*by).agg(
+        total("_rows").alias("n_rows"), total(F.bit_count("_days")).alias("n_keys"), total("_missing").alias("n_missing"),
+        F.min("_first").alias("first_date"), F.max("_last").alias("last_date"),
     )
 
 
@@ -364,8 +377,7 @@ def search_ledger(s: Source):
     the second start finds every fit done and adds none."""
     def searched():
         known = ml.known_by(rows(s), s.train_end, 1)
-        train, held = sp.chrono_split(known, 0.2, "date", ["store_nbr"])
-        train, held = stored(train), stored(held)
+        train, held = sp.chrono_split(known, 0.2, "date", ["store_nbr"])  # filters of the stored panel
         space = {"maxDepth": (2, 8), "stepSize": (0.01, 0.3), "subsamplingRate": (0.5, 1.0)}
         at, path = dt.datetime(2001, 12, 1), scratch("trials")
         for _ in range(2):

@@ -219,3 +219,69 @@ def test_trees_on_cells_are_trees_on_rows(spark):
         want.select("store_nbr", "date", F.col("prediction").alias("w")), ["store_nbr", "date"]
     ).toPandas()
     assert len(both) == df.count() and np.allclose(both.prediction, both.w)
+
+
+def test_models_are_applied_once_to_each_cell(spark):
+    """Direct horizons read the rows once, and predict what the models do row by row."""
+    odd = spark.createDataFrame([(9, dt.date(2001, 1, 1), 1.0, v) for v in (None, float("nan"), -1e9)], "store_nbr long, date date, y double, x double")
+    df = panel(spark).unionByName(odd).withColumn("z", F.dayofweek("date").cast("double"))
+    ahead = ml.direct_targets(df, ["store_nbr"], "date", "y", [1, 2, 3]).localCheckpoint()
+    fits = ml.train_direct(ahead, {h: f"y_n{h}d" for h in (1, 2, 3)}, ["x", "z"], {"maxIter": 3, "subsamplingRate": 1.0})
+    named = {f"p{h}": m for h, m in fits.items()}
+    got = ml.with_predictions(named, ahead)
+    for name, model in named.items():
+        rows = model.transform(got).select(name, "prediction").collect()
+        assert len(rows) == df.count() and all(abs(r[0] - r[1]) < 1e-12 for r in rows)
+    scored = ml.score(fits, ahead, ["store_nbr", "date", "x"])
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1, plan
+    assert scored.count() == 3 * df.count() and scored.columns[-2:] == ["forecast_horizon", "prediction"]
+    assert scored.filter("x is null and prediction is not null").isEmpty()
+
+
+def test_fits_of_a_search_and_of_horizons_share_bins_and_cells(spark, monkeypatch, tmp_path):
+    """The rows are binned and summed once, not for every fit, and the trees stay the same."""
+    found, calls = ml.bin_edges, []
+    monkeypatch.setattr(ml, "bin_edges", lambda *a: calls.append(a) or found(*a))
+    df = ml.direct_targets(panel(spark), ["store_nbr"], "date", "y", [1, 2]).localCheckpoint()
+    train, held = df.where("date < '2001-04-01'"), df.where("date >= '2001-04-01'")
+    space = {"maxDepth": (1, 3), "stepSize": (0.05, 0.5), "subsamplingRate": [1.0]}
+    ledger = ml.successive_halving(
+        train, held, ["x"], "y", space, 4, 1, "c", "r", dt.datetime(2001, 5, 1), str(tmp_path / "l"), budgets=(1, 2), eta=2
+    ).collect()
+    assert len(ledger) == 6 and len(calls) == 1
+    trials = ml.sample_trials(space, 4, 1)
+    for r in ledger[:3]:
+        model = ml.train_gbt(train, ["x"], "y", {**trials[r.trial_number], "maxIter": r.budget})
+        alone = model.transform(held).agg(F.avg(F.abs(F.col("y") - F.col("prediction")))).first()[0]
+        assert r.objective_value == pytest.approx(alone, abs=1e-9)
+    # labels of two horizons end on different days, so their watched dates differ
+    labels, params = {1: "y_n1d", 2: "y_n2d"}, {"maxIter": 3, "subsamplingRate": 1.0}
+    calls.clear()
+    together = ml.train_direct(df, labels, ["x"], params, ml.train_gbt_early)
+    assert len(calls) == 1 and not ml._shared
+    edges = calls[0]
+    for h, label in labels.items():
+        with monkeypatch.context() as m:
+            m.setattr(ml, "bin_edges", lambda *a: found(*edges))
+            alone = ml.train_gbt_early(df, ["x"], label, params)
+        both = ml.with_predictions({"a": together[h], "b": alone}, df).select("a", "b").toPandas()
+        assert np.allclose(both.a, both.b)
+
+
+def test_a_population_counts_each_key_once(spark):
+    day = dt.date(1969, 12, 30)
+    rows = [(1, day + dt.timedelta(days=d), 1, 1.0) for d in (0, 1, 2, 70, 70)]
+    rows += [(2, day, 1, None), (2, day, 2, float("nan")), (None, day, 2, 1.0), (3, None, 2, 1.0)]
+    df = spark.createDataFrame(rows, "store_nbr long, date date, h int, prediction double")
+    got = mq.population(df, ["store_nbr", "date"], ["h"])
+    want = df.groupBy("h").agg(
+        F.count(F.lit(1)), F.count_distinct("store_nbr", "date"),
+        F.count_if(F.col("prediction").isNull() | F.isnan("prediction")), F.min("date"), F.max("date"),
+    )
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert mq.population(df, ["store_nbr", "date"]).first()[:3] == (9, 5, 2)
+    assert mq.population(df.limit(0), ["store_nbr", "date"]).first()[:3] == (0, 0, 0)
+    # days are combined before the shuffle, so no exchange carries a date as a key
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "hashpartitioning" in line and "date#" in line]
