@@ -285,3 +285,18 @@ def test_a_population_counts_each_key_once(spark):
     # days are combined before the shuffle, so no exchange carries a date as a key
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "hashpartitioning" in line and "date#" in line]
+
+
+def test_a_forest_learns_from_one_point_a_part_of_a_cell(spark, monkeypatch):
+    """Labels differ inside cells; the points keep their counts and sums, and rows their nodes."""
+    seen, asked = [], []
+    monkeypatch.setattr(ml, "stored", lambda df: seen.append(df.localCheckpoint()) or seen[-1])
+    fit = ml._fit
+    monkeypatch.setattr(ml, "_fit", lambda estimator, *rest: asked.append(estimator) or fit(estimator, *rest))
+    df = panel(spark, 200, 40).withColumn("w", (F.dayofyear("date") % 2).cast("double"))
+    ml.train_rf(df, ["w"], "y", {"numTrees": 3, "maxDepth": 3})
+    points = seen[0].collect()
+    assert len(points) <= 2 * ml.CELL_PARTS and asked[0].getCacheNodeIds()
+    want = df.agg(F.count("y"), F.sum("y")).first()
+    assert sum(p._weight for p in points) == want[0]
+    assert sum(p._weight * p.label for p in points) == pytest.approx(want[1])
